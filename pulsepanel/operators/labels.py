@@ -108,8 +108,9 @@ def model_table(panel: DataFrame, lag_cols, key: str = "msno", period: str = "sa
     One Window operator computes the lags and the future status.  Rows whose
     future is observed automatically satisfy period+h <= last period.  The
     windowed panel feeds both the per-period diagnosis and the rows; with
-    ``reuse`` it is checkpointed once (shared checkpoint folder) so the raw
-    tables are scanned and shuffled a single time and the lineage is cut.
+    ``reuse`` it is written once as a table under the shared checkpoint
+    folder, so the raw tables are scanned and shuffled a single time and the
+    lineage is cut.
     """
     from pulsepanel.operators.panel import lag_diff
 
@@ -118,9 +119,8 @@ def model_table(panel: DataFrame, lag_cols, key: str = "msno", period: str = "sa
     x = lag_diff(x, lag_cols, key, period, idx=idx, lag=lag)
     x = forward_status(x, key, period, status, horizon, idx=idx)
     if reuse:
-        from pulsepanel.session import checkpoint_dir
-        checkpoint_dir(x.sparkSession)
-        x = x.checkpoint(eager=True)
+        from pulsepanel.sources.sinks import materialize
+        x = materialize(x, "windowed_panel")
     diag = label_trust(x, period, status, horizon, idx=idx)
     fut = f"{status}_fut"
     rows = (x.where(F.col(fut).isNotNull())

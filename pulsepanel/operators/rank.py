@@ -36,13 +36,12 @@ def default_buckets(spark: SparkSession) -> int:
     return max(2, n)
 
 
-def _boundaries(h: DataFrame, value: str, n_buckets: int) -> list[float]:
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = h.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("b")).first()
-    bounds = sorted({float(b) for b in (row["b"] or []) if b is not None and not math.isnan(b)})
-    return bounds
+def _clean_bounds(vals) -> list[float]:
+    return sorted({float(b) for b in (vals or []) if b is not None and not math.isnan(b)})
+
+
+def _probs(n_buckets: int) -> list[float]:
+    return [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
 
 
 def _bucketize(h: DataFrame, value: str, bounds: list[float], descending: bool) -> DataFrame:
@@ -57,6 +56,21 @@ def _bucketize(h: DataFrame, value: str, bounds: list[float], descending: bool)
     return out.withColumn("_bucket", bucket).drop("_vd", "_ba")
 
 
+def _with_offsets(xb: DataFrame, sums: dict, group=None) -> DataFrame:
+    """Join each row with the totals of all earlier buckets (of its group).
+
+    The totals table has at most #groups x #buckets rows - a bound fixed by
+    construction - so its running sum is a small window and it is broadcast.
+    """
+    gcols = [group] if group else []
+    tot = xb.groupBy(*gcols, "_bucket").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
+    before = (Window.partitionBy(*gcols).orderBy("_bucket")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    off = tot.select(*gcols, "_bucket", *[
+        F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}") for k in sums])
+    return xb.join(F.broadcast(off), [*gcols, "_bucket"], "left")
+
+
 @dataclass
 class Prefix:
     """Histogram with exact running totals in value order.
@@ -77,43 +91,28 @@ def value_prefix(df: DataFrame, value: str, weights=(), descending: bool = False
                  n_buckets: int | None = None) -> Prefix:
     """Exact running counts/sums over the distinct values of ``value``.
 
-    Rows with a NULL value are ignored.  Actions: the histogram is written
-    once to the checkpoint folder (it is read three times and cutting the
-    lineage keeps a lost executor from re-running the scan), then one action
-    for the bucket boundaries and one for the #buckets totals.
+    Rows with a NULL value are ignored.  One action computes the bucket
+    boundaries (approximate quantiles) and the totals in a single pass of
+    partial aggregates; the prefix table itself stays lazy.
     """
     spark = df.sparkSession
     n_buckets = n_buckets or default_buckets(spark)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(w)).alias(w) for w in weights]
-    h = df.where(F.col(value).isNotNull()).groupBy(value).agg(*aggs)
-    from pulsepanel.session import checkpoint_dir
-    checkpoint_dir(spark)
-    h = h.checkpoint(eager=True)
-    bounds = _boundaries(h, value, n_buckets)
+    x = df.where(F.col(value).isNotNull())
+    st = x.agg(F.percentile_approx(F.col(value).cast("double"), _probs(n_buckets), 10_000).alias("b"),
+               F.count(F.lit(1)).alias("n"), *[F.sum(F.col(w)).alias(w) for w in weights]).first()
+    total = {"n": int(st["n"]), **{w: (st[w] or 0) for w in weights}}
+    bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
+    h = x.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(w)).alias(w) for w in weights])
     hb = _bucketize(h, value, bounds, descending)
-    tot_aggs = [F.sum("n").alias("n")] + [F.sum(w).alias(w) for w in weights]
-    totals = sorted(hb.groupBy("_bucket").agg(*tot_aggs).collect(), key=lambda r: r["_bucket"])
-    # Offsets: everything in earlier buckets (≤ #buckets rows, computed here).
-    offs, run = [], {"n": 0, **{w: 0 for w in weights}}
-    for r in totals:
-        offs.append((int(r["_bucket"]), *[run[k] for k in ["n", *weights]]))
-        for k in ["n", *weights]:
-            run[k] = run[k] + (r[k] or 0)
-    wtypes = {f.name: f.dataType for f in hb.schema.fields}
-    schema = T.StructType([T.StructField("_bucket", T.IntegerType())]
-                          + [T.StructField("_off_n", T.LongType())]
-                          + [T.StructField(f"_off_{w}", wtypes[w]) for w in weights])
-    off_df = spark.createDataFrame(offs, schema) if offs else spark.createDataFrame([], schema)
+    out = _with_offsets(hb, {"n": F.col("n"), **{w: F.col(w) for w in weights}})
     order = F.col(value).desc() if descending else F.col(value).asc()
     w_run = (Window.partitionBy("_bucket").orderBy(order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # off_df has at most #buckets rows, a bound fixed by construction.
-    out = hb.join(F.broadcast(off_df), "_bucket", "left")
     out = out.withColumn("cum_n", F.col("_off_n") + F.sum("n").over(w_run))
     for w in weights:
         out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(w_run))
     out = out.drop("_off_n", *[f"_off_{w}" for w in weights])
-    return Prefix(out, value, tuple(weights), descending, run)
+    return Prefix(out, value, tuple(weights), descending, total)
 
 
 # ------------------------------------------------------------------ top-k
@@ -124,44 +123,39 @@ def topk_size(n: int, frac: float) -> int:
     return max(1, int(n * frac))
 
 
+# A group whose exact row count is known to be at most this many rows is
+# numbered by a plain window partitioned by the group.
+SINGLE_TASK_ROWS = 2_000_000
+
+
 def ordered_positions(df: DataFrame, order_cols, n_buckets: int | None = None,
                       pos: str = "_pos", group: str | None = None,
-                      max_groups: int = 10_000) -> DataFrame:
-    """1-based position of each row in a total order (within ``group``), distributed.
-
-    ``order_cols`` is a list of column names (ascending) whose combination is
-    unique per group.  Rows are range-bucketed on the first column - which
-    must be the high-cardinality one (e.g. the customer key), so one value
-    holds only a bounded number of rows - and numbered inside each bucket;
-    per-(group, bucket) counts (at most #groups x #buckets rows, checked)
-    give the offsets.
+                      max_group_rows: int | None = None) -> DataFrame:
+    """1-based position of each row in a total order (within ``group``).
+
+    ``order_cols`` (ascending) must be unique per group.  When the caller
+    knows every group has at most ``SINGLE_TASK_ROWS`` rows, a window
+    partitioned by the group numbers them.  Otherwise rows are range-bucketed
+    on the first order column - which must be the high-cardinality one (a
+    customer key, a uniform hash), so one value holds a bounded number of
+    rows - numbered inside each bucket, and offset by the counts of earlier
+    buckets.
     """
+    gcols = [group] if group else []
+    order = [F.col(c).asc() for c in order_cols]
+    if max_group_rows is not None and max_group_rows <= SINGLE_TASK_ROWS and group:
+        w = Window.partitionBy(*gcols).orderBy(*order)
+        return df.withColumn(pos, F.row_number().over(w).cast("long"))
     spark = df.sparkSession
     n_buckets = n_buckets or default_buckets(spark)
     first = order_cols[0]
-    x = df.checkpoint(eager=True)
-    bounds = _boundaries(x.select(first).distinct(), first, n_buckets)
-    xb = _bucketize(x, first, bounds, False)
-    gcols = [group] if group else []
-    counts = xb.groupBy(*gcols, "_bucket").count().limit(max_groups * (n_buckets + 1) + 1).collect()
-    if len(counts) > max_groups * (n_buckets + 1):
-        raise ValueError("too many groups for ordered_positions")
-    counts.sort(key=lambda r: ((r[group] if group else 0), r["_bucket"]))
-    offs, run, cur = [], 0, object()
-    for r in counts:
-        g = r[group] if group else None
-        if g != cur:
-            run, cur = 0, g
-        offs.append(((g,) if group else ()) + (int(r["_bucket"]), run))
-        run += int(r["count"])
-    gfields = [T.StructField(group, xb.schema[group].dataType)] if group else []
-    schema = T.StructType(gfields + [T.StructField("_bucket", T.IntegerType()),
-                                     T.StructField("_off", T.LongType())])
-    off_df = spark.createDataFrame(offs, schema)
-    w = Window.partitionBy(*gcols, "_bucket").orderBy(*[F.col(c).asc() for c in order_cols])
-    return (xb.join(F.broadcast(off_df), [*gcols, "_bucket"], "left")
-            .withColumn(pos, F.col("_off") + F.row_number().over(w))
-            .drop("_off", "_bucket"))
+    st = df.agg(F.percentile_approx(F.col(first).cast("double"), _probs(n_buckets), 10_000)
+                .alias("b")).first()
+    bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
+    xb = _with_offsets(_bucketize(df, first, bounds, False), {"n": F.lit(1)}, group)
+    w = Window.partitionBy(*gcols, "_bucket").orderBy(*order)
+    return (xb.withColumn(pos, F.col("_off_n") + F.row_number().over(w))
+            .drop("_off_n", "_bucket"))
 
 
 @dataclass
@@ -211,8 +205,11 @@ def _tie_positions(df: DataFrame, score: str, cuts: list[Cut], tie_keys) -> Data
     if not partial:
         return None
     ties = df.where(F.col(score).isin(partial))
-    # Positions inside each boundary score (at most #fractions groups).
-    return ordered_positions(ties, list(tie_keys), pos="_tie_pos", group=score)
+    biggest = max(c.tie_n for c in cuts if c.score in partial)
+    # Positions inside each boundary score (at most #fractions groups, whose
+    # exact sizes are known from the histogram).
+    return ordered_positions(ties, list(tie_keys), pos="_tie_pos", group=score,
+                             max_group_rows=biggest)
 
 
 def topk_counts(df: DataFrame, score: str, label: str, fracs, tie_keys,
@@ -328,50 +325,38 @@ def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None
                    max_groups: int = 10_000, weights=()):
     """Ascending exact running counts of ``value`` within each ``group``.
 
-    Same construction as :func:`value_prefix` with per-group boundaries.
-    Groups are a bounded domain (profiled columns, periods); their number is
-    checked.  Returns (DataFrame, {group: N}).
+    Same construction as :func:`value_prefix` with per-group boundaries
+    (one action: per-group approximate quantiles and totals, at most
+    ``max_groups`` rows, checked).  Groups are a bounded domain (profiled
+    columns, model variants, periods).  Returns (lazy DataFrame, {group: N}).
     """
     spark = df.sparkSession
     nb = n_buckets or min(default_buckets(spark), GROUP_BUCKETS)
-    h = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-         .groupBy(group, value).agg(F.count(F.lit(1)).alias("n"),
-                                    *[F.sum(F.col(w)).alias(w) for w in weights]))
-    h = h.checkpoint(eager=True)
-    probs = [i / nb for i in range(1, nb)] if nb > 1 else [0.5]
-    brows = (h.groupBy(group)
-             .agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("b"),
-                  F.sum("n").alias("N"))
+    x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    brows = (x.groupBy(group)
+             .agg(F.percentile_approx(F.col(value).cast("double"), _probs(nb), 10_000).alias("b"),
+                  F.count(F.lit(1)).alias("N"))
              .limit(max_groups + 1).collect())
     if len(brows) > max_groups:
         raise ValueError(f"more than {max_groups} groups in grouped_prefix")
+    h = x.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"),
+                                    *[F.sum(F.col(w)).alias(w) for w in weights])
     if not brows:
         return h.withColumn("cum_n", F.col("n")), {}
     gtype = h.schema[group].dataType
     kv = []
     for r in brows:
-        bounds = sorted({float(b) for b in (r["b"] or []) if b is not None and not math.isnan(b)})
+        bounds = _clean_bounds(r["b"]) if nb > 1 else []
         kv += [F.lit(r[group]).cast(gtype),
                F.array(*[F.lit(b) for b in bounds]).cast("array<double>")]
     bmap = F.create_map(*kv)
     vd = F.col(value).cast("double")
     hb = h.withColumn("_bucket", F.size(F.filter(F.element_at(bmap, F.col(group)),
                                                  lambda b: b < vd)).cast("int"))
-    totals = hb.groupBy(group, "_bucket").agg(F.sum("n").alias("n")).collect()
-    totals.sort(key=lambda r: (r[group], r["_bucket"]))
-    offs, run, cur = [], 0, object()
-    for r in totals:
-        if r[group] != cur:
-            run, cur = 0, r[group]
-        offs.append((r[group], int(r["_bucket"]), run))
-        run += int(r["n"])
-    schema = T.StructType([T.StructField(group, gtype), T.StructField("_bucket", T.IntegerType()),
-                           T.StructField("_off", T.LongType())])
-    off_df = spark.createDataFrame(offs, schema)
+    out = _with_offsets(hb, {"n": F.col("n")}, group)
     w = (Window.partitionBy(group, "_bucket").orderBy(F.col(value).asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = (hb.join(F.broadcast(off_df), [group, "_bucket"], "left")
-           .withColumn("cum_n", F.col("_off") + F.sum("n").over(w)).drop("_off"))
+    out = out.withColumn("cum_n", F.col("_off_n") + F.sum("n").over(w)).drop("_off_n")
     return out, {r[group]: int(r["N"]) for r in brows}
 
 

@@ -725,8 +725,8 @@ with {TOPK_SQL}
 select top_frac, k, TP, k - TP as FP from tk
 """)
 def q_topk_counts(spark, d):
-    rows = rank.topk_counts(fx.score_frame(spark, d), "p_churn", "churn_3m",
-                            metrics.CAMPAIGN_FRACS, ["msno", "safra"])
+    sf = metrics.reusable(fx.score_frame(spark, d), ["msno", "safra", "p_churn", "churn_3m"])
+    rows = rank.topk_counts(sf, "p_churn", "churn_3m", metrics.CAMPAIGN_FRACS, ["msno", "safra"])
     return spark.createDataFrame([(r["top_frac"], r["k"], r["TP"], r["FP"]) for r in rows],
                                  "top_frac double, k bigint, TP bigint, FP bigint")
 
@@ -776,7 +776,7 @@ select msno, safra, p_churn, churn_3m,
 from rk, n
 """)
 def q_topk_flags(spark, d):
-    sf = fx.score_frame(spark, d).select("msno", "safra", "p_churn", "churn_3m")
+    sf = metrics.reusable(fx.score_frame(spark, d), ["msno", "safra", "p_churn", "churn_3m"])
     return rank.topk_flags(sf, "p_churn", metrics.CAMPAIGN_FRACS, ["msno", "safra"])
 
 
@@ -914,8 +914,9 @@ select a.split as "set", round(roc_auc, 6) as roc_auc, round(pr_auc, 6) as pr_au
 from a join tk on tk.split = a.split where a.split in ('val', 'test')
 """)
 def q_model_metrics(spark, d):
-    s = _score_splits(spark, d)
-    rows = [metrics.eval_set(s.where(F.col("split") == name), name) for name in ("val", "test")]
+    s = metrics.reusable(_score_splits(spark, d), ["msno", "safra", "p_churn", "churn_3m", "split"])
+    rows = [metrics.eval_set(s.where(F.col("split") == name), name, reuse=False)
+            for name in ("val", "test")]
     schema = ("set string, roc_auc double, pr_auc double, recall_top5pct double, "
               "churnrate_top5pct double, recall_top10pct double, k5 bigint")
     return r6(spark.createDataFrame(
@@ -954,8 +955,8 @@ def _money(df: DataFrame) -> DataFrame:
 
 
 def _grid(spark, d):
-    sf = fx.score_frame(spark, d)
-    curve = metrics.campaign_curve_rows(sf)
+    sf = metrics.reusable(fx.score_frame(spark, d), ["msno", "safra", "p_churn", "churn_3m"])
+    curve = metrics.campaign_curve_rows(sf, reuse=False)
     model = fx.supplier_panel(spark, d).withColumn("paid_sum", F.col("price_cents") / 100.0)
     a = scenario.arpu(model, sf.select("safra")).first()["ARPU_NTD"]
     cdf = spark.createDataFrame([(r["top_frac"], r["k"], r["TP"], r["FP"]) for r in curve],
