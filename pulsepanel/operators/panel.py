@@ -156,14 +156,10 @@ def lag_diff(panel: DataFrame, cols, key: str = "msno", period: str = "safra",
         idx = "_pidx"
         panel = panel.withColumn(idx, period_index(period))
     w = panel_window(key, idx).rangeBetween(-lag, -lag)
-    out = panel
-    for c in cols:
-        if c not in panel.columns:
-            continue
-        prev = F.first(F.col(c)).over(w)
-        out = out.withColumn(f"{c}_lag{lag}", prev.cast("double"))
-    for c in cols:
-        if c not in panel.columns:
-            continue
-        out = out.withColumn(f"{c}_diff{lag}", F.col(c) - F.col(f"{c}_lag{lag}"))
+    present = [c for c in cols if c in panel.columns]
+    lags = {c: F.first(F.col(c)).over(w).cast("double") for c in present}
+    out = panel.select(
+        "*",
+        *[lags[c].alias(f"{c}_lag{lag}") for c in present],
+        *[(F.col(c) - lags[c]).alias(f"{c}_diff{lag}") for c in present])
     return out.drop(idx) if drop_idx else out

@@ -44,20 +44,20 @@ def scenario_grid(curve: DataFrame, arpu_value: float, base_rate: float | None,
 
     ``curve`` has top_frac, k, TP, FP (one row per fraction).
     """
-    g = (curve.select("top_frac", "k", "TP", "FP")
-         .withColumn("free_months", F.explode(F.array(*[F.lit(int(m)) for m in free_months])))
-         .withColumn("accept_rate", F.explode(F.array(*[F.lit(float(a)) for a in accept_rates])))
-         .withColumn("ARPU_NTD", F.lit(float(arpu_value)))
-         .withColumn("base_churn_rate_test", F.lit(base_rate).cast("double")))
+    free = F.explode(F.array(*[F.lit(int(m)) for m in free_months])).alias("free_months")
+    acc = F.array(*[F.lit(float(a)) for a in accept_rates])
+    g = (curve.select("top_frac", "k", "TP", "FP", free)
+         .select("*", F.explode(acc).alias("accept_rate")))
+    base = F.lit(base_rate).cast("double")
     prec = F.when(F.col("k") > 0, F.col("TP") / F.col("k")).otherwise(0.0)
-    g = g.withColumn("precision_at_k", prec)
-    g = g.withColumn("lift", F.when(F.col("base_churn_rate_test") > 0,
-                                    F.col("precision_at_k") / F.col("base_churn_rate_test")))
-    for name, expr in expected_net_cols().items():
-        g = g.withColumn(name, expr)
+    g = g.select("*", F.lit(float(arpu_value)).alias("ARPU_NTD"),
+                 base.alias("base_churn_rate_test"), prec.alias("precision_at_k"))
+    lift = F.when(F.col("base_churn_rate_test") > 0,
+                  F.col("precision_at_k") / F.col("base_churn_rate_test"))
+    money = expected_net_cols()
     return g.select("free_months", "accept_rate", "top_frac", "k", "TP", "FP", "precision_at_k",
-                    "base_churn_rate_test", "lift", "ARPU_NTD", "expected_gain_NTD",
-                    "expected_cost_NTD", "expected_net_NTD")
+                    "base_churn_rate_test", lift.alias("lift"), "ARPU_NTD",
+                    *[e.alias(n) for n, e in money.items()])
 
 
 def best_policy(grid: DataFrame) -> DataFrame:
