@@ -158,8 +158,7 @@ def lag_diff(panel: DataFrame, cols, key: str = "msno", period: str = "safra",
     w = panel_window(key, idx).rangeBetween(-lag, -lag)
     present = [c for c in cols if c in panel.columns]
     lags = {c: F.first(F.col(c)).over(w).cast("double") for c in present}
-    out = panel.select(
-        "*",
-        *[lags[c].alias(f"{c}_lag{lag}") for c in present],
-        *[(F.col(c) - lags[c]).alias(f"{c}_diff{lag}") for c in present])
+    out = panel.select("*", *[lags[c].alias(f"{c}_lag{lag}") for c in present])
+    out = out.select("*", *[(F.col(c) - F.col(f"{c}_lag{lag}")).alias(f"{c}_diff{lag}")
+                            for c in present])
     return out.drop(idx) if drop_idx else out

@@ -1102,3 +1102,81 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(ORACLES)
+
+
+# =========================================================== full chain
+# Raw usage logs, transactions and membership rows -> monthly features ->
+# lag/diff of the eight base columns -> forward label -> month verdict: the
+# reference's 32-column model table, in its column names.
+
+BASE8 = ["total_secs", "num_unq", "paid_sum", "plays_total", "has_usage", "has_payment",
+         "auto_renew_rate", "cancel_txn_count"]
+
+
+def reference_features(spark, d):
+    ul = panel.usage_monthly(fx.line_logs(spark, d))
+    tx = panel.payments_monthly(fx.order_txn(spark, d))
+    mb = panel.members_monthly(fx.member_rows(spark, d))
+    return panel.feature_join(ul, [tx, mb])
+
+
+def _lagcols_sql(cols):
+    out = []
+    for c in cols:
+        out.append(f"cast(p.{c} as double) as {c}_lag1")
+    for c in cols:
+        out.append(f"a.{c} - cast(p.{c} as double) as {c}_diff1")
+    return ",\n         ".join(out)
+
+
+REF_CHAIN = f"ll as ({fx.SQL_LINE_LOGS}), " + ORDER_PANEL + ",\n" + MR + """,
+ug as (select msno, safra, sum(num_unq) as num_unq, sum(total_secs) as total_secs,
+              sum(num_25 + num_50 + num_75 + num_985 + num_100) as plays_total
+       from ll group by msno, safra),
+mm as (select msno, safra, max(is_ativo) as is_ativo from mr group by msno, safra),
+ft as (select ug.msno, ug.safra, ug.total_secs, ug.num_unq, op.paid_sum, ug.plays_total,
+              cast(coalesce(ug.total_secs, 0) > 0 as integer) as has_usage,
+              cast(coalesce(op.paid_sum, 0) > 0 as integer) as has_payment,
+              op.auto_renew_rate, op.cancel_txn_count, mm.is_ativo,
+              cast((ug.safra // 100) * 12 + ug.safra % 100 - 1 as integer) as month_idx
+       from ug left join op on op.msno = ug.msno and op.safra = ug.safra
+               left join mm on mm.msno = ug.msno and mm.safra = ug.safra),
+cx as (
+  select a.msno, a.safra, a.month_idx, """ + ", ".join(f"a.{c}" for c in BASE8) + """,
+         cast(coalesce(a.is_ativo, 0) as integer) as is_ativo,
+         """ + _lagcols_sql(BASE8) + """,
+         case when f.msno is null then null
+              else cast(coalesce(f.is_ativo, 0) as integer) end as is_ativo_fut
+  from ft a
+  left join ft p on p.msno = a.msno and p.month_idx = a.month_idx - 1
+  left join ft f on f.msno = a.msno and f.month_idx = a.month_idx + 3
+)""" + DIAG[DIAG.index(",\ndg as ("):] + MODEL[MODEL.index(",\nmt as ("):]
+
+_REF_OUT = (["msno", "safra", *BASE8, "is_ativo", *[f"{c}_lag1" for c in BASE8],
+             *[f"{c}_diff1" for c in BASE8], "is_ativo_fut", "churn_3m", "label_trust",
+             "fut_active_rate", "churn_rate_month"])
+
+
+def _sql_round(c):
+    ints = {"msno", "safra", "has_usage", "has_payment", "is_ativo", "is_ativo_fut", "churn_3m",
+            "label_trust"}
+    return c if c in ints else f"round({c}, 6) as {c}"
+
+
+@query("reference_model_table", f"""
+with {REF_CHAIN}
+select {", ".join(_sql_round(c) for c in _REF_OUT)} from mt
+""")
+def q_reference_model_table(spark, d):
+    feat = reference_features(spark, d).select("msno", "safra", *BASE8, "is_ativo")
+    return r6(labels.model_table(feat, BASE8))
+
+
+@query("reference_label_trust", f"""
+with {REF_CHAIN}
+select safra, rows, round(fut_active_rate, 6) as fut_active_rate, round(churn_rate, 6) as churn_rate,
+       label_trust from diag
+""")
+def q_reference_label_trust(spark, d):
+    feat = reference_features(spark, d).select("msno", "safra", "is_ativo")
+    return r6(labels.label_trust(labels.forward_status(feat)))

@@ -111,6 +111,23 @@ def usage_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ orders as play logs of a customer: one play per line, its
+    completion bucket from the quantity, seconds from the price."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    q = F.col("l_quantity")
+    buckets = [(q <= 10), (q > 10) & (q <= 20), (q > 20) & (q <= 30), (q > 30) & (q <= 40), (q > 40)]
+    return j.select(
+        F.col("o_custkey").alias("msno"),
+        period_of_timestamp("l_shipdate").alias("safra"),
+        *[c.cast("double").alias(b) for c, b in zip(buckets, EVENT_BUCKETS.values())],
+        F.lit(1.0).alias("num_unq"),
+        F.round(F.col("l_extendedprice")).alias("total_secs"),
+    )
+
+
 def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
@@ -220,6 +237,19 @@ select event_id, user_id as msno,
 from events
 """
 
+SQL_LINE_LOGS = """
+select o_custkey as msno,
+       cast(year(l_shipdate)*100 + month(l_shipdate) as integer) as safra,
+       case when l_quantity <= 10 then 1.0 else 0.0 end::double as num_25,
+       case when l_quantity > 10 and l_quantity <= 20 then 1.0 else 0.0 end::double as num_50,
+       case when l_quantity > 20 and l_quantity <= 30 then 1.0 else 0.0 end::double as num_75,
+       case when l_quantity > 30 and l_quantity <= 40 then 1.0 else 0.0 end::double as num_985,
+       case when l_quantity > 40 then 1.0 else 0.0 end::double as num_100,
+       1.0::double as num_unq,
+       round(l_extendedprice)::double as total_secs
+from lineitem join orders on l_orderkey = o_orderkey
+"""
+
 SQL_MEMBER_ROWS = """
 select o_custkey as msno,
        cast(year(o_orderdate)*100 + month(o_orderdate) as integer) as safra,
