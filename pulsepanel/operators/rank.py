@@ -360,40 +360,46 @@ def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None
     return out, {r[group]: int(r["N"]) for r in brows}
 
 
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs) -> dict:
-    """{group: {p: linear-interpolated quantile}} computed without a hot task."""
-    pref, totals = grouped_prefix(df, group, value)
-    if not totals:
-        return {}
-    cond = None
+def _targets(totals: dict, probs) -> dict:
+    """{group: {0-based position needed by a linear quantile}}."""
+    out = {}
     for g, n in totals.items():
         js = set()
         for p in probs:
             pos = p * (n - 1)
             js.update({math.floor(pos), math.ceil(pos)})
-        inner = None
-        for j in js:
-            c = (F.col("cum_n") - F.col("n") <= j) & (F.col("cum_n") > j)
-            inner = c if inner is None else inner | c
-        c = (F.col(group) == F.lit(g)) & inner
-        cond = c if cond is None else cond | c
-    rows = pref.where(cond).select(group, value, "n", "cum_n").collect()
-    by_g: dict = {}
-    for r in rows:
-        by_g.setdefault(r[group], []).append(r)
-    out = {}
-    for g, n in totals.items():
-        rs = by_g.get(g, [])
+        out[g] = js
+    return out
 
-        def at(j):
-            r = next(r for r in rs if r["cum_n"] - r["n"] <= j < r["cum_n"])
-            return float(r[value])
 
-        q = {}
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            vlo, vhi = at(lo), at(hi)
-            q[p] = vlo + (vhi - vlo) * (pos - lo)
-        out[g] = q
-    return out
+def _lerp_quantiles(rows_by_j: dict, n: int, probs) -> dict:
+    q = {}
+    for p in probs:
+        pos = p * (n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        vlo, vhi = rows_by_j[lo], rows_by_j[hi]
+        q[p] = vlo + (vhi - vlo) * (pos - lo)
+    return q
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs) -> dict:
+    """{group: {p: linear-interpolated quantile}} computed without a hot task.
+
+    The positions each quantile needs (at most 2 x #probs per group) form a
+    small table that is broadcast and range-joined to the prefix rows.
+    """
+    spark = df.sparkSession
+    pref, totals = grouped_prefix(df, group, value)
+    if not totals:
+        return {}
+    tg = _targets(totals, probs)
+    gtype = pref.schema[group].dataType
+    tdf = spark.createDataFrame([(g, int(j)) for g, js in tg.items() for j in js],
+                                T.StructType([T.StructField(group, gtype),
+                                              T.StructField("_j", T.LongType())]))
+    hit = pref.join(F.broadcast(tdf), group).where(
+        (F.col("cum_n") - F.col("n") <= F.col("_j")) & (F.col("_j") < F.col("cum_n")))
+    found: dict = {}
+    for r in hit.select(group, "_j", F.col(value).cast("double").alias("v")).collect():
+        found.setdefault(r[group], {})[int(r["_j"])] = float(r["v"])
+    return {g: _lerp_quantiles(found.get(g, {}), n, probs) for g, n in totals.items()}

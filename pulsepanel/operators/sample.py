@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsepanel.operators.joins import join_small
 from pulsepanel.operators.rank import ordered_positions
 
 
@@ -28,33 +28,46 @@ def uniform_sample(df: DataFrame, n: int, keys, seed: int = 42) -> DataFrame:
     return pos.where(F.col("_p") <= n).drop("_h", "_p")
 
 
-def stratum_sizes(df: DataFrame, stratum: str, max_rows: int) -> DataFrame:
-    """Per stratum: rows and the exact sample size max(1, round_half_even(rows·frac)), capped."""
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("rows"))
-    total = df.count()
+def stratum_sizes(counts: dict, total: int, max_rows: int) -> dict:
+    """Exact per-stratum sizes: min(rows, max(1, round_half_even(rows * frac)))
+    with frac = max_rows / total in double arithmetic (Python ``round``)."""
     frac = max_rows / total if total else 1.0
-    n = F.least(F.col("rows"), F.greatest(F.lit(1), F.bround(F.col("rows") * F.lit(frac), 0)))
-    return counts.withColumn("n_sample", n.cast("bigint"))
+    return {s: min(n, max(1, int(round(n * frac)))) for s, n in counts.items()}
 
 
 def stratified_sample(df: DataFrame, max_rows: int, stratum: str = "safra", keys=("msno",),
-                      seed: int = 42) -> DataFrame:
+                      seed: int = 42, reuse: bool = True, max_strata: int = 100_000) -> DataFrame:
     """At most ``max_rows`` rows, proportional per stratum, exact sizes.
 
     Below ``max_rows`` the input is returned whole.  Otherwise each stratum
     keeps its ``n_sample`` smallest-hash rows; if rounding pushes the total
-    over ``max_rows`` a global hash trim follows.
+    over ``max_rows`` a global hash trim follows.  The per-stratum counts are
+    one small aggregate (strata are periods: a bounded domain, checked).
     """
+    from pulsepanel.sources.sinks import materialize
+
     keys = list(keys)
-    total = df.count()
-    if total <= max_rows:
-        return df
-    sizes = stratum_sizes(df, stratum, max_rows).select(stratum, "n_sample")
     x = df.withColumn("_h", _hash(keys + [stratum], seed))
-    pos = ordered_positions(x, ["_h", *keys], pos="_p", group=stratum)
-    picked = (join_small(pos, sizes, [stratum], "inner", what="stratum sizes")
+    if reuse:
+        x = materialize(x, "sample_input")
+    rows_ = x.groupBy(stratum).count().limit(max_strata + 1).collect()
+    if len(rows_) > max_strata:
+        raise ValueError("too many strata")
+    counts = {r[stratum]: int(r["count"]) for r in rows_}
+    total = sum(counts.values())
+    if total <= max_rows:
+        return x.drop("_h")
+    sizes = stratum_sizes(counts, total, max_rows)
+    stype = x.schema[stratum].dataType
+    sizes_df = x.sparkSession.createDataFrame(
+        list(sizes.items()), T.StructType([T.StructField(stratum, stype),
+                                           T.StructField("n_sample", T.LongType())]))
+    pos = ordered_positions(x, ["_h", *keys], pos="_p", group=stratum,
+                            max_group_rows=max(counts.values()))
+    # sizes_df was built on the driver from at most max_strata rows
+    picked = (pos.join(F.broadcast(sizes_df), [stratum], "inner")
               .where(F.col("_p") <= F.col("n_sample")).drop("_p", "n_sample"))
-    if picked.count() > max_rows:
+    if sum(sizes.values()) > max_rows:
         picked = ordered_positions(picked, ["_h", *keys, stratum], pos="_p").where(
             F.col("_p") <= max_rows).drop("_p")
     return picked.drop("_h")

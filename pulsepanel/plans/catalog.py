@@ -1014,7 +1014,7 @@ def q_table_profile(spark, d):
 with {SF},
 c as (select safra, count(*) as rows from sf group by safra),
 t as (select count(*) as n from sf)
-select safra, cast(least(rows, greatest(1, round_even(rows * (2000.0 / n), 0))) as bigint) as n
+select safra, cast(least(rows, greatest(1, round_even(rows * (2000.0::double / n), 0))) as bigint) as n
 from c, t
 """)
 def q_stratified_sample(spark, d):
