@@ -61,7 +61,12 @@ def scenario_grid(curve: DataFrame, arpu_value: float, base_rate: float | None,
 
 
 def best_policy(grid: DataFrame) -> DataFrame:
-    """Highest expected net per (free_months, accept_rate); ties -> smaller fraction."""
+    """Highest expected net per (free_months, accept_rate); ties -> smaller fraction.
+
+    Nets are compared at cent precision: policies whose nets are equal in
+    exact arithmetic can differ in the last float bits, and that noise must
+    not pick the winner.
+    """
     w = Window.partitionBy("free_months", "accept_rate").orderBy(
-        F.col("expected_net_NTD").desc(), F.col("top_frac").asc())
+        F.round(F.col("expected_net_NTD"), 2).desc(), F.col("top_frac").asc())
     return grid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")

@@ -976,7 +976,7 @@ def q_scenario_grid(spark, d):
 with {GRID_SQL}
 select {GRID_COLS} from grid
 qualify row_number() over (partition by free_months, accept_rate
-                           order by expected_net_NTD desc, top_frac) = 1
+                           order by round(expected_net_NTD, 2) desc, top_frac) = 1
 """)
 def q_best_policy(spark, d):
     return _money(r6(scenario.best_policy(_grid(spark, d))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsepanel.functions import periods as P
 from pulsepanel.functions import scalar as S
-from pulsepanel.operators import binning, clean, labels, metrics, panel, prep, rank, sample
+from pulsepanel.operators import binning, clean, labels, metrics, panel, prep, rank, sample, scenario
 
 
 def rows(df, *cols):
@@ -324,6 +324,18 @@ def test_dedup_keep_last_and_first(spark):
         clean.assert_unique(df, ["k"])
 
 
+def test_best_policy_ties_within_a_cent_take_smaller_fraction(spark):
+    g = spark.createDataFrame(
+        [(2, 0.5, 0.01, -14.0 * 386877.060213), (2, 0.5, 0.03, -14.0 * 386877.060213 + 1e-9),
+         (2, 0.5, 0.05, -20.0), (1, 0.5, 0.03, 5.0), (1, 0.5, 0.01, 4.99)],
+        "free_months int, accept_rate double, top_frac double, expected_net_NTD double")
+    got = {(r.free_months, r.top_frac) for r in scenario.best_policy(g).collect()}
+    assert got == {(2, 0.05), (1, 0.03)}
+    g2 = g.where("top_frac < 0.05")
+    got = {(r.free_months, r.top_frac) for r in scenario.best_policy(g2).collect()}
+    assert got == {(2, 0.01), (1, 0.03)}
+
+
 def test_normalize_keys_rejects_bad_period(spark):
     df = spark.createDataFrame([(1, "201601"), (2, "2016-01"), (None, "201602")],
                                "msno int, safra string")
