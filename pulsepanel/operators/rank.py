@@ -321,28 +321,31 @@ def exact_quantiles(df: DataFrame, value: str, probs) -> dict:
 GROUP_BUCKETS = 64
 
 
-def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
-                   max_groups: int = 10_000, weights=()):
-    """Ascending exact running counts of ``value`` within each ``group``.
+def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
+                         max_groups: int = 10_000, weights=(), descending: bool = False):
+    """Exact running counts (and weight sums) of ``value`` within each ``group``.
 
-    Same construction as :func:`value_prefix` with per-group boundaries
-    (one action: per-group approximate quantiles and totals, at most
+    Same construction as :func:`value_prefix` with per-group boundaries: one
+    action computes per-group approximate quantiles and totals (at most
     ``max_groups`` rows, checked).  Groups are a bounded domain (profiled
-    columns, model variants, periods).  Returns (lazy DataFrame, {group: N}).
+    columns, model variants, evaluation sets, periods).  Returns the lazy
+    prefix DataFrame (``n``, ``cum_n``, each weight and ``cum_<w>``) and
+    ``{group: {"n": N, w: total}}``.
     """
     spark = df.sparkSession
     nb = n_buckets or min(default_buckets(spark), GROUP_BUCKETS)
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     brows = (x.groupBy(group)
              .agg(F.percentile_approx(F.col(value).cast("double"), _probs(nb), 10_000).alias("b"),
-                  F.count(F.lit(1)).alias("N"))
+                  F.count(F.lit(1)).alias("N"), *[F.sum(F.col(w)).alias(w) for w in weights])
              .limit(max_groups + 1).collect())
     if len(brows) > max_groups:
         raise ValueError(f"more than {max_groups} groups in grouped_prefix")
     h = x.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"),
                                     *[F.sum(F.col(w)).alias(w) for w in weights])
+    totals = {r[group]: {"n": int(r["N"]), **{w: (r[w] or 0) for w in weights}} for r in brows}
     if not brows:
-        return h.withColumn("cum_n", F.col("n")), {}
+        return h.withColumn("cum_n", F.col("n")), totals
     gtype = h.schema[group].dataType
     kv = []
     for r in brows:
@@ -351,13 +354,86 @@ def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None
                F.array(*[F.lit(b) for b in bounds]).cast("array<double>")]
     bmap = F.create_map(*kv)
     vd = F.col(value).cast("double")
-    hb = h.withColumn("_bucket", F.size(F.filter(F.element_at(bmap, F.col(group)),
-                                                 lambda b: b < vd)).cast("int"))
-    out = _with_offsets(hb, {"n": F.col("n")}, group)
-    w = (Window.partitionBy(group, "_bucket").orderBy(F.col(value).asc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = out.withColumn("cum_n", F.col("_off_n") + F.sum("n").over(w)).drop("_off_n")
-    return out, {r[group]: int(r["N"]) for r in brows}
+    # bucket = boundaries before the value in the requested order
+    before = (lambda b: b > vd) if descending else (lambda b: b < vd)
+    hb = h.withColumn("_bucket", F.size(F.filter(F.element_at(bmap, F.col(group)), before))
+                      .cast("int"))
+    sums = {"n": F.col("n"), **{w: F.col(w) for w in weights}}
+    out = _with_offsets(hb, sums, group)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    w_run = (Window.partitionBy(group, "_bucket").orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.select("*", *[(F.col(f"_off_{k}") + F.sum(k).over(w_run)).alias(f"cum_{k}")
+                            for k in sums])
+    return out.drop(*[f"_off_{k}" for k in sums]), totals
+
+
+def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
+                   max_groups: int = 10_000, weights=()):
+    """Ascending grouped prefix; returns (lazy DataFrame, {group: N})."""
+    out, totals = grouped_value_prefix(df, group, value, n_buckets, max_groups, weights)
+    return out, {g: t["n"] for g, t in totals.items()}
+
+
+def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs, tie_keys,
+                        prefix: DataFrame, totals: dict) -> dict:
+    """{group: [{top_frac, k, TP, FP}]} for every group in one pass.
+
+    ``prefix`` / ``totals`` come from a descending :func:`grouped_value_prefix`
+    weighted by ``label``.  The (group, k) targets are a small broadcast
+    table (#groups x #fractions rows); the boundary rows are collected, and
+    only rows at partially-taken boundary scores are numbered by
+    ``tie_keys`` within their (group, score) - one job for all groups.
+    """
+    spark = df.sparkSession
+    gtype = prefix.schema[group].dataType
+    ks = {(g, f): topk_size(t["n"], f) for g, t in totals.items() for f in fracs}
+    tdf = spark.createDataFrame(
+        [(g, float(f), int(k)) for (g, f), k in ks.items()],
+        T.StructType([T.StructField(group, gtype), T.StructField("_f", T.DoubleType()),
+                      T.StructField("_k", T.LongType())]))
+    hit = prefix.join(F.broadcast(tdf), group).where(
+        (F.col("cum_n") >= F.col("_k")) & (F.col("cum_n") - F.col("n") < F.col("_k")))
+    rows = {(r[group], r["_f"]): r for r in hit.select(
+        group, "_f", score, "n", "cum_n", f"cum_{label}", label).collect()}
+    cuts: dict = {}
+    for (g, f), k in ks.items():
+        n_total = totals[g]["n"]
+        if k >= n_total:
+            cuts[(g, f)] = Cut(f, n_total, None, n_total, int(totals[g][label] or 0), 0, 0)
+            continue
+        r = rows[(g, float(f))]
+        above_n = int(r["cum_n"] - r["n"])
+        cuts[(g, f)] = Cut(f, k, r[score], above_n, int(r[f"cum_{label}"] - (r[label] or 0)),
+                           k - above_n, int(r["n"]), int(r[label] or 0))
+    partial = {key: c for key, c in cuts.items() if c.score is not None and 0 < c.need < c.tie_n}
+    extra = {}
+    if partial:
+        pairs = sorted({(g, c.score) for (g, _), c in partial.items()}, key=str)
+        cond = None
+        for g, sc in pairs:
+            c = (F.col(group) == F.lit(g)) & (F.col(score) == F.lit(sc))
+            cond = c if cond is None else cond | c
+        ties = df.where(cond).withColumn("_gs", F.struct(F.col(group), F.col(score)))
+        biggest = max(c.tie_n for c in partial.values())
+        pos = ordered_positions(ties, list(tie_keys), pos="_tie_pos", group="_gs",
+                                max_group_rows=biggest)
+        items = list(partial.items())
+        aggs = [F.sum(F.when((F.col(group) == F.lit(g)) & (F.col(score) == F.lit(c.score))
+                             & (F.col("_tie_pos") <= c.need), F.col(label)).otherwise(0))
+                .alias(f"tp{i}") for i, ((g, _), c) in enumerate(items)]
+        row = pos.agg(*aggs).first()
+        extra = {key: int(row[f"tp{i}"] or 0) for i, (key, _) in enumerate(items)}
+    out: dict = {}
+    for (g, f), c in cuts.items():
+        if c.score is None:
+            tp = c.above_pos
+        elif c.need >= c.tie_n:
+            tp = c.above_pos + c.tie_pos
+        else:
+            tp = c.above_pos + extra[(g, f)]
+        out.setdefault(g, []).append({"top_frac": f, "k": c.k, "TP": tp, "FP": c.k - tp})
+    return out
 
 
 def _targets(totals: dict, probs) -> dict:

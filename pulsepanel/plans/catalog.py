@@ -915,8 +915,7 @@ from a join tk on tk.split = a.split where a.split in ('val', 'test')
 """)
 def q_model_metrics(spark, d):
     s = metrics.reusable(_score_splits(spark, d), ["msno", "safra", "p_churn", "churn_3m", "split"])
-    rows = [metrics.eval_set(s.where(F.col("split") == name), name, reuse=False)
-            for name in ("val", "test")]
+    rows = metrics.eval_sets(s, "split", ("val", "test"))
     schema = ("set string, roc_auc double, pr_auc double, recall_top5pct double, "
               "churnrate_top5pct double, recall_top10pct double, k5 bigint")
     return r6(spark.createDataFrame(

@@ -227,6 +227,28 @@ def test_auc_ap_match_definitions(spark):
     assert g["x"] == pytest.approx(_auc_brute(y, p))
 
 
+@pytest.mark.parametrize("single_task", [True, False])
+def test_eval_sets_equal_one_set_at_a_time(spark, single_task, monkeypatch):
+    random.seed(11)
+    data = [(k, m, random.choice(["val", "test", "train"]),
+             float(random.choice([0.1, 0.5, 0.5, 0.9, 0.7, 0.3])), random.randint(0, 1))
+            for k in range(50) for m in range(4)]
+    df = spark.createDataFrame(data, "msno int, safra int, split string, p_churn double, "
+                                     "churn_3m int")
+    if not single_task:
+        monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
+        monkeypatch.setattr(rank, "GROUP_BUCKETS", 3)
+    got = metrics.eval_sets(df, "split", ("val", "test"))
+    want = [metrics.eval_set(df.where(F.col("split") == n), n, reuse=False) for n in ("val", "test")]
+    assert [g["set"] for g in got] == ["val", "test"]
+    for g, w in zip(got, want):
+        assert g["k5"] == w["k5"]
+        for c in ("roc_auc", "pr_auc", "recall_top5pct", "churnrate_top5pct", "recall_top10pct"):
+            assert g[c] == pytest.approx(w[c]), c
+    sub = [d for d in data if d[2] == "test"]
+    assert got[1]["roc_auc"] == pytest.approx(_auc_brute([d[4] for d in sub], [d[3] for d in sub]))
+
+
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(i, 0.1 * i, 1) for i in range(5)],
                                "msno int, p_churn double, churn_3m int")
