@@ -1122,13 +1122,34 @@ def q_segment_kmeans(spark, d):
     return m.transform(v).select("vec_id", "label", "cluster")
 
 
-@query("silhouette_sq")
+# Squared-Euclidean silhouette of the labelled clusters.  The mean distance
+# of x to cluster C is |x|^2 + sum_C |y|^2 / n_C - 2 x . sum_C y / n_C; the
+# own-cluster mean excludes x itself (x n / (n - 1)); a singleton scores 0.
+@query("silhouette_sq", """
+with e as (select vec_id, label as c, cast(embedding as double[]) as x
+           from embeddings where label is not null),
+u as (select vec_id, c, unnest(x) as v, unnest(generate_series(1, len(x))) as d from e),
+cs as (select c, d, sum(v) as s from u group by c, d),
+cn as (select c, count(*)::double as n, sum(list_dot_product(x, x)) as q from e group by c),
+dt as (select u.vec_id, cs.c as t, sum(u.v * cs.s) as xs
+       from u join cs on u.d = cs.d group by u.vec_id, cs.c),
+dist as (select e.vec_id, e.c, dt.t, cn.n as nt,
+                list_dot_product(e.x, e.x) + cn.q / cn.n - 2 * dt.xs / cn.n as dd
+         from e join dt on e.vec_id = dt.vec_id join cn on cn.c = dt.t),
+own as (select vec_id, nt, dd * nt / (nt - 1) as a from dist where t = c),
+oth as (select vec_id, min(dd) as b from dist where t <> c group by vec_id),
+pt as (select case when own.nt = 1 then 0.0 when a < b then 1 - a / b
+                   when a > b then b / a - 1 else 0.0 end as si
+       from own join oth using (vec_id))
+select round(avg(si), 6) as silhouette from pt
+""")
 def q_silhouette_sq(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    v = fx.vector_frame(spark, d).withColumn("features", array_to_vector("embedding"))
+    v = fx.vector_frame(spark, d).where(F.col("label").isNotNull())
+    v = v.withColumn("features", array_to_vector("embedding"))
     s = segment.silhouette_sq(v.withColumn("cluster", F.col("label").cast("int")))
-    return spark.createDataFrame([(s,)], "silhouette double")
+    return r6(spark.createDataFrame([(s,)], "silhouette double"))
 
 
 def queries() -> dict:
