@@ -2,7 +2,8 @@
 
 ``sampleBy``/``sample`` are Bernoulli: the size is only expected.  These
 operators take an exact number of rows chosen by a seeded hash order
-(``xxhash64(keys, seed)``, ties broken by the keys), numbered with
+(the first 60 bits of ``md5("seed|key1|key2...")``, ties broken by the
+keys), numbered with
 :func:`ordered_positions` - range buckets on the uniform hash, so neither a
 big stratum nor a big table funnels through one task.
 """
@@ -17,7 +18,12 @@ from pulsepanel.operators.rank import ordered_positions
 
 
 def _hash(keys, seed: int) -> F.Column:
-    return F.xxhash64(F.lit(int(seed)), *[F.col(k) for k in keys])
+    """Seeded 60-bit hash: the first 15 hex digits of md5 over the seed and
+    the keys' string forms joined by '|' (NULL keys skipped).  Any engine with
+    ``md5`` computes the same order (for integer / string keys), so samples
+    are reproducible outside Spark."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform_sample(df: DataFrame, n: int, keys, seed: int = 42) -> DataFrame:

@@ -1009,21 +1009,46 @@ def q_table_profile(spark, d):
 # =========================================================== 2.9 / 2.10 prep
 
 
+# Sample order: first 15 hex digits of md5('seed|keys'), then the keys.
 @query("stratified_sample", f"""
 with {SF},
+h as (select *, substr(md5(concat_ws('|', '42', msno::varchar, safra::varchar)), 1, 15) as h
+      from sf),
+c as (select safra, count(*) as rows from h group by safra),
+t as (select count(*) as n from h),
+z as (select safra, least(rows, greatest(1, round_even(rows * (2000.0::double / n), 0))) as n_sample
+      from c, t),
+p as (select h.* from h join z using (safra)
+      qualify row_number() over (partition by safra order by h, msno) <= max(n_sample)
+              over (partition by safra))
+select msno, safra, month_idx, churn_3m, p_churn from p
+qualify row_number() over (order by h, msno, safra) <= 2000
+""")
+def q_stratified_sample(spark, d):
+    return sample.stratified_sample(fx.score_frame(spark, d), 2000, "safra", ["msno"])
+
+
+@query("stratified_sizes", f"""
+with {SF},
 c as (select safra, count(*) as rows from sf group by safra),
 t as (select count(*) as n from sf)
 select safra, cast(least(rows, greatest(1, round_even(rows * (2000.0::double / n), 0))) as bigint) as n
 from c, t
 """)
-def q_stratified_sample(spark, d):
+def q_stratified_sizes(spark, d):
     s = sample.stratified_sample(fx.score_frame(spark, d), 2000, "safra", ["msno"])
     return s.groupBy("safra").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("uniform_sample")
+@query("uniform_sample", f"""
+with {SF}
+select msno, safra, month_idx, churn_3m, p_churn from sf
+qualify row_number() over (
+  order by substr(md5(concat_ws('|', '42', msno::varchar, safra::varchar)), 1, 15), msno, safra)
+  <= 1000
+""")
 def q_uniform_sample(spark, d):
-    # exact-size seeded sample of the score frame (X2); content is hash-chosen
+    # exact-size seeded sample of the score frame (X2)
     return sample.uniform_sample(fx.score_frame(spark, d), 1000, ["msno", "safra"])
 
 

@@ -334,6 +334,32 @@ def test_stratified_sizes_half_even(spark):
     assert u.count() == 7
 
 
+@pytest.mark.parametrize("single_task", [True, False])
+def test_samples_match_md5_brute_force(spark, single_task, monkeypatch):
+    import hashlib
+
+    if not single_task:
+        monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
+    data = [(k, 201601 + m) for k in range(60) for m in range(3)] + [(k, 201604) for k in range(7)]
+    df = spark.createDataFrame(data, "msno int, safra int")
+
+    def h(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    want = sorted(data, key=lambda r: (h(42, r[0], r[1]), r[0], r[1]))[:25]
+    assert sorted(rows(sample.uniform_sample(df, 25, ["msno", "safra"]), "msno", "safra")) \
+        == sorted(want)
+    # 187 rows, max 40: sizes round(60*40/187) = 13 (x3) and round(7*40/187) = 1
+    frac = 40 / len(data)
+    picked = []
+    for m in (201601, 201602, 201603, 201604):
+        part = sorted((r for r in data if r[1] == m), key=lambda r: (h(42, r[0], r[1]), r[0]))
+        picked += part[:min(len(part), max(1, round(len(part) * frac)))]
+    picked = sorted(picked, key=lambda r: (h(42, r[0], r[1]), r[0], r[1]))[:40]
+    got = rows(sample.stratified_sample(df, 40, "safra", ["msno"]), "msno", "safra")
+    assert sorted(got) == sorted(picked)
+
+
 def test_dedup_keep_last_and_first(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("a", 3, 5), ("b", 1, 1)],
                                "k string, ord int, v int")
