@@ -1129,7 +1129,7 @@ def q_choose_k(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     v = fx.vector_frame(spark, d).withColumn("features", array_to_vector("embedding"))
-    best, rows_ = segment.choose_k(v, range(2, 11))
+    best, rows_ = segment.choose_k(v, range(2, 11), keys=["vec_id"])
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], int(r["k"] == best))
                                   for r in rows_],
                                  "k int, inertia double, silhouette double, chosen int")
