@@ -31,22 +31,28 @@ def duplicate_keys(df: DataFrame, keys) -> DataFrame:
             .where(F.col("n_rows") > 1))
 
 
-def dedup(df: DataFrame, keys, order_cols, keep: str = "last") -> DataFrame:
+def dedup(df: DataFrame, keys, order_cols, keep: str = "last", cols=None) -> DataFrame:
     """One row per key: the last (or first) in ``order_cols`` order.
 
-    ``max_by``/``min_by`` over a struct of all columns is a partial
+    ``max_by``/``min_by`` over a struct of the kept columns is a partial
     aggregate, so a key holding a third of all rows is reduced map-side
     instead of being ranked in one window task.  ``order_cols`` must make
-    the order total for the result to be deterministic.
+    the order total for the result to be deterministic.  ``cols`` lists the
+    output columns besides the keys (default: all): Catalyst does not prune
+    fields of a struct built inside an aggregate, so name only what is
+    needed to keep the scan and the shuffle narrow.
     """
     keys = list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in (cols if cols is not None else df.columns) if c not in keys]
+    final = keys + rest if cols is not None else df.columns
+    df = df.select(*dict.fromkeys(keys + rest + order_cols))
     payload = F.struct(*[F.col(c) for c in rest])
     ordering = F.struct(*[F.col(c) for c in order_cols])
     pick = F.max_by if keep == "last" else F.min_by
     out = df.groupBy(*keys).agg(pick(payload, ordering).alias("_row"))
-    return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    out = out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return out.select(*final)
 
 
 def assert_unique(df: DataFrame, keys, what: str = "table") -> None:

@@ -743,10 +743,9 @@ qualify row_number() over (partition by l_orderkey, l_linenumber
 """)
 def q_dedup_keep_last(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    out = clean.dedup(li, ["l_orderkey", "l_linenumber"],
-                      ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"], keep="last")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                      "l_extendedprice")
+    return clean.dedup(li, ["l_orderkey", "l_linenumber"],
+                       ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"], keep="last",
+                       cols=["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
 
 
 @query("dedup_keep_first", """
@@ -757,10 +756,9 @@ qualify row_number() over (partition by l_orderkey, l_linenumber
 """)
 def q_dedup_keep_first(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    out = clean.dedup(li, ["l_orderkey", "l_linenumber"],
-                      ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"], keep="first")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                      "l_extendedprice")
+    return clean.dedup(li, ["l_orderkey", "l_linenumber"],
+                       ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"], keep="first",
+                       cols=["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
 
 
 @query("topk_flags", f"""

@@ -36,6 +36,11 @@ def test_dedup_is_partial_aggregate(spark):
     s = plan(clean.dedup(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"]))
     assert "partial_max_by" in s
     assert "Window" not in s
+    # only the named columns are scanned and shuffled
+    s = plan(catalog.QUERIES["dedup_keep_last"](spark, SF_SMALL))
+    assert ("ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,"
+            "l_linenumber:int,l_quantity:double,l_extendedprice:double,"
+            "l_shipdate:timestamp_ntz>") in s
 
 
 def test_panel_aggregation_is_two_phase(spark):
