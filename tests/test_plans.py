@@ -37,7 +37,12 @@ def test_dedup_is_partial_aggregate(spark):
     assert "partial_max_by" in s
     assert "Window" not in s
     # only the named columns are scanned and shuffled
-    s = plan(catalog.QUERIES["dedup_keep_last"](spark, SF_SMALL))
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        s = plan(catalog.QUERIES["dedup_keep_last"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
     assert ("ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,"
             "l_linenumber:int,l_quantity:double,l_extendedprice:double,"
             "l_shipdate:timestamp_ntz>") in s
