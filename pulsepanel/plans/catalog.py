@@ -669,6 +669,19 @@ def q_segment_drift(spark, d):
     return r6(segment.segment_drift(fx.segment_frame(spark, d)))
 
 
+@query("segment_relabel", f"""
+with {SG},
+m as (select cluster, avg(p_churn) as m from sg group by cluster),
+r as (select cluster, cast(row_number() over (order by m desc nulls last, cluster) - 1 as integer)
+             as new_id from m)
+select sg.msno, sg.safra, sg.p_churn, r.new_id as cluster
+from sg left join r on sg.cluster = r.cluster
+""")
+def q_segment_relabel(spark, d):
+    sg = fx.segment_frame(spark, d).select("msno", "safra", "p_churn", "cluster")
+    return segment.relabel_by_risk(sg, "cluster", "p_churn")
+
+
 @query("score_threshold", f"""
 with {SF}
 select round(quantile_cont(p_churn, 0.05), 6) as p05, round(quantile_cont(p_churn, 0.5), 6) as p50,
