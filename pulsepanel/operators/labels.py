@@ -22,6 +22,23 @@ MIN_FUTURE_ACTIVE_RATE = 0.01
 MAX_CHURN_RATE = 0.95
 
 
+def trust_from_rates(far, cr, observed=None, eligible=None) -> F.Column:
+    """1 when the period's label can be trusted, else 0.
+
+    ``far`` / ``cr``: future-active and churn rates (columns or names);
+    ``observed`` / ``eligible``: optional row counts - a period with none of
+    either is never trusted.
+    """
+    far = F.col(far) if isinstance(far, str) else far
+    cr = F.col(cr) if isinstance(cr, str) else cr
+    empty = F.lit(False)
+    for c in (observed, eligible):
+        if c is not None:
+            empty = empty | ((F.col(c) if isinstance(c, str) else c) == 0)
+    return (F.when(empty, 0)
+            .when((far < MIN_FUTURE_ACTIVE_RATE) | (cr > MAX_CHURN_RATE), 0).otherwise(1))
+
+
 def forward_status(panel: DataFrame, key: str = "msno", period: str = "safra",
                    status: str = "is_ativo", horizon: int = 3, idx: str | None = None,
                    out: str | None = None) -> DataFrame:
@@ -85,8 +102,7 @@ def label_trust(status_panel: DataFrame, period: str = "safra", status: str = "i
     cr = F.when(F.col("_elig") > 0, F.col("_churn").cast("double") / F.col("_elig")).otherwise(0.0)
     rows = (F.when(F.col("_obs") == 0, F.lit(0))
             .when(F.col("_elig") == 0, F.col("_obs")).otherwise(F.col("_elig")))
-    trust = (F.when((F.col("_obs") == 0) | (F.col("_elig") == 0), 0)
-             .when((far < MIN_FUTURE_ACTIVE_RATE) | (cr > MAX_CHURN_RATE), 0).otherwise(1))
+    trust = trust_from_rates(far, cr, "_obs", "_elig")
     return g.select(period, rows.cast("bigint").alias("rows"), far.alias("fut_active_rate"),
                     cr.alias("churn_rate"), trust.cast("int").alias("label_trust"))
 
