@@ -37,13 +37,43 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def _clean_bounds(vals) -> list[float]:
-    return sorted({float(b) for b in (vals or []) if b is not None and not math.isnan(b)})
+    return sorted({float(b) for b in (vals or []) if b is not None and math.isfinite(b)})
 
 
 def _probs(n_buckets: int) -> list[float]:
     return [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
 
 
+def _sortable_number(df: DataFrame, col: str) -> F.Column:
+    """A double that never decreases as ``col`` increases (ties allowed).
+
+    Range buckets only need a monotone image of the order column: numbers
+    as they are, dates / timestamps as day / microsecond counts, strings
+    and binary by their first 7 bytes read as a big-endian integer (Spark
+    compares strings byte-wise), booleans as 0 / 1.
+    """
+    return F.coalesce(_monotone(df, col), F.lit(-math.inf))   # NULLs sort first
+
+
+def _monotone(df: DataFrame, col: str) -> F.Column:
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(F.isnan(c), F.lit(math.inf)).otherwise(c.cast("double"))  # NaN sorts last
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.substring(F.hex(c), 1, 14), 14, "0")
+        return F.conv(head, 16, 10).cast("bigint").cast("double")
+    raise TypeError(f"cannot range-bucket on {col} of type {dt.simpleString()}")
+
+
 def _bucketize(h: DataFrame, value: str, bounds: list[float], descending: bool) -> DataFrame:
     """Bucket id (0 first in the requested order) via a JVM binary search."""
     nb = len(bounds) + 1
@@ -148,14 +178,13 @@ def ordered_positions(df: DataFrame, order_cols, n_buckets: int | None = None,
         return df.withColumn(pos, F.row_number().over(w).cast("long"))
     spark = df.sparkSession
     n_buckets = n_buckets or default_buckets(spark)
-    first = order_cols[0]
-    st = df.agg(F.percentile_approx(F.col(first).cast("double"), _probs(n_buckets), 10_000)
-                .alias("b")).first()
+    x = df.withColumn("_ok", _sortable_number(df, order_cols[0]))
+    st = x.agg(F.percentile_approx(F.col("_ok"), _probs(n_buckets), 10_000).alias("b")).first()
     bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
-    xb = _with_offsets(_bucketize(df, first, bounds, False), {"n": F.lit(1)}, group)
+    xb = _with_offsets(_bucketize(x, "_ok", bounds, False), {"n": F.lit(1)}, group)
     w = Window.partitionBy(*gcols, "_bucket").orderBy(*order)
     return (xb.withColumn(pos, F.col("_off_n") + F.row_number().over(w))
-            .drop("_off_n", "_bucket"))
+            .drop("_off_n", "_bucket", "_ok"))
 
 
 @dataclass

@@ -183,6 +183,24 @@ def test_topk_ties_match_brute_force(spark, nb, monkeypatch):
     assert [sums[str(f)] for f in fracs] == [max(1, int(len(data) * f)) for f in fracs]
 
 
+def test_positions_on_string_keys_use_many_buckets(spark, monkeypatch):
+    import base64
+    import hashlib
+
+    monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
+    keys = [base64.b64encode(hashlib.sha1(str(i).encode()).digest()).decode() for i in range(300)]
+    keys += ["é-accent", "Ωmega", "", None]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "msno string, v int")
+    got = {r.msno: r._pos for r in rank.ordered_positions(df, ["msno"], n_buckets=8).collect()}
+    want = sorted(keys, key=lambda k: (k is not None, (k or "").encode()))
+    assert [got[k] for k in want] == list(range(1, len(keys) + 1))
+    # the bucket image is monotone and spreads the keys
+    img = df.select("msno", rank._sortable_number(df, "msno").alias("o")).collect()
+    img = sorted(img, key=lambda r: (r.msno is not None, (r.msno or "").encode()))
+    assert [r.o for r in img] == sorted(r.o for r in img)
+    assert len({r.o for r in img}) > 250
+
+
 def test_topk_all_equal_and_tiny(spark):
     df = spark.createDataFrame([(i, 0, 0.5, i % 2) for i in range(7)],
                                "msno int, safra int, p_churn double, churn_3m int")
