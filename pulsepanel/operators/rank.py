@@ -375,18 +375,17 @@ def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int |
     totals = {r[group]: {"n": int(r["N"]), **{w: (r[w] or 0) for w in weights}} for r in brows}
     if not brows:
         return h.withColumn("cum_n", F.col("n")), totals
+    # Per-group boundaries: a driver-built table of at most max_groups rows
+    # (checked above), broadcast rather than inlined as plan literals.
     gtype = h.schema[group].dataType
-    kv = []
-    for r in brows:
-        bounds = _clean_bounds(r["b"]) if nb > 1 else []
-        kv += [F.lit(r[group]).cast(gtype),
-               F.array(*[F.lit(b) for b in bounds]).cast("array<double>")]
-    bmap = F.create_map(*kv)
+    btab = spark.createDataFrame(
+        [(r[group], _clean_bounds(r["b"]) if nb > 1 else []) for r in brows],
+        T.StructType([T.StructField(group, gtype), T.StructField("_b", T.ArrayType(T.DoubleType()))]))
     vd = F.col(value).cast("double")
     # bucket = boundaries before the value in the requested order
     before = (lambda b: b > vd) if descending else (lambda b: b < vd)
-    hb = h.withColumn("_bucket", F.size(F.filter(F.element_at(bmap, F.col(group)), before))
-                      .cast("int"))
+    hb = (h.join(F.broadcast(btab), group)
+          .withColumn("_bucket", F.size(F.filter(F.col("_b"), before)).cast("int")).drop("_b"))
     sums = {"n": F.col("n"), **{w: F.col(w) for w in weights}}
     out = _with_offsets(hb, sums, group)
     order = F.col(value).desc() if descending else F.col(value).asc()
