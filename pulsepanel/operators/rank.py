@@ -437,21 +437,23 @@ def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs
     partial = {key: c for key, c in cuts.items() if c.score is not None and 0 < c.need < c.tie_n}
     extra = {}
     if partial:
-        pairs = sorted({(g, c.score) for (g, _), c in partial.items()}, key=str)
-        cond = None
-        for g, sc in pairs:
-            c = (F.col(group) == F.lit(g)) & (F.col(score) == F.lit(sc))
-            cond = c if cond is None else cond | c
-        ties = df.where(cond).withColumn("_gs", F.struct(F.col(group), F.col(score)))
+        # (group, fraction, boundary score, rows needed from its ties): at
+        # most #groups x #fractions rows, built on the driver and broadcast.
+        stype = prefix.schema[score].dataType
+        need = spark.createDataFrame(
+            [(g, float(f), c.score, int(c.need)) for (g, f), c in partial.items()],
+            T.StructType([T.StructField(group, gtype), T.StructField("_f", T.DoubleType()),
+                          T.StructField(score, stype), T.StructField("_need", T.LongType())]))
+        ties = (df.join(F.broadcast(need.select(group, score).distinct()), [group, score],
+                        "left_semi")
+                .withColumn("_gs", F.struct(F.col(group), F.col(score))))
         biggest = max(c.tie_n for c in partial.values())
         pos = ordered_positions(ties, list(tie_keys), pos="_tie_pos", group="_gs",
                                 max_group_rows=biggest)
-        items = list(partial.items())
-        aggs = [F.sum(F.when((F.col(group) == F.lit(g)) & (F.col(score) == F.lit(c.score))
-                             & (F.col("_tie_pos") <= c.need), F.col(label)).otherwise(0))
-                .alias(f"tp{i}") for i, ((g, _), c) in enumerate(items)]
-        row = pos.agg(*aggs).first()
-        extra = {key: int(row[f"tp{i}"] or 0) for i, (key, _) in enumerate(items)}
+        tp = (pos.join(F.broadcast(need), [group, score])
+              .where(F.col("_tie_pos") <= F.col("_need"))
+              .groupBy(group, "_f").agg(F.sum(F.col(label)).alias("_tp")))
+        extra = {(r[group], r["_f"]): int(r["_tp"] or 0) for r in tp.collect()}
     out: dict = {}
     for (g, f), c in cuts.items():
         if c.score is None:
@@ -459,7 +461,7 @@ def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs
         elif c.need >= c.tie_n:
             tp = c.above_pos + c.tie_pos
         else:
-            tp = c.above_pos + extra[(g, f)]
+            tp = c.above_pos + extra.get((g, float(f)), 0)
         out.setdefault(g, []).append({"top_frac": f, "k": c.k, "TP": tp, "FP": c.k - tp})
     return out
 
