@@ -55,8 +55,10 @@ def ensure_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value always wins.  Only when the setting is absent (local
-    tests) a scratch folder is created and registered.
+    The cluster's value always wins.  Only when the setting is absent and
+    the master is local (tests, bench) a scratch folder is created and
+    registered; on a cluster a missing setting is an error, because a
+    machine-local folder is not visible to other executors.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -67,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="pulsepanel-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
