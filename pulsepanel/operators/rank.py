@@ -351,7 +351,8 @@ GROUP_BUCKETS = 64
 
 
 def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
-                         max_groups: int = 10_000, weights=(), descending: bool = False):
+                         max_groups: int = 10_000, weights=(), descending: bool = False,
+                         extra_aggs: dict | None = None):
     """Exact running counts (and weight sums) of ``value`` within each ``group``.
 
     Same construction as :func:`value_prefix` with per-group boundaries: one
@@ -359,20 +360,24 @@ def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int |
     ``max_groups`` rows, checked).  Groups are a bounded domain (profiled
     columns, model variants, evaluation sets, periods).  Returns the lazy
     prefix DataFrame (``n``, ``cum_n``, each weight and ``cum_<w>``) and
-    ``{group: {"n": N, w: total}}``.
+    ``{group: {"n": N, w: total, name: extra}}`` - ``extra_aggs`` are more
+    per-group aggregates over the non-NULL rows, computed in the same pass.
     """
     spark = df.sparkSession
     nb = n_buckets or min(default_buckets(spark), GROUP_BUCKETS)
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    extra_aggs = extra_aggs or {}
     brows = (x.groupBy(group)
              .agg(F.percentile_approx(F.col(value).cast("double"), _probs(nb), 10_000).alias("b"),
-                  F.count(F.lit(1)).alias("N"), *[F.sum(F.col(w)).alias(w) for w in weights])
+                  F.count(F.lit(1)).alias("N"), *[F.sum(F.col(w)).alias(w) for w in weights],
+                  *[e.alias(f"_x_{k}") for k, e in extra_aggs.items()])
              .limit(max_groups + 1).collect())
     if len(brows) > max_groups:
         raise ValueError(f"more than {max_groups} groups in grouped_prefix")
     h = x.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"),
                                     *[F.sum(F.col(w)).alias(w) for w in weights])
-    totals = {r[group]: {"n": int(r["N"]), **{w: (r[w] or 0) for w in weights}} for r in brows}
+    totals = {r[group]: {"n": int(r["N"]), **{w: (r[w] or 0) for w in weights},
+                         **{k: r[f"_x_{k}"] for k in extra_aggs}} for r in brows}
     if not brows:
         return h.withColumn("cum_n", F.col("n")), totals
     # Per-group boundaries: a driver-built table of at most max_groups rows
@@ -489,15 +494,22 @@ def _lerp_quantiles(rows_by_j: dict, n: int, probs) -> dict:
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs) -> dict:
-    """{group: {p: linear-interpolated quantile}} computed without a hot task.
+    """{group: {p: linear-interpolated quantile}} computed without a hot task."""
+    pref, totals = grouped_prefix(df, group, value)
+    return quantiles_from_grouped_prefix(pref, totals, group, value, probs)
+
+
+def quantiles_from_grouped_prefix(pref: DataFrame, totals: dict, group: str, value: str,
+                                  probs) -> dict:
+    """Quantiles of every group from an ascending grouped prefix.
 
     The positions each quantile needs (at most 2 x #probs per group) form a
     small table that is broadcast and range-joined to the prefix rows.
+    ``totals`` is ``{group: N}``.
     """
-    spark = df.sparkSession
-    pref, totals = grouped_prefix(df, group, value)
     if not totals:
         return {}
+    spark = pref.sparkSession
     tg = _targets(totals, probs)
     gtype = pref.schema[group].dataType
     tdf = spark.createDataFrame([(g, int(j)) for g, js in tg.items() for j in js],
