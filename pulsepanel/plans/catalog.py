@@ -1185,6 +1185,37 @@ def q_silhouette_sq(spark, d):
     return r6(spark.createDataFrame([(s,)], "silhouette double"))
 
 
+@query("reference_segments")
+def q_reference_segments(spark, d):
+    """Segmentation chain: model table ⋈ test scores -> segment profile.
+
+    Dedup both sides (keep last), keep model periods that have scores,
+    validated one-to-one join, stratified sample (<= 300k rows), p95
+    action flags, median imputation + population scaling, k chosen on a
+    30k sample, k-means, ids relabelled by risk, profile per segment.
+    """
+    from pulsepanel.operators import prep
+
+    keys = ["msno", "safra"]
+    model = _model(spark, d).drop("churn_3m")
+    scores = fx.score_frame(spark, d).select("msno", "safra", "p_churn", "churn_3m")
+    model = clean.dedup(model, keys, ["month_idx"], keep="last")
+    scores = clean.dedup(scores, keys, ["p_churn"], keep="last")
+    model = joins.semi_join_periods(model, scores, "safra")
+    x = joins.join_one_to_one(model, scores, keys)
+    x = sample.stratified_sample(x, segment.MAX_ROWS_CLUSTERING, "safra", ["msno"])
+    thr = rank.exact_quantiles(x, "p_churn", [0.95])[0.95]
+    x = segment.confusion_flags(x, thr)
+    feats = segment.cluster_features(x)
+    x = prep.median_impute(x, feats)
+    x = prep.standardize(x, feats, suffix="__z")
+    v = segment.assemble(x, [f"{c}__z" for c in feats])
+    best, _ = segment.choose_k(v, range(2, 11), keys=keys)
+    pred = segment.kmeans_fit(v, best).transform(v)
+    pred = segment.relabel_by_risk(pred.drop("features"), "cluster", "p_churn")
+    return r6(segment.segment_profile(pred, extra_means=["n_lines", "qty"]))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
