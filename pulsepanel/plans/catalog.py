@@ -1185,6 +1185,30 @@ def q_silhouette_sq(spark, d):
     return r6(spark.createDataFrame([(s,)], "silhouette double"))
 
 
+@query("reference_churn_model")
+def q_reference_churn_model(spark, d):
+    """Modelling chain: model table -> metrics per evaluation set.
+
+    Eligible trusted rows, last 4 periods test and the 2 before validation,
+    imputation + one-hot + GBT with the reference's settings fitted on
+    train, then ROC-AUC, average precision and top-5 % / 10 % campaign
+    numbers of validation and test from one grouped pass.
+    """
+    from pulsepanel.operators.train import fit_churn_model, temporal_split
+
+    mt = temporal_split(labels.eligible_trusted(_model(spark, d)))
+    mt = metrics.reusable(mt, mt.columns)
+    model = fit_churn_model(mt.where(F.col("split") == "train"), "churn_3m",
+                            extra_drop=["month_idx", "split"])
+    scored = model.score(mt.where(F.col("split").isin("val", "test")))
+    rows = metrics.eval_sets(scored, "split", ("val", "test"))
+    schema = ("set string, roc_auc double, pr_auc double, recall_top5pct double, "
+              "churnrate_top5pct double, recall_top10pct double, k5 bigint")
+    return r6(spark.createDataFrame(
+        [(r["set"], r["roc_auc"], r["pr_auc"], r["recall_top5pct"], r["churnrate_top5pct"],
+          r["recall_top10pct"], r["k5"]) for r in rows], schema))
+
+
 @query("reference_segments")
 def q_reference_segments(spark, d):
     """Segmentation chain: model table ⋈ test scores -> segment profile.
