@@ -449,8 +449,11 @@ def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs
             [(g, float(f), c.score, int(c.need)) for (g, f), c in partial.items()],
             T.StructType([T.StructField(group, gtype), T.StructField("_f", T.DoubleType()),
                           T.StructField(score, stype), T.StructField("_need", T.LongType())]))
-        ties = (df.join(F.broadcast(need.select(group, score).distinct()), [group, score],
-                        "left_semi")
+        pairs = spark.createDataFrame(sorted({(g, c.score) for (g, _), c in partial.items()},
+                                             key=str),
+                                      T.StructType([T.StructField(group, gtype),
+                                                    T.StructField(score, stype)]))
+        ties = (df.join(F.broadcast(pairs), [group, score], "left_semi")
                 .withColumn("_gs", F.struct(F.col(group), F.col(score))))
         biggest = max(c.tie_n for c in partial.values())
         pos = ordered_positions(ties, list(tie_keys), pos="_tie_pos", group="_gs",
