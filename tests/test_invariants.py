@@ -43,3 +43,26 @@ def test_recall_and_captures_monotone_in_k(spark):
     assert [r.TP for r in rows] == sorted(r.TP for r in rows)
     assert [r.recall for r in rows] == sorted(r.recall for r in rows)
     assert all(r.TP + r.FP == r.k for r in rows)
+
+
+def test_hot_key_holding_a_third_of_rows_stays_exact(spark, monkeypatch):
+    from pulsepanel.operators import panel, rank, sample
+
+    monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)   # distributed numbering
+    rows = [("hot", 201601 + (i % 3), float(i % 7), i) for i in range(300)]
+    rows += [(f"k{i % 97}", 201601 + (i % 3), float(i % 5), 1000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "msno string, safra int, num_unq double, ord int")
+    # panel aggregate: sums per (key, period) equal the brute force
+    got = {(r.msno, r.safra): r.num_unq for r in panel.usage_monthly(df).collect()}
+    want = {}
+    for k, s, v, _ in rows:
+        want[(k, s)] = want.get((k, s), 0.0) + v
+    assert got == want
+    # dedup: the hot key keeps its last row by order
+    last = {r.msno: r.ord for r in clean.dedup(df, ["msno"], ["ord"], "last").collect()}
+    assert last["hot"] == 299 and len(last) == 98
+    # exact samples: sizes hold although one key is a third of the rows
+    assert sample.uniform_sample(df, 50, ["msno", "ord"]).count() == 50
+    strat = sample.stratified_sample(df, 90, "safra", ["msno", "ord"])
+    assert strat.count() == 90
+    assert sorted(r["count"] for r in strat.groupBy("safra").count().collect()) == [30, 30, 30]
