@@ -2,9 +2,10 @@
 
 Comparison: column names (sorted), a coarse type class per column
 (int / float / string / other), row count, and the multiset of rows with
-floats rounded to 6 decimals.  Usable as a script:
+floats rounded to 6 decimals (``--exact``: floats compared bit for bit).
+Usable as a script:
 
-    python tests/oracle_check.py /root/testdata/sf0.01 [name ...]
+    python tests/oracle_check.py [--exact] /root/testdata/sf0.01 [name ...]
 """
 
 from __future__ import annotations
@@ -54,11 +55,14 @@ def _cls_duck(t: str) -> str:
     return t.lower()
 
 
+EXACT = False
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return (v if EXACT else round(v, 6)) + 0.0
     return v
 
 
@@ -98,6 +102,10 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
 
 
 def main(argv):
+    global EXACT
+    if "--exact" in argv:
+        EXACT = True
+        argv = [a for a in argv if a != "--exact"]
     sys.path.insert(0, ".")
     from pulsepanel import get_spark
     from pulsepanel.plans.catalog import oracle_sql, queries
