@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepanel.llm import exact_dedup as dedup
-from pulsepanel.llm import mixing, sharding
+from pulsepanel.llm import (fingerprint, hmm, license_scan, mixing, ngram_join, packing, quality,
+                            sharding, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +104,92 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- 2 scoring
+@query("op2_hmm_score")
+def op2_hmm_score(spark, sf_dir):
+    """Hidden Markov and unigram scores of every document."""
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+# ----------------------------------------------------------- 3 license scan
+@query("op3_license_diagonals")
+def op3_license_diagonals(spark, sf_dir):
+    """License phrases and passages of every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+# ----------------------------------------------------------------- 4 quality
+@query("op4_quality_network")
+def op4_quality_network(spark, sf_dir):
+    """Calibrated quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# -------------------------------------------------------------------- 5 WARC
+@query("op5_warc_chunks", """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes,
+         sha1(coalesce(html, '')) as payload_digest from pages),
+t as (select *, max(page_id) over (partition by payload_digest) as top from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from t
+""")
+def op5_warc_chunks(spark, sf_dir):
+    """Every page written to WARC archives and read back by chunks."""
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------ 6 n-gram join
+def sql_ngram(docs: str = "documents", size: int = 3, num: int = 90, den: int = 100) -> str:
+    """CTEs ending in ``joined``: n_shingles, class_size, n_links and component
+    of a table with doc_id and text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(size))
+    return rf"""
+ng_w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                                    '[^\x20\x09-\x0D]+') as ws from {docs}),
+ng_s as (
+  select distinct doc_id, unnest(case
+    when len(ws) >= {size} then list_transform(range(1, len(ws) - {size - 2}), lambda i: {gram})
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from ng_w),
+ng_n as (select doc_id, count(*) as n, list(g order by g) as gs from ng_s group by doc_id),
+ng_p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from ng_s a join ng_s b on a.g = b.g
+  where a.doc_id <> b.doc_id group by all),
+ng_l as (
+  select x, y from ng_p join ng_n nx on nx.doc_id = x join ng_n ny on ny.doc_id = y
+  where {den} * c >= {num} * (nx.n + ny.n - c)),
+ng_r as (
+  select doc_id as d, doc_id as r from ng_w
+  union
+  select ng_l.y, ng_r.r from ng_r join ng_l on ng_l.x = ng_r.d),
+joined as (
+  select w.doc_id, coalesce(n, 0) as n_shingles,
+         case when n is null then 1 else count(*) over (partition by gs) end as class_size,
+         (select count(*) from ng_l where x = w.doc_id) as n_links,
+         (select min(r) from ng_r where d = w.doc_id) as component_id
+  from ng_w w left join ng_n using (doc_id))"""
+
+
+@query("op6_ngram_join", f"""
+with recursive {sql_ngram()}
+select * from joined
+""")
+def op6_ngram_join(spark, sf_dir):
+    """Shingles, links and component of every document."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("_row", "first")
+
+
+# ------------------------------------------------------------- 7 fingerprint
+@query("op7_closed_syncmers")
+def op7_closed_syncmers(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------- 8 exact dedup
 @query("op8_exact_dedup", r"""
 with n as (
@@ -152,6 +239,20 @@ def op9_interleave_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ---------------------------------------------------------------- 10 packing
+def tokenizer_path() -> str:
+    """File of the public vocabulary that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_pack_nnls")
+def op10_pack_nnls(spark, sf_dir):
+    """Pieces of every document, packed into sequences."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
