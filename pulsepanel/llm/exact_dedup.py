@@ -10,7 +10,8 @@ every digit is equal: no digest takes part in the decision.
 Scale: a round is one partial aggregation over (group, digit) and one join of
 rows with the groups of more than one row.  The groups are read from a written
 table, so both join inputs are plain shuffles that adaptive execution can
-split: a group of copies with a third of all rows is spread over tasks.
+split: a group of copies with a third of all rows is spread over tasks.  The
+join is a merge join at every size: the groups grow with the data.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digit = F.substring("_rest", 1, first_width)
     often = materialize(rows.groupBy(digit.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
                         .where("_n > 1"), "radix-groups")
-    joined = rows.withColumn("_d", digit).join(often, "_d", "left")
+    joined = rows.withColumn("_d", digit).join(often.hint("merge"), "_d", "left")
     state = materialize(
         joined.select("_id", *carried, "_sha", F.monotonically_increasing_id().alias("_rid"),
                       F.lit(0).cast("long").alias("_gid"), F.col("_id").alias("_keep"),
@@ -87,7 +88,8 @@ def _round(active: DataFrame, carried: list[str], width: int) -> DataFrame:
         rows.groupBy("_gid", "_d")
         .agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"), F.min("_rid").alias("_next"))
         .where("_n > 1"), "radix-groups")
-    joined = rows.drop("_keep", "_size", "_kept").join(groups, ["_gid", "_d"], "left")
+    joined = rows.drop("_keep", "_size", "_kept").join(
+        groups.hint("merge"), ["_gid", "_d"], "left")
     several = F.col("_n").isNotNull()
     ended = F.length("_d") < width
     going = several & ~ended
