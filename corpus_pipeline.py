@@ -20,14 +20,22 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 BROADCAST_ROWS = 200_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` (with ``_row``) without the rows whose id and row are dropped."""
-    dropped = materialize(dropped.select(F.col("doc_id").alias("_did"), F.col("_row").alias("_drow")),
-                          "dropped")
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that the table does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _without(keyed: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """``keyed`` without the rows of ``dropped`` (columns id, row); the key
+    column goes as well."""
+    did, drow = _free(keyed, "dropped_id"), _free(keyed, "dropped_row")
+    dropped = materialize(dropped.toDF(did, drow), "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    same = (F.col("_row") == F.col("_drow")) & F.col("doc_id").eqNullSafe(F.col("_did"))
-    return docs.join(dropped, same, "left_anti").drop("_row")
+    same = (F.col(row) == F.col(drow)) & F.col("doc_id").eqNullSafe(F.col(did))
+    return keyed.join(dropped, same, "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,26 +54,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts only the row with the smallest doc_id stays."""
-    keyed = with_row_key(docs)
-    found = exact_dedup.exact_dedup(keyed, carry=("_row",))
-    return _without(keyed, found.where("not kept"))
+    row = _free(docs, "_row")
+    keyed = with_row_key(docs, row)
+    found = exact_dedup.exact_dedup(keyed, carry=(row,))
+    return _without(keyed, found.where("not kept").select("doc_id", row), row)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates only the smallest doc_id stays."""
-    found = ngram_join.ngram_join(docs, size=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
-    return _without(with_row_key(docs), found.where("not first"))
+    row = _free(docs, "_row")
+    keyed = with_row_key(docs, row)
+    found = ngram_join.ngram_join(keyed, size=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, row_col=row)
+    return _without(keyed, found.where("not first").select("doc_id", "_row"), row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: 0, 1 or 2 rows."""
-    keyed = with_row_key(docs)
-    mix = mixing.mix_sources(keyed, carry=("_row",))
-    mix = materialize(mix.where("copies > 0").select(
-        F.col("doc_id").alias("_mid"), F.col("_row").alias("_mrow"), "copies"), "mix-copies")
-    same = (F.col("_row") == F.col("_mrow")) & F.col("doc_id").eqNullSafe(F.col("_mid"))
+    row, mid, mrow, times, copy = (_free(docs, n) for n in ("_row", "_mid", "_mrow", "_times", "_copy"))
+    keyed = with_row_key(docs, row)
+    mix = mixing.mix_sources(keyed, carry=(row,))
+    mix = materialize(mix.where("copies > 0").select("doc_id", row, "copies").toDF(mid, mrow, times),
+                      "mix-copies")
+    same = (F.col(row) == F.col(mrow)) & F.col("doc_id").eqNullSafe(F.col(mid))
     return (keyed.join(mix, same)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

@@ -66,7 +66,7 @@ def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
     key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
     try:
         return docs.select("*", key)
-    except AnalysisException:
+    except AnalysisException:  # no file behind it
         return materialize(docs, "rows").select("*", key)
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepanel.llm.common import type_of
@@ -117,19 +117,15 @@ class Vocabulary:
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     """The head holds all words above the smallest count for which there are
-    no more than ``HEAD``; a histogram of the counts tells it."""
+    no more than ``HEAD``.  The window runs over the distinct counts, of which
+    n tokens have no more than the root of 2 n."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1)),
                        F.sum(F.when(F.col("word") == F.lit(END_KEY), F.col("c")))).first()
     words = counts.where((F.col("word") != F.lit(END_KEY)) & (F.length("word") <= HEAD_BYTES))
-    # At most HEAD words have a count of tokens / HEAD or more.
-    floor = max(1, (total[0] or 0) // HEAD)
-    sizes = sorted(words.where(F.col("c") >= floor).groupBy("c").count().collect(), reverse=True)
-    least, held = math.inf, 0
-    for c, n in sizes:
-        if held + n > HEAD:
-            break
-        least, held = c, held + n
-    if not held:
+    upto = F.sum("count").over(Window.orderBy(F.desc("c")))
+    least = (words.groupBy("c").count().withColumn("upto", upto).where(F.col("upto") <= HEAD)
+             .agg(F.min("c")).first()[0])
+    if least is None:
         return Vocabulary(total[0] or 0, total[1], total[2] or 0, [], np.zeros(0, np.int64))
     head = words.where(F.col("c") >= least).toArrow()
     word, c = head.column("word").to_pylist(), head.column("c").to_numpy()
@@ -367,7 +363,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     encoded = materialize(encode(rows, head, vocabulary.own)
                           .withColumn("rid", F.monotonically_increasing_id()), "encoded")
     head.unpersist()
-    model = train(encoded, vocabulary.unigram())
+    model = train(encoded, vocabulary.unigram(), STATES, PASSES)
 
     sent = spark.sparkContext.broadcast(model)
 

@@ -167,7 +167,8 @@ def _key_edges(reps: DataFrame) -> DataFrame:
             rep = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
             order = np.argsort(keys, kind="stable")
             keys, rep = keys[order], rep[order]
-            same = np.concatenate(([False], keys[1:] == keys[:-1]))
+            same = np.zeros(len(keys), bool)
+            same[1:] = keys[1:] == keys[:-1]
             pairs = np.stack([rep[same], rep[np.flatnonzero(same) - 1]], axis=1)
             pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
             yield pa.RecordBatch.from_arrays(
@@ -309,8 +310,9 @@ def _linked(tiles: DataFrame, link: Link) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
-               num: int = 90, den: int = 100) -> DataFrame:
-    """One row per document: id, ``_row`` (key of the physical row),
+               num: int = 90, den: int = 100, row_col: str | None = None) -> DataFrame:
+    """One row per document: id, ``_row`` (key of the physical row; that of
+    ``row_col`` where the caller has one),
     ``n_shingles``, ``class_size`` (documents with the same set), ``n_links``,
     ``component_id`` (smallest id that links reach) and ``first`` (whether the
     row is the one of its component that a dedup keeps: smallest id, nulls
@@ -324,8 +326,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows.  Shingles are compared as 64-bit hashes.
     """
     link = Link(num, den)
-    rows = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = rows.select("id", "_row", "text")
+    named = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    if row_col is None:
+        rows = with_row_key(docs.select(*named)).select("id", "_row", "text")
+    else:
+        rows = docs.select(named[0], F.col(row_col).alias("_row"), named[1])
     sets = materialize(_sets(rows, size, link).withColumn("rid", F.monotonically_increasing_id()),
                        "shingle-sets")
     classes = materialize(

@@ -32,6 +32,8 @@ BUCKETS, SHAPES = 2048, 4
 CLASSES = BUCKETS * SHAPES
 #: Length of the vectors, non-zeros of an index vector, words to each side.
 DIM, NONZERO, REACH = 64, 4, 2
+#: Network inputs: two pooled vectors, share of distinct tokens, length, empty.
+INPUTS = 2 * DIM + 3
 #: Labelled rows that the network sees at most, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
@@ -143,7 +145,7 @@ def word_vectors(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def document_inputs(texts, vectors: np.ndarray, weights: np.ndarray, classes: TokenClass):
     """One row of network inputs per text."""
-    out = np.zeros((len(texts), 2 * DIM + 3), np.float32)
+    out = np.zeros((len(texts), INPUTS), np.float32)
     for row, text in zip(out, texts):
         ids = token_classes(text or "", classes)
         if len(ids):
@@ -256,7 +258,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # Rows that repeat an id could make more; the driver takes no more.
     table = rows.mapInArrow(inputs, "y double, x binary").limit(train_rows).toArrow()
     y = table.column("y").to_numpy()
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), INPUTS)
     order = np.lexsort((y, *x.T[:4])) if len(y) else np.zeros(0, int)  # arrival order is not fixed
     return fit_network(x[order].astype(np.float64), y[order], vectors, weights)
 
