@@ -20,21 +20,12 @@ def _col(c) -> Column:
 
 def coerce_numeric(c, to: str = "double") -> Column:
     """Parse-or-NULL (``errors='coerce'``); NaN becomes NULL as well."""
-    v = F.expr(f"try_cast({c} as {to})") if isinstance(c, str) else c.try_cast(to)
+    v = _col(c).try_cast(to)
     if to in ("double", "float"):
         v = F.when(~F.isnan(v), v)
     return v
 
 
-def nan_to_null(c) -> Column:
-    v = _col(c)
-    return F.when(~F.isnan(v), v)
-
-
-def fill0(c) -> Column:
-    return F.coalesce(_col(c), F.lit(0))
-
-
 def row_sum(cols) -> Column:
     """Horizontal sum of NULL-filled columns (``df[cols].sum(axis=1)``)."""
     return reduce(add, [F.coalesce(_col(c), F.lit(0.0)) for c in cols])

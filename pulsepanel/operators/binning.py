@@ -8,35 +8,40 @@ distributed quantiles; assigning a bin is then a right-closed ``CASE`` chain
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsepanel.operators.rank import quantiles_from_prefix, value_prefix
+from pulsepanel.operators.rank import quantile_positions, quantiles_from_prefix, value_prefix
 
-# Fixed values that must equal the reference: quantile-bin labels.
+# Fixed value that must equal the reference: the label of a single bin.
 SINGLE_BIN_LABEL = "Faixa única"
-FIRST_LABEL_FMT = "Q1(menor)"
-LAST_LABEL_FMT = "Q{n}(maior)"
 
 
-def quantile_labels(n_bins: int) -> list[str]:
-    labels = [f"Q{i + 1}" for i in range(n_bins)]
-    labels[0] = FIRST_LABEL_FMT
-    labels[-1] = LAST_LABEL_FMT.format(n=n_bins)
-    return labels
+def bin_label(ordinal: Column, n_bins: int) -> Column:
+    """``Q<ordinal>``, the first bin marked as smallest, the last as largest."""
+    mark = F.when(ordinal == 1, "(menor)").when(ordinal == n_bins, "(maior)").otherwise("")
+    return F.concat(F.lit("Q"), ordinal.cast("string"), mark)
 
 
 def quantile_edges(df: DataFrame, value: str, q: int = 5, fill=None) -> list[float]:
-    """Distinct edges of ``qcut(x, q_eff, duplicates='drop')``, q_eff = min(q, nunique)."""
-    x = df.select((F.coalesce(F.col(value).cast("double"), F.lit(float(fill)))
-                   if fill is not None else F.col(value).cast("double")).alias("v"))
-    pref = value_prefix(x, "v")
-    nunique = pref.df.count()
-    if nunique == 0:
+    """Distinct edges of ``qcut(x, q_eff, duplicates='drop')``, q_eff = min(q, nunique).
+
+    The column is written once; the passes over it read that table."""
+    from pulsepanel.sources.sinks import materialize
+
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
+    if fill is not None:
+        v = F.coalesce(v, F.lit(float(fill)))
+    x = materialize(df.select(v.alias("v")).where(F.col("v").isNotNull()), "bin_input")
+    q_eff = min(q, x.distinct().limit(q).count())
+    if q_eff == 0:
         return []
-    q_eff = min(q, nunique)
     probs = [i / q_eff for i in range(q_eff + 1)]
-    qs = quantiles_from_prefix(pref, probs)
+    qs = quantiles_from_prefix(value_prefix(x, "v", positions=quantile_positions(probs)), probs)
     return sorted({qs[p] for p in probs})
 
 
@@ -46,11 +51,8 @@ def quantile_bin_expr(c, edges: list[float]) -> Column:
     n_bins = len(edges) - 1
     if n_bins <= 1:
         return F.lit(SINGLE_BIN_LABEL)
-    labels = quantile_labels(n_bins)
-    expr = F.when(v.isNull(), F.lit(None).cast("string"))
-    for i in range(n_bins - 1):
-        expr = expr.when(v <= F.lit(edges[i + 1]), F.lit(labels[i]))
-    return expr.otherwise(F.lit(labels[-1]))
+    ordinal = F.lit(1) + reduce(add, [(v > F.lit(e)).cast("int") for e in edges[1:-1]])
+    return F.when(v.isNotNull(), bin_label(ordinal, n_bins))
 
 
 def quantile_bins(df: DataFrame, value: str, q: int = 5, fill=None, out: str | None = None) -> DataFrame:
@@ -74,8 +76,10 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 40, lo=None, hi
     """numpy-style histogram: ``bins`` equal-width bins over [min, max]; the
     last bin is closed.  Only non-empty bins are returned."""
     x = df.where(F.col(value).isNotNull())
-    if lo is not None or hi is not None:
-        x = x.where(F.col(value).between(lo, hi))
+    if lo is not None:
+        x = x.where(F.col(value) >= lo)
+    if hi is not None:
+        x = x.where(F.col(value) <= hi)
     mm = x.agg(F.min(value).alias("mn"), F.max(value).alias("mx")).first()
     if mm["mn"] is None:
         return x.sparkSession.createDataFrame(

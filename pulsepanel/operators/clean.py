@@ -12,7 +12,10 @@ def normalize_keys(df: DataFrame, key: str = "msno", period: str = "safra") -> t
     A period that does not parse is not an error that stops the job: such
     rows go to the rejected side with a reason, the rest continue.
     """
-    p = F.col(period).cast("string").try_cast("int")
+    # Through double: a float period (201601.0) is what a column with a gap
+    # becomes; a fraction is not a period.
+    number = F.col(period).cast("string").try_cast("double")
+    p = F.when(number == F.floor(number), number.try_cast("int"))
     x = df.withColumn("_p", p)
     bad = F.col("_p").isNull() | F.col(key).isNull()
     good = (x.where(~bad)

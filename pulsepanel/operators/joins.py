@@ -1,48 +1,40 @@
-"""Join helpers: size-checked broadcast, validated one-to-one, period semi-join."""
+"""Join helpers: validated one-to-one join and period semi-join.
+
+Small sides (one row per period, segment or parameter) are joined plainly:
+the optimizer broadcasts them by their size in bytes, and beyond its
+threshold shuffles.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A small side is broadcast only when it has at most this many rows; above it
-# the join falls back to a shuffle (sort-merge) join.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS, what: str = "small side") -> DataFrame:
-    """Join with ``small`` broadcast when its row count is within ``max_rows``.
-
-    ``small`` is expected to be a bounded table (one row per period, per
-    bucket, per parameter); its rows are counted first, and beyond the bound
-    the plan falls back to a shuffle join instead of broadcasting.
-    """
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join that fails when a key repeats on either side (``validate='one_to_one'``).
 
-    The uniqueness checks are partial aggregates (no hot-key gathering); the
-    join itself is a plain sort-merge join on the keys.
+    Both sides are reduced to one row per key by a partial aggregate that also
+    counts the key's rows; a count above one raises while the join runs, so
+    each side is read once and a hot key is met before the shuffle.
     """
     keys = list(keys)
-    for side, df in (("left", left), ("right", right)):
-        dup = (df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count())
-        if dup:
-            raise ValueError(f"{side} side of a one-to-one join has duplicated keys {keys}")
-    return left.join(right, keys, how)
 
+    def once(df: DataFrame, side: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        got = df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.first(F.struct(F.lit(1).alias("_one"), *[F.col(c) for c in rest])).alias("_v"))
+        said = F.raise_error(F.lit(f"{side} side of a one-to-one join has duplicated keys {keys}"))
+        # the check is part of the value, so no column pruning skips it
+        value = F.when(F.col("_n") > 1, said.cast(got.schema["_v"].dataType)).otherwise(F.col("_v"))
+        return got.select(*keys, value.alias(f"_{side}"))
 
-def semi_join_periods(df: DataFrame, periods_df: DataFrame, period: str = "safra") -> DataFrame:
-    """Rows whose period appears in ``periods_df`` (LEFT SEMI).
+    joined = once(left, "left").join(once(right, "right"), keys, how)
+    return joined.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in left.columns if c not in keys],
+                         *[F.col(f"_right.{c}").alias(c) for c in right.columns if c not in keys])
 
-    The distinct-period side has one row per period, so it is broadcast
-    behind the same row check as :func:`join_small`.
-    """
-    p = periods_df.select(period).distinct()
-    return join_small(df, p, [period], "left_semi", what="period list")
+
+def semi_join_periods(df: DataFrame, periods_df: DataFrame, period: str = "safra") -> DataFrame:
+    """Rows whose period appears in ``periods_df`` (LEFT SEMI)."""
+    return df.join(periods_df.select(period).distinct(), [period], "left_semi")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepanel.functions.periods import period_index
-from pulsepanel.operators.joins import join_small
 
 # Fixed values that must equal the reference: a month is not trusted when the
 # future-active rate is below 1 % or the churn rate above 95 %.
@@ -111,7 +110,7 @@ def attach_trust(rows: DataFrame, diag: DataFrame, period: str = "safra") -> Dat
     """Month verdict onto rows; a month without diagnosis gets trust 0, rates NULL."""
     d = diag.select(period, F.col("label_trust").alias("_lt"),
                     "fut_active_rate", F.col("churn_rate").alias("churn_rate_month"))
-    out = join_small(rows, d, [period], "left", what="label-trust diagnosis (one row per period)")
+    out = rows.join(d, [period], "left")
     return (out.withColumn("label_trust", F.coalesce(F.col("_lt"), F.lit(0)).cast("int"))
             .drop("_lt"))
 

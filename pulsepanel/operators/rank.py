@@ -12,6 +12,9 @@ single task.  Everything here is built on one primitive instead:
 3. per-bucket totals (at most #buckets rows) give each bucket an offset, and
    a window partitioned by bucket adds the running sum inside it.
 
+Where only some positions are wanted (quantiles, top-k cuts), buckets are
+counted first and only those that hold a wanted position are sorted.
+
 The result is, for each distinct value, the exact number of rows (and sums
 of weights) at or before it in the requested order.  Top-k, ROC-AUC,
 average precision and linear-interpolated quantiles all read it.
@@ -44,34 +47,68 @@ def _probs(n_buckets: int) -> list[float]:
     return [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
 
 
-def _sortable_number(df: DataFrame, col: str) -> F.Column:
-    """A double that never decreases as ``col`` increases (ties allowed).
-
-    Range buckets only need a monotone image of the order column: numbers
-    as they are, dates / timestamps as day / microsecond counts, strings
-    and binary by their first 7 bytes read as a big-endian integer (Spark
-    compares strings byte-wise), booleans as 0 / 1.
-    """
-    return F.coalesce(_monotone(df, col), F.lit(-math.inf))   # NULLs sort first
+def _valid(df: DataFrame, col: str) -> F.Column:
+    """Neither NULL nor NaN (NaN is a missing value)."""
+    ok = F.col(col).isNotNull()
+    if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
+        ok = ok & ~F.isnan(F.col(col))
+    return ok
 
 
-def _monotone(df: DataFrame, col: str) -> F.Column:
+def _number(df: DataFrame, col: str) -> F.Column | None:
+    """A double that never decreases as ``col`` increases; None for types
+    that are compared themselves (strings, binary).  NULLs sort first and
+    NaN last."""
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return F.when(F.isnan(c), F.lit(math.inf)).otherwise(c.cast("double"))  # NaN sorts last
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("int").cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.substring(F.hex(c), 1, 14), 14, "0")
-        return F.conv(head, 16, 10).cast("bigint").cast("double")
-    raise TypeError(f"cannot range-bucket on {col} of type {dt.simpleString()}")
+        v = F.when(F.isnan(c), F.lit(math.inf)).otherwise(c.cast("double"))
+    elif isinstance(dt, T.NumericType):
+        v = c.cast("double")
+    elif isinstance(dt, T.BooleanType):
+        v = c.cast("int").cast("double")
+    elif isinstance(dt, T.DateType):
+        v = F.unix_date(c).cast("double")
+    elif isinstance(dt, T.TimestampType):
+        v = F.unix_micros(c).cast("double")
+    elif isinstance(dt, T.TimestampNTZType):
+        # by day and time of day: casts and differences go through the session
+        # zone, which is not monotone in a daylight-saving gap
+        second = F.expr(f"cast(extract(SECOND FROM `{col}`) as double)")
+        v = (F.unix_date(F.to_date(c)) * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + second)
+    elif isinstance(dt, (T.StringType, T.BinaryType)):
+        return None
+    else:
+        raise TypeError(f"cannot range-bucket on {col} of type {dt.simpleString()}")
+    return F.coalesce(v, F.lit(-math.inf))
+
+
+# Values drawn per range bucket to place the boundaries of strings.
+SAMPLE_PER_BUCKET = 32
+
+
+def _sampled_bounds(df: DataFrame, col: str, n_buckets: int) -> list:
+    """Boundaries between ranges of ``col``: order statistics of the values
+    with the smallest hashes (a bounded, repeatable sample).  Boundaries only
+    balance the work; every row is placed by comparing its whole value."""
+    n = SAMPLE_PER_BUCKET * n_buckets
+    got = (df.select(col).where(F.col(col).isNotNull())
+           .orderBy(F.xxhash64(col, F.lit(1)), col).limit(n).collect())
+    vals = sorted(bytes(r[0]) if isinstance(r[0], (bytes, bytearray)) else r[0].encode() for r in got)
+    raw = isinstance(df.schema[col].dataType, T.BinaryType)
+    cuts = sorted({vals[i * len(vals) // n_buckets] for i in range(1, n_buckets)}) if vals else []
+    return [bytearray(v) if raw else v.decode() for v in cuts]
+
+
+def _rank_in(bounds: F.Column, size: int, below) -> F.Column:
+    """How many elements of a sorted array satisfy ``below`` (true for a
+    prefix of it), looking at about 2·sqrt(size) of them."""
+    step = max(1, math.isqrt(size))
+    last = F.transform(F.sequence(F.lit(step), F.lit(max(step, size)), F.lit(step)),
+                       lambda i: F.get(bounds, i - 1))
+    full = F.size(F.filter(last, lambda b: F.coalesce(below(b), F.lit(False))))
+    rest = F.slice(bounds, full * step + 1, F.lit(step))
+    return (full * step + F.size(F.filter(rest, below))).cast("int")
 
 
 def _bucketize(h: DataFrame, value: str, bounds: list[float], descending: bool) -> DataFrame:
@@ -89,16 +126,19 @@ def _bucketize(h: DataFrame, value: str, bounds: list[float], descending: bool)
 def _with_offsets(xb: DataFrame, sums: dict, group=None) -> DataFrame:
     """Join each row with the totals of all earlier buckets (of its group).
 
-    The totals table has at most #groups x #buckets rows - a bound fixed by
-    construction - so its running sum is a small window and it is broadcast.
+    The totals have one row per (group, bucket); the join is left to the
+    optimizer and is NULL-safe, so a NULL group keeps its rows.
     """
     gcols = [group] if group else []
     tot = xb.groupBy(*gcols, "_bucket").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
     before = (Window.partitionBy(*gcols).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select(*gcols, "_bucket", *[
+    off = tot.select(*[F.col(g).alias("_og") for g in gcols], F.col("_bucket").alias("_ob"), *[
         F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}") for k in sums])
-    return xb.join(F.broadcast(off), [*gcols, "_bucket"], "left")
+    on = F.col("_bucket") == F.col("_ob")
+    if group:
+        on = on & F.col(group).eqNullSafe(F.col("_og"))
+    return xb.join(off, on, "left").drop("_ob", "_og")
 
 
 @dataclass
@@ -118,31 +158,60 @@ class Prefix:
 
 
 def value_prefix(df: DataFrame, value: str, weights=(), descending: bool = False,
-                 n_buckets: int | None = None) -> Prefix:
+                 n_buckets: int | None = None, positions=None) -> Prefix:
     """Exact running counts/sums over the distinct values of ``value``.
 
-    Rows with a NULL value are ignored.  One action computes the bucket
-    boundaries (approximate quantiles) and the totals in a single pass of
-    partial aggregates; the prefix table itself stays lazy.
+    Rows with a NULL or NaN value are ignored.  One action computes the
+    bucket boundaries (approximate quantiles) and the totals in a single pass
+    of partial aggregates.  With ``positions`` (a function of the row count
+    that lists 0-based positions in the requested order) a second pass counts
+    each bucket, and only the values of buckets that hold a wanted position
+    are shuffled and sorted; the running totals of those are exact all the
+    same.  The prefix table itself stays lazy.
     """
     spark = df.sparkSession
     n_buckets = n_buckets or default_buckets(spark)
-    x = df.where(F.col(value).isNotNull())
+    x = df.where(_valid(df, value))
     st = x.agg(F.percentile_approx(F.col(value).cast("double"), _probs(n_buckets), 10_000).alias("b"),
                F.count(F.lit(1)).alias("n"), *[F.sum(F.col(w)).alias(w) for w in weights]).first()
     total = {"n": int(st["n"]), **{w: (st[w] or 0) for w in weights}}
     bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
-    h = x.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(w)).alias(w) for w in weights])
-    hb = _bucketize(h, value, bounds, descending)
-    out = _with_offsets(hb, {"n": F.col("n"), **{w: F.col(w) for w in weights}})
+    one = {"n": F.lit(1), **{w: F.col(w) for w in weights}}
     order = F.col(value).desc() if descending else F.col(value).asc()
-    w_run = (Window.partitionBy("_bucket").orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = out.withColumn("cum_n", F.col("_off_n") + F.sum("n").over(w_run))
-    for w in weights:
-        out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(w_run))
-    out = out.drop("_off_n", *[f"_off_{w}" for w in weights])
-    return Prefix(out, value, tuple(weights), descending, total)
+    run = (Window.partitionBy("_bucket").orderBy(order)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = list(one)
+    if positions is None:
+        h = x.groupBy(value).agg(*[F.sum(e).alias(k) for k, e in one.items()])
+        out = _with_offsets(_bucketize(h, value, bounds, descending), {k: F.col(k) for k in names})
+    else:
+        xb = _bucketize(x, value, bounds, descending)
+        # at most one row per bucket
+        per = sorted(xb.groupBy("_bucket").agg(*[F.sum(e).alias(k) for k, e in one.items()]).collect(),
+                     key=lambda r: r["_bucket"])
+        offsets, at = {}, dict.fromkeys(names, 0)
+        wanted = sorted(positions(total["n"]))
+        for r in per:
+            if any(at["n"] <= p < at["n"] + r["n"] for p in wanted):
+                offsets[r["_bucket"]] = dict(at)
+            at = {k: at[k] + (r[k] or 0) for k in names}
+        h = (xb.where(F.col("_bucket").isin(list(offsets)))
+             .groupBy("_bucket", value).agg(*[F.sum(e).alias(k) for k, e in one.items()]))
+        out = h
+        for k in names:
+            off = F.coalesce(*[F.when(F.col("_bucket") == b, F.lit(o[k])) for b, o in offsets.items()],
+                             F.lit(0))
+            out = out.withColumn(f"_off_{k}", off)
+    for k in names:
+        out = out.withColumn(f"cum_{k}", F.col(f"_off_{k}") + F.sum(k).over(run))
+    return Prefix(out.drop(*[f"_off_{k}" for k in names]), value, tuple(weights), descending, total)
+
+
+def quantile_positions(probs):
+    """Positions that linear quantiles of n rows read, as a function of n."""
+    def of(n: int) -> set:
+        return {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} if n else set()
+    return of
 
 
 # ------------------------------------------------------------------ top-k
@@ -153,38 +222,37 @@ def topk_size(n: int, frac: float) -> int:
     return max(1, int(n * frac))
 
 
-# A group whose exact row count is known to be at most this many rows is
-# numbered by a plain window partitioned by the group.
-SINGLE_TASK_ROWS = 2_000_000
-
-
 def ordered_positions(df: DataFrame, order_cols, n_buckets: int | None = None,
-                      pos: str = "_pos", group: str | None = None,
-                      max_group_rows: int | None = None) -> DataFrame:
+                      pos: str = "_pos", group: str | None = None) -> DataFrame:
     """1-based position of each row in a total order (within ``group``).
 
-    ``order_cols`` (ascending) must be unique per group.  When the caller
-    knows every group has at most ``SINGLE_TASK_ROWS`` rows, a window
-    partitioned by the group numbers them.  Otherwise rows are range-bucketed
-    on the first order column - which must be the high-cardinality one (a
-    customer key, a uniform hash), so one value holds a bounded number of
-    rows - numbered inside each bucket, and offset by the counts of earlier
-    buckets.
+    ``order_cols`` (ascending) must be unique per group.  Rows are
+    range-bucketed on the first order column - which must be the
+    high-cardinality one (a customer key, a uniform hash), so one value holds
+    a bounded number of rows - numbered inside each bucket, and offset by the
+    counts of earlier buckets.  Strings are bucketed by comparing them with
+    sampled boundaries, so ids with a common prefix spread as well.
     """
     gcols = [group] if group else []
     order = [F.col(c).asc() for c in order_cols]
-    if max_group_rows is not None and max_group_rows <= SINGLE_TASK_ROWS and group:
-        w = Window.partitionBy(*gcols).orderBy(*order)
-        return df.withColumn(pos, F.row_number().over(w).cast("long"))
-    spark = df.sparkSession
-    n_buckets = n_buckets or default_buckets(spark)
-    x = df.withColumn("_ok", _sortable_number(df, order_cols[0]))
-    st = x.agg(F.percentile_approx(F.col("_ok"), _probs(n_buckets), 10_000).alias("b")).first()
-    bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
-    xb = _with_offsets(_bucketize(x, "_ok", bounds, False), {"n": F.lit(1)}, group)
+    first = order_cols[0]
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
+    number = _number(df, first)
+    if number is None:
+        bounds = _sampled_bounds(df, first, n_buckets)
+        bucket = F.lit(0)
+        if bounds:
+            bucket = _rank_in(F.array(*[F.lit(b) for b in bounds]), len(bounds),
+                              lambda b: b <= F.col(first))
+        xb = df.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+    else:
+        x = df.withColumn("_ok", number)
+        st = x.agg(F.percentile_approx(F.col("_ok"), _probs(n_buckets), 10_000).alias("b")).first()
+        bounds = _clean_bounds(st["b"]) if n_buckets > 1 else []
+        xb = _bucketize(x, "_ok", bounds, False).drop("_ok")
+    xb = _with_offsets(xb, {"n": F.lit(1)}, group)
     w = Window.partitionBy(*gcols, "_bucket").orderBy(*order)
-    return (xb.withColumn(pos, F.col("_off_n") + F.row_number().over(w))
-            .drop("_off_n", "_bucket", "_ok"))
+    return xb.withColumn(pos, F.col("_off_n") + F.row_number().over(w)).drop("_off_n", "_bucket")
 
 
 @dataclass
@@ -199,6 +267,11 @@ class Cut:
     tie_pos: int = 0        # positives holding the boundary score
 
 
+def topk_positions(fracs):
+    """0-based position of the last row of each top-k, as a function of n."""
+    return lambda n: {min(topk_size(n, f), n) - 1 for f in fracs} if n else set()
+
+
 def topk_cuts(prefix: Prefix, fracs, label: str) -> list[Cut]:
     """Boundary of each top-k (k = max(1, int(N·frac))) from a descending prefix."""
     n_total = int(prefix.total["n"])
@@ -234,18 +307,15 @@ def _tie_positions(df: DataFrame, score: str, cuts: list[Cut], tie_keys) -> Data
     if not partial:
         return None
     ties = df.where(F.col(score).isin(partial))
-    biggest = max(c.tie_n for c in cuts if c.score in partial)
-    # Positions inside each boundary score (at most #fractions groups, whose
-    # exact sizes are known from the histogram).
-    return ordered_positions(ties, list(tie_keys), pos="_tie_pos", group=score,
-                             max_group_rows=biggest)
+    # Positions inside each boundary score (at most #fractions groups).
+    return ordered_positions(ties, list(tie_keys), pos="_tie_pos", group=score)
 
 
 def topk_counts(df: DataFrame, score: str, label: str, fracs, tie_keys,
                 prefix: Prefix | None = None) -> list[dict]:
     """k, TP, FP for each fraction; ties at the boundary broken by ``tie_keys``."""
     prefix = prefix or value_prefix(df.select(score, label), score, weights=(label,),
-                                    descending=True)
+                                    descending=True, positions=topk_positions(fracs))
     cuts = topk_cuts(prefix, fracs, label)
     ties = _tie_positions(df, score, cuts, tie_keys)
     extra = {}
@@ -276,31 +346,37 @@ def topk_flags(df: DataFrame, score: str, fracs, tie_keys, label: str | None = N
     Rows strictly above or below every boundary get their flags from literal
     comparisons (a narrow projection); only rows holding a partially-taken
     boundary score are numbered by ``tie_keys`` and unioned back - no join.
+    Rows with a NULL or NaN score are kept with flags 0 and do not count
+    towards N.
     """
     names = names or [f"top_{round(f * 100):d}" for f in fracs]
     if prefix is None:
         cols = [score] + ([label] if label else [])
         prefix = value_prefix(df.select(*cols).withColumn("_one", F.lit(1)), score,
-                              weights=("_one",), descending=True)
+                              weights=("_one",), descending=True, positions=topk_positions(fracs))
         lab = "_one"
     else:
         lab = prefix.weights[0]
     cuts = topk_cuts(prefix, fracs, lab)
     ties = _tie_positions(df, score, cuts, tie_keys)
     partial_scores = sorted({c.score for c in cuts if c.score is not None and 0 < c.need < c.tie_n})
+    valid = _valid(df, score)
 
     def flag(c: Cut, tie_pos=None):
         if c.score is None:
-            return F.lit(1)
+            return valid.cast("int")
         s = F.lit(c.score)
         if c.need >= c.tie_n:
-            return (F.col(score) >= s).cast("int")
-        if tie_pos is None:
-            return (F.col(score) > s).cast("int")
-        return ((F.col(score) > s) | ((F.col(score) == s) & (F.col(tie_pos) <= c.need))).cast("int")
+            hit = F.col(score) >= s
+        elif tie_pos is None:
+            hit = F.col(score) > s
+        else:
+            hit = (F.col(score) > s) | ((F.col(score) == s) & (F.col(tie_pos) <= c.need))
+        return F.coalesce((hit & valid).cast("int"), F.lit(0))
 
-    base = df.where(~F.col(score).isin(partial_scores)) if partial_scores else df
-    base = base.where(F.col(score).isNotNull())
+    base = df
+    if partial_scores:
+        base = df.where(F.coalesce(~F.col(score).isin(partial_scores), F.lit(True)))
     out = base.select("*", *[flag(c).alias(n) for c, n in zip(cuts, names)])
     if ties is not None:
         t = ties.select(*df.columns, *[flag(c, "_tie_pos").alias(n) for c, n in zip(cuts, names)])
@@ -342,55 +418,57 @@ def quantiles_from_prefix(prefix: Prefix, probs) -> dict:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs) -> dict:
-    return quantiles_from_prefix(value_prefix(df.select(value), value), probs)
+    """{p: linear-interpolated quantile}.  The column is written once, as
+    three passes read it; only buckets that hold a wanted position are sorted."""
+    from pulsepanel.sources.sinks import materialize
+
+    x = materialize(df.select(value), "quantile_input")
+    return quantiles_from_prefix(value_prefix(x, value, positions=quantile_positions(probs)), probs)
 
 
 # ------------------------------------------------------- grouped quantiles
 
-GROUP_BUCKETS = 64
+def _group_bounds(x: DataFrame, group: str, value: str, nb: int, aggs: dict) -> DataFrame:
+    """Written table, one row per group: bucket bounds ``_b`` and ``aggs``."""
+    from pulsepanel.sources.sinks import materialize
+
+    q = F.percentile_approx(F.col(value).cast("double"), _probs(nb), 10_000)
+    return materialize(
+        x.groupBy(F.col(group).alias("_bg")).agg(
+            F.array_sort(F.array_distinct(q)).alias("_b"), *[e.alias(k) for k, e in aggs.items()]),
+        "group_bounds")
+
+
+def _group_bucket(x: DataFrame, bounds: DataFrame, group: str, value: str, nb: int,
+                  descending: bool = False) -> DataFrame:
+    """Adds ``_bucket``: boundaries before the value in the requested order."""
+    v = F.col(value).cast("double")
+    joined = x.join(bounds.select("_bg", "_b"), F.col(group) == F.col("_bg"))
+    rank = _rank_in(F.col("_b"), nb, (lambda b: b <= v) if descending else (lambda b: b < v))
+    if descending:
+        rank = F.size("_b") - rank
+    return joined.withColumn("_bucket", rank.cast("int")).drop("_bg", "_b")
 
 
 def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
-                         max_groups: int = 10_000, weights=(), descending: bool = False,
-                         extra_aggs: dict | None = None):
+                         weights=(), descending: bool = False):
     """Exact running counts (and weight sums) of ``value`` within each ``group``.
 
-    Same construction as :func:`value_prefix` with per-group boundaries: one
-    action computes per-group approximate quantiles and totals (at most
-    ``max_groups`` rows, checked).  Groups are a bounded domain (profiled
-    columns, model variants, evaluation sets, periods).  Returns the lazy
-    prefix DataFrame (``n``, ``cum_n``, each weight and ``cum_<w>``) and
-    ``{group: {"n": N, w: total, name: extra}}`` - ``extra_aggs`` are more
-    per-group aggregates over the non-NULL rows, computed in the same pass.
+    Same construction as :func:`value_prefix` with per-group boundaries, kept
+    in a written table and joined.  Returns the lazy prefix DataFrame (``n``,
+    ``cum_n``, each weight and ``cum_<w>``) and ``{group: {"n": N, w: total}}``,
+    one entry per group: groups are report rows (profiled columns, model
+    variants, evaluation sets).
     """
-    spark = df.sparkSession
-    nb = n_buckets or min(default_buckets(spark), GROUP_BUCKETS)
-    x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    extra_aggs = extra_aggs or {}
-    brows = (x.groupBy(group)
-             .agg(F.percentile_approx(F.col(value).cast("double"), _probs(nb), 10_000).alias("b"),
-                  F.count(F.lit(1)).alias("N"), *[F.sum(F.col(w)).alias(w) for w in weights],
-                  *[e.alias(f"_x_{k}") for k, e in extra_aggs.items()])
-             .limit(max_groups + 1).collect())
-    if len(brows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups in grouped_prefix")
+    nb = n_buckets or default_buckets(df.sparkSession)
+    x = df.where(_valid(df, value) & F.col(group).isNotNull())
+    bounds = _group_bounds(x, group, value, nb, {
+        "n": F.count(F.lit(1)), **{w: F.sum(F.col(w)) for w in weights}})
+    totals = {r["_bg"]: {"n": int(r["n"]), **{w: (r[w] or 0) for w in weights}}
+              for r in bounds.drop("_b").collect()}
     h = x.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"),
                                     *[F.sum(F.col(w)).alias(w) for w in weights])
-    totals = {r[group]: {"n": int(r["N"]), **{w: (r[w] or 0) for w in weights},
-                         **{k: r[f"_x_{k}"] for k in extra_aggs}} for r in brows}
-    if not brows:
-        return h.withColumn("cum_n", F.col("n")), totals
-    # Per-group boundaries: a driver-built table of at most max_groups rows
-    # (checked above), broadcast rather than inlined as plan literals.
-    gtype = h.schema[group].dataType
-    btab = spark.createDataFrame(
-        [(r[group], _clean_bounds(r["b"]) if nb > 1 else []) for r in brows],
-        T.StructType([T.StructField(group, gtype), T.StructField("_b", T.ArrayType(T.DoubleType()))]))
-    vd = F.col(value).cast("double")
-    # bucket = boundaries before the value in the requested order
-    before = (lambda b: b > vd) if descending else (lambda b: b < vd)
-    hb = (h.join(F.broadcast(btab), group)
-          .withColumn("_bucket", F.size(F.filter(F.col("_b"), before)).cast("int")).drop("_b"))
+    hb = _group_bucket(h, bounds, group, value, nb, descending)
     sums = {"n": F.col("n"), **{w: F.col(w) for w in weights}}
     out = _with_offsets(hb, sums, group)
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -402,9 +480,9 @@ def grouped_value_prefix(df: DataFrame, group: str, value: str, n_buckets: int |
 
 
 def grouped_prefix(df: DataFrame, group: str, value: str, n_buckets: int | None = None,
-                   max_groups: int = 10_000, weights=()):
+                   weights=()):
     """Ascending grouped prefix; returns (lazy DataFrame, {group: N})."""
-    out, totals = grouped_value_prefix(df, group, value, n_buckets, max_groups, weights)
+    out, totals = grouped_value_prefix(df, group, value, n_buckets, weights)
     return out, {g: t["n"] for g, t in totals.items()}
 
 
@@ -455,9 +533,7 @@ def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs
                                                     T.StructField(score, stype)]))
         ties = (df.join(F.broadcast(pairs), [group, score], "left_semi")
                 .withColumn("_gs", F.struct(F.col(group), F.col(score))))
-        biggest = max(c.tie_n for c in partial.values())
-        pos = ordered_positions(ties, list(tie_keys), pos="_tie_pos", group="_gs",
-                                max_group_rows=biggest)
+        pos = ordered_positions(ties, list(tie_keys), pos="_tie_pos", group="_gs")
         tp = (pos.join(F.broadcast(need), [group, score])
               .where(F.col("_tie_pos") <= F.col("_need"))
               .groupBy(group, "_f").agg(F.sum(F.col(label)).alias("_tp")))
@@ -474,53 +550,54 @@ def grouped_topk_counts(df: DataFrame, group: str, score: str, label: str, fracs
     return out
 
 
-def _targets(totals: dict, probs) -> dict:
-    """{group: {0-based position needed by a linear quantile}}."""
-    out = {}
-    for g, n in totals.items():
-        js = set()
-        for p in probs:
-            pos = p * (n - 1)
-            js.update({math.floor(pos), math.ceil(pos)})
-        out[g] = js
-    return out
-
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs, extra_aggs=None):
+    """({group: {p: linear-interpolated quantile}}, {group: {name: aggregate}}).
 
-def _lerp_quantiles(rows_by_j: dict, n: int, probs) -> dict:
-    q = {}
-    for p in probs:
-        pos = p * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        vlo, vhi = rows_by_j[lo], rows_by_j[hi]
-        q[p] = vlo + (vhi - vlo) * (pos - lo)
-    return q
-
-
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs) -> dict:
-    """{group: {p: linear-interpolated quantile}} computed without a hot task."""
-    pref, totals = grouped_prefix(df, group, value)
-    return quantiles_from_grouped_prefix(pref, totals, group, value, probs)
-
-
-def quantiles_from_grouped_prefix(pref: DataFrame, totals: dict, group: str, value: str,
-                                  probs) -> dict:
-    """Quantiles of every group from an ascending grouped prefix.
-
-    The positions each quantile needs (at most 2 x #probs per group) form a
-    small table that is broadcast and range-joined to the prefix rows.
-    ``totals`` is ``{group: N}``.
+    The two columns are written once.  Buckets are counted by partial
+    aggregates; only rows of buckets that hold a wanted position are shuffled
+    and sorted.  ``extra_aggs`` are more aggregates per group over the same
+    rows; ``n`` is always among them.
     """
-    if not totals:
-        return {}
-    spark = pref.sparkSession
-    tg = _targets(totals, probs)
-    gtype = pref.schema[group].dataType
-    tdf = spark.createDataFrame([(g, int(j)) for g, js in tg.items() for j in js],
-                                T.StructType([T.StructField(group, gtype),
-                                              T.StructField("_j", T.LongType())]))
-    hit = pref.join(F.broadcast(tdf), group).where(
-        (F.col("cum_n") - F.col("n") <= F.col("_j")) & (F.col("_j") < F.col("cum_n")))
+    from pulsepanel.sources.sinks import materialize
+
+    nb = default_buckets(df.sparkSession)
+    x = materialize(df.where(_valid(df, value) & F.col(group).isNotNull()).select(group, value),
+                    "quantile_input")
+    aggs = {"n": F.count(F.lit(1)), **(extra_aggs or {})}
+    bounds = _group_bounds(x, group, value, nb, aggs)
+    stats = {r["_bg"]: {k: r[k] for k in aggs} for r in bounds.drop("_b").collect()}
+    if not stats:
+        return {}, {}
+    xb = _group_bucket(x, bounds, group, value, nb)
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (xb.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+               .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))))
+    spots = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1))) for p in probs])))
+    wanted = bounds.select(F.col("_bg"), F.explode(spots.cast("array<bigint>")).alias("_j"))
+    held = (counted.join(wanted, F.col(group) == F.col("_bg"))
+            .where((F.col("_off") <= F.col("_j")) & (F.col("_j") < F.col("_off") + F.col("_c"))))
+    held = materialize(held.select(F.col(group).alias("_hg"), F.col("_bucket").alias("_hb"), "_off",
+                                   "_j"), "quantile_buckets")
+    kept = held.select("_hg", "_hb", "_off").distinct()
+    run = (Window.partitionBy(group, "_bucket").orderBy(value)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    h = (xb.join(kept, (F.col(group) == F.col("_hg")) & (F.col("_bucket") == F.col("_hb")))
+         .groupBy(group, "_bucket", value, "_off").agg(F.count(F.lit(1)).alias("_n"))
+         .withColumn("_cum", F.col("_off") + F.sum("_n").over(run)))
+    at = held.select("_hg", "_hb", "_j")
+    hit = (h.join(at, (F.col(group) == F.col("_hg")) & (F.col("_bucket") == F.col("_hb")))
+           .where((F.col("_cum") - F.col("_n") <= F.col("_j")) & (F.col("_j") < F.col("_cum"))))
     found: dict = {}
     for r in hit.select(group, "_j", F.col(value).cast("double").alias("v")).collect():
         found.setdefault(r[group], {})[int(r["_j"])] = float(r["v"])
-    return {g: _lerp_quantiles(found.get(g, {}), n, probs) for g, n in totals.items()}
+    return {g: _lerp(found[g], st["n"], probs) for g, st in stats.items()}, stats
+
+
+def _lerp(by_position: dict, n: int, probs) -> dict:
+    out = {}
+    for p in probs:
+        at = p * (n - 1)
+        lo, hi = by_position[math.floor(at)], by_position[math.ceil(at)]
+        out[p] = lo + (hi - lo) * (at - math.floor(at))
+    return out

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsepanel.sources.tables import require_columns
+
 # Fixed values that must equal the reference's sensitivity analysis.
 TOP_FRACS = [0.01, 0.03, 0.05, 0.10, 0.20]
 FREE_MONTHS = [1, 2, 3]
@@ -23,6 +25,7 @@ def arpu(model: DataFrame, periods_df: DataFrame | None = None, paid: str = "pai
     """Mean paid amount over rows with paid > 0 (in the given periods); one row."""
     from pulsepanel.operators.joins import semi_join_periods
 
+    require_columns(model, [paid, *([] if periods_df is None else [period])], "model table")
     x = model if periods_df is None else semi_join_periods(model, periods_df, period)
     p = F.coalesce(F.col(paid).cast("double"), F.lit(0.0))
     return x.where(p > 0).agg(F.avg(p).alias("ARPU_NTD"), F.count(F.lit(1)).alias("n_paying"))
@@ -42,8 +45,12 @@ def scenario_grid(curve: DataFrame, arpu_value: float, base_rate: float | None,
                   free_months=FREE_MONTHS, accept_rates=ACCEPT_RATES) -> DataFrame:
     """free × accept × fraction rows with precision, lift, gain, cost, net.
 
-    ``curve`` has top_frac, k, TP, FP (one row per fraction).
+    ``curve`` has top_frac, k, TP, FP (one row per fraction).  Without a
+    paying customer there is no ARPU, which is an error.
     """
+    require_columns(curve, ["top_frac", "k", "TP", "FP"], "campaign curve")
+    if arpu_value is None:
+        raise ValueError("no paying customer: ARPU is not defined")
     free = F.explode(F.array(*[F.lit(int(m)) for m in free_months])).alias("free_months")
     acc = F.array(*[F.lit(float(a)) for a in accept_rates])
     g = (curve.select("top_frac", "k", "TP", "FP", free)

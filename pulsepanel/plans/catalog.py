@@ -8,6 +8,7 @@ cannot flip the value hash; integer counts are BIGINT on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,12 @@ from pulsepanel.functions import scalar as S
 from pulsepanel.operators import binning, clean, joins, labels, metrics, panel, prep, profile
 from pulsepanel.operators import rank, sample, scenario, segment
 from pulsepanel.plans import fixtures as fx
+from pulsepanel.session import checkpoint_dir
 from pulsepanel.sources import tables
+from pulsepanel.sources.sinks import (
+    materialize, read_report_csv, write_parquet, write_report_csv,
+)
+from pulsepanel.sources.tables import require_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,6 +214,21 @@ def q_normalize_keys(spark, d):
     return good
 
 
+# The period as a double with gaps: what a nullable integer column becomes.
+@query("normalize_keys_float", """
+select cast(o_custkey as varchar) as msno,
+       cast(strftime(o_orderdate, '%Y%m') as integer) as safra, o_orderkey
+from orders where o_orderkey % 11 <> 0
+""")
+def q_normalize_keys_float(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_custkey").alias("msno"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.date_format("o_orderdate", "yyyyMM").cast("double"))
+        .alias("safra"), "o_orderkey")
+    good, _rejected = clean.normalize_keys(o)
+    return good
+
+
 @query("row_sum", f"""
 with {UL}
 select event_id, msno, safra, num_25 + num_50 + num_75 + num_985 + num_100 as plays_total from ul
@@ -1051,6 +1072,28 @@ def q_stratified_sizes(spark, d):
     return s.groupBy("safra").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stratified_sample_null_period", f"""
+with {SF},
+s0 as (select msno, case when msno % 9 = 0 then null else safra end as safra, p_churn, month_idx from sf),
+h as (select *, substr(md5(concat_ws('|', '42', msno::varchar, month_idx::varchar, safra::varchar)), 1, 15) as h
+      from s0),
+c as (select safra, count(*) as rows from h group by safra),
+t as (select count(*) as n from h),
+z as (select safra, least(rows, greatest(1, round_even(rows * (500.0::double / n), 0))) as n_sample
+      from c, t),
+r as (select h.*, z.n_sample, row_number() over (partition by h.safra order by h.h, msno, month_idx) as rk
+      from h join z on h.safra is not distinct from z.safra),
+p as (select *, row_number() over (order by h, msno, month_idx, safra nulls first) as g
+      from r where rk <= n_sample)
+select msno, safra, month_idx, round(p_churn, 6) as p_churn from p where g <= 500
+""")
+def q_stratified_sample_null_period(spark, d):
+    x = fx.score_frame(spark, d).select(
+        "msno", F.when(F.col("msno").cast("long") % 9 != 0, F.col("safra")).alias("safra"), "p_churn",
+        "month_idx")
+    return r6(sample.stratified_sample(x, 500, "safra", ["msno", "month_idx"]))
+
+
 @query("uniform_sample", f"""
 with {SF}
 select msno, safra, month_idx, churn_3m, p_churn from sf
@@ -1113,15 +1156,18 @@ def _doc_model(spark, d):
     from pulsepanel.operators.train import fit_churn_model
 
     docs = fx.doc_frame(spark, d).withColumn(
-        "split", F.when(F.xxhash64(F.lit(7), "doc_id") % 5 == 0, "test").otherwise("train"))
+        "split", F.when(F.col("quality").isNull(), "unlabelled")
+        .when(F.xxhash64(F.lit(7), "doc_id") % 5 == 0, "test").otherwise("train"))
     train = docs.where(F.col("split") == "train")
     # the reference's settings: depth 6, rate 0.08, 300 rounds, 255 bins, seed 42
-    model = fit_churn_model(train, label="quality", extra_drop=["doc_id", "toxic"])
+    model = fit_churn_model(train, label="quality", extra_drop=["doc_id", "toxic"],
+                            categorical=["lang", "source"])
     return docs, model
 
 
 @query("churn_gbt")
 def q_churn_gbt(spark, d):
+    """Batch scoring of every document; labelled ones outside test train it."""
     docs, model = _doc_model(spark, d)
     return model.score(docs).select("doc_id", "split", "quality", "p_churn")
 
@@ -1140,7 +1186,7 @@ def q_choose_k(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     v = fx.vector_frame(spark, d).withColumn("features", array_to_vector("embedding"))
-    best, rows_ = segment.choose_k(v, range(2, 11), keys=["vec_id"])
+    best, rows_ = segment.choose_k(v, range(2, 11))
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], int(r["k"] == best))
                                   for r in rows_],
                                  "k int, inertia double, silhouette double, chosen int")
@@ -1209,14 +1255,77 @@ def q_reference_churn_model(spark, d):
           r["recall_top10pct"], r["k5"]) for r in rows], schema))
 
 
+# ------------------------------------------------------------- sinks (2.1)
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+
+
+@query("sink_roundtrip", f"""
+with {SP}
+select safra, count(*) as n, sum(n_lines)::bigint as n_lines, round(sum(qty), 6) as qty from sp group by safra
+""")
+def q_sink_roundtrip(spark, d):
+    """The panel written twice by period and read back: a rerun adds nothing."""
+    sp = fx.supplier_panel(spark, d).select("msno", "safra", "n_lines", "qty")
+    path = _scratch(spark, "roundtrip")
+    for _ in range(2):
+        write_parquet(sp, path, partition_by="safra")
+    return r6(spark.read.parquet(path).groupBy("safra").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"), F.sum("qty").alias("qty")))
+
+
+@query("sink_dynamic_month", f"""
+with {SP},
+m as (select max(safra) as top from sp)
+select safra, count(*) as n, sum(case when safra = top then n_lines + 1 else n_lines end)::bigint as n_lines
+from sp, m group by safra
+""")
+def q_sink_dynamic_month(spark, d):
+    """The last period rewritten in place; the others stay."""
+    sp = fx.supplier_panel(spark, d).select("msno", "safra", "n_lines")
+    path = _scratch(spark, "dynamic")
+    write_parquet(sp, path, partition_by="safra")
+    top = spark.read.parquet(path).agg(F.max("safra")).first()[0]
+    new = sp.where(F.col("safra") == top).withColumn("n_lines", F.col("n_lines") + 1)
+    write_parquet(new, path, partition_by="safra", dynamic=True)
+    return spark.read.parquet(path).groupBy("safra").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
+
+
+@query("partition_read", f"""
+with {SP}
+select msno, safra, n_lines from sp where safra between 199506 and 199508
+""")
+def q_partition_read(spark, d):
+    """Three periods of a table written by period: other folders are not read."""
+    path = _scratch(spark, "pruned")
+    write_parquet(fx.supplier_panel(spark, d).select("msno", "safra", "n_lines"), path,
+                  partition_by="safra")
+    return tables.scan_month_filter(spark.read.parquet(path), "safra", [199506, 199507, 199508],
+                                    ["msno", "safra", "n_lines"])
+
+
+@query("report_roundtrip", f"""
+with {SP}
+select safra, count(*) as n, round(avg(qty), 6) as qty from sp group by safra
+""")
+def q_report_roundtrip(spark, d):
+    """A per-period report written as CSV and read with its schema."""
+    report = r6(fx.supplier_panel(spark, d).groupBy("safra").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("qty").alias("qty")))
+    path = _scratch(spark, "report")
+    write_report_csv(report, path, single_file=True)
+    return read_report_csv(spark, path, "safra int, n bigint, qty double")
+
+
 @query("reference_segments")
 def q_reference_segments(spark, d):
     """Segmentation chain: model table ⋈ test scores -> segment profile.
 
     Dedup both sides (keep last), keep model periods that have scores,
-    validated one-to-one join, stratified sample (<= 300k rows), p95
-    action flags, median imputation + population scaling, k chosen on a
-    30k sample, k-means, ids relabelled by risk, profile per segment.
+    validated one-to-one join, p95 action flags, median imputation +
+    population scaling, k chosen on all rows, k-means with restarts, ids
+    relabelled by risk, profile per segment.
     """
     from pulsepanel.operators import prep
 
@@ -1227,15 +1336,16 @@ def q_reference_segments(spark, d):
     scores = clean.dedup(scores, keys, ["p_churn"], keep="last")
     model = joins.semi_join_periods(model, scores, "safra")
     x = joins.join_one_to_one(model, scores, keys)
-    x = sample.stratified_sample(x, segment.MAX_ROWS_CLUSTERING, "safra", ["msno"])
+    x = materialize(x, "segment_rows")
+    require_rows(x, "model table joined to the scores")
     thr = rank.exact_quantiles(x, "p_churn", [0.95])[0.95]
     x = segment.confusion_flags(x, thr)
-    feats = segment.cluster_features(x)
+    feats = segment.cluster_features(x.schema, segment.CLUSTER_PREFERRED)
     x = prep.median_impute(x, feats)
     x = prep.standardize(x, feats, suffix="__z")
     v = segment.assemble(x, [f"{c}__z" for c in feats])
-    best, _ = segment.choose_k(v, range(2, 11), keys=keys)
-    pred = segment.kmeans_fit(v, best).transform(v)
+    best, _ = segment.choose_k(v, range(2, 11))
+    pred = segment.kmeans_fit(v, best, restarts=segment.FINAL_RESTARTS).transform(v)
     pred = segment.relabel_by_risk(pred.drop("features"), "cluster", "p_churn")
     return r6(segment.segment_profile(pred, extra_means=["n_lines", "qty"]))
 

@@ -173,7 +173,7 @@ def vector_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "inner").select(
+    return d.join(lab, "doc_id", "left").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
         "lang", "source", "quality", "toxic")

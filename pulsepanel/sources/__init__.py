@@ -1,13 +1,13 @@
 from pulsepanel.sources.sinks import (
-    materialize, read_report_csv, save_model, write_json_summary, write_parquet,
+    materialize, read_report_csv, remove_scratch, write_json_summary, write_parquet,
     write_report_csv,
 )
 from pulsepanel.sources.tables import (
-    ensure_columns, period_list, read_table, require_columns, scan_month_filter,
+    ensure_columns, period_list, read_table, require_columns, require_rows, scan_month_filter,
 )
 
 __all__ = [
-    "materialize", "read_report_csv", "save_model", "write_json_summary",
+    "materialize", "read_report_csv", "remove_scratch", "write_json_summary",
     "write_parquet", "write_report_csv", "ensure_columns", "period_list",
-    "read_table", "require_columns", "scan_month_filter",
+    "read_table", "require_columns", "require_rows", "scan_month_filter",
 ]

@@ -11,26 +11,32 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsepanel.session import checkpoint_dir
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, dynamic: bool = False) -> None:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        # Cluster rows of a partition together so each task writes few files.
-        df = df.repartition(*cols) if dynamic else df
-        w = df.write.mode("overwrite").partitionBy(*cols)
-        if dynamic:
-            w = w.option("partitionOverwriteMode", "dynamic")
+    """Overwrite a table, or with ``dynamic`` the partitions of the new data.
+
+    Before a partitioned write the rows are rebalanced by the partition
+    columns: adaptive execution splits a heavy period over several tasks and
+    merges small ones, so neither one task nor every task writes a period.
+    """
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    w = df.hint("rebalance", *[F.col(c) for c in cols]).write.mode("overwrite").partitionBy(*cols)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
-def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """CSV with header.  Reports are bounded (months, bins, segments), so
-    one file is fine; pass ``single_file=False`` for data-sized output."""
-    out = df.coalesce(1) if single_file else df
+def write_report_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV with header.  ``single_file`` is for bounded reports (months, bins,
+    segments): all rows then pass one task, behind a shuffle of their own."""
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -40,12 +46,20 @@ def read_report_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.csv(path)
 
 
-def write_json_summary(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_json_summary(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """JSON lines; ``single_file`` as for :func:`write_report_csv`."""
+    out = df.repartition(1) if single_file else df
+    out.write.mode("overwrite").json(path)
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes the tables that :func:`materialize` wrote in this session.
+
+    For the end of a job: results that still read them must be written first.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:

@@ -40,6 +40,12 @@ def require_columns(df: DataFrame, columns, what: str = "input") -> None:
         raise ValueError(f"{what} is missing columns {missing}")
 
 
+def require_rows(df: DataFrame, what: str = "input") -> None:
+    """Raise if there is no row (stops at the first one)."""
+    if df.isEmpty():
+        raise ValueError(f"{what} has no rows")
+
+
 def scan_month_filter(df: DataFrame, period_col: str, periods, columns=None) -> DataFrame:
     """``to_table(columns, filter=field==m)`` → select + isin, pushed to the scan."""
     if isinstance(periods, (int, str)):

@@ -45,10 +45,9 @@ def test_recall_and_captures_monotone_in_k(spark):
     assert all(r.TP + r.FP == r.k for r in rows)
 
 
-def test_hot_key_holding_a_third_of_rows_stays_exact(spark, monkeypatch):
-    from pulsepanel.operators import panel, rank, sample
+def test_hot_key_holding_a_third_of_rows_stays_exact(spark):
+    from pulsepanel.operators import panel, sample
 
-    monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)   # distributed numbering
     rows = [("hot", 201601 + (i % 3), float(i % 7), i) for i in range(300)]
     rows += [(f"k{i % 97}", 201601 + (i % 3), float(i % 5), 1000 + i) for i in range(600)]
     df = spark.createDataFrame(rows, "msno string, safra int, num_unq double, ord int")

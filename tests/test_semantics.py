@@ -167,15 +167,13 @@ def _brute_topk(data, fracs):
 
 
 @pytest.mark.parametrize("nb", [1, 3, 8])
-def test_topk_ties_match_brute_force(spark, nb, monkeypatch):
+def test_topk_ties_match_brute_force(spark, nb):
     random.seed(nb)
     data = [(k, m, float(random.choice([0.1, 0.5, 0.5, 0.9, 0.7])), random.randint(0, 1))
             for k in range(40) for m in range(3)]
     df = spark.createDataFrame(data, "msno int, safra int, p_churn double, churn_3m int")
     fracs = [0.01, 0.03, 0.05, 0.10, 0.20, 0.5]
     pref = rank.value_prefix(df.select("p_churn", "churn_3m"), "p_churn", ("churn_3m",), True, nb)
-    # force the bucketed (distributed) tie numbering too
-    monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
     got = rank.topk_counts(df, "p_churn", "churn_3m", fracs, ["msno", "safra"], prefix=pref)
     assert [(g["top_frac"], g["k"], g["TP"]) for g in got] == _brute_topk(data, fracs)
     flags = rank.topk_flags(df, "p_churn", fracs, ["msno", "safra"])
@@ -183,22 +181,17 @@ def test_topk_ties_match_brute_force(spark, nb, monkeypatch):
     assert [sums[str(f)] for f in fracs] == [max(1, int(len(data) * f)) for f in fracs]
 
 
-def test_positions_on_string_keys_use_many_buckets(spark, monkeypatch):
+def test_positions_on_string_keys_use_many_buckets(spark):
     import base64
     import hashlib
 
-    monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
     keys = [base64.b64encode(hashlib.sha1(str(i).encode()).digest()).decode() for i in range(300)]
     keys += ["é-accent", "Ωmega", "", None]
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "msno string, v int")
     got = {r.msno: r._pos for r in rank.ordered_positions(df, ["msno"], n_buckets=8).collect()}
     want = sorted(keys, key=lambda k: (k is not None, (k or "").encode()))
     assert [got[k] for k in want] == list(range(1, len(keys) + 1))
-    # the bucket image is monotone and spreads the keys
-    img = df.select("msno", rank._sortable_number(df, "msno").alias("o")).collect()
-    img = sorted(img, key=lambda r: (r.msno is not None, (r.msno or "").encode()))
-    assert [r.o for r in img] == sorted(r.o for r in img)
-    assert len({r.o for r in img}) > 250
+    assert len(rank._sampled_bounds(df, "msno", 8)) == 7
 
 
 def test_topk_all_equal_and_tiny(spark):
@@ -245,17 +238,13 @@ def test_auc_ap_match_definitions(spark):
     assert g["x"] == pytest.approx(_auc_brute(y, p))
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_eval_sets_equal_one_set_at_a_time(spark, single_task, monkeypatch):
+def test_eval_sets_equal_one_set_at_a_time(spark):
     random.seed(11)
     data = [(k, m, random.choice(["val", "test", "train"]),
              float(random.choice([0.1, 0.5, 0.5, 0.9, 0.7, 0.3])), random.randint(0, 1))
             for k in range(50) for m in range(4)]
     df = spark.createDataFrame(data, "msno int, safra int, split string, p_churn double, "
                                      "churn_3m int")
-    if not single_task:
-        monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
-        monkeypatch.setattr(rank, "GROUP_BUCKETS", 3)
     got = metrics.eval_sets(df, "split", ("val", "test"))
     want = [metrics.eval_set(df.where(F.col("split") == n), n, reuse=False) for n in ("val", "test")]
     assert [g["set"] for g in got] == ["val", "test"]
@@ -283,7 +272,7 @@ def test_quantiles_interpolate(spark):
     assert q[0.95] == pytest.approx(4 + 0.85 * 5)
     assert (q[0.0], q[1.0]) == (1.0, 9.0)
     long = df.select(F.lit("a").alias("f"), "v").union(df.select(F.lit("b").alias("f"), F.col("v") * 2))
-    g = rank.grouped_quantiles(long, "f", "v", [0.5])
+    g, _ = rank.grouped_quantiles(long, "f", "v", [0.5])
     assert g["a"][0.5] == 3.0 and g["b"][0.5] == 6.0
     assert prep.fit_medians(df, ["v"]) == {"v": 3.0}
 
@@ -352,12 +341,9 @@ def test_stratified_sizes_half_even(spark):
     assert u.count() == 7
 
 
-@pytest.mark.parametrize("single_task", [True, False])
-def test_samples_match_md5_brute_force(spark, single_task, monkeypatch):
+def test_samples_match_md5_brute_force(spark):
     import hashlib
 
-    if not single_task:
-        monkeypatch.setattr(rank, "SINGLE_TASK_ROWS", 0)
     data = [(k, 201601 + m) for k in range(60) for m in range(3)] + [(k, 201604) for k in range(7)]
     df = spark.createDataFrame(data, "msno int, safra int")
 
