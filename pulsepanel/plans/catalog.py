@@ -1318,14 +1318,13 @@ def q_report_roundtrip(spark, d):
     return read_report_csv(spark, path, "safra int, n bigint, qty double")
 
 
-@query("reference_segments")
-def q_reference_segments(spark, d):
-    """Segmentation chain: model table ⋈ test scores -> segment profile.
+def _segments(spark, d):
+    """Segmentation chain: model table ⋈ test scores -> rows with their segment.
 
     Dedup both sides (keep last), keep model periods that have scores,
     validated one-to-one join, p95 action flags, median imputation +
     population scaling, k chosen on all rows, k-means with restarts, ids
-    relabelled by risk, profile per segment.
+    relabelled by risk.  Returns (rows with ``features``, feature names).
     """
     from pulsepanel.operators import prep
 
@@ -1335,19 +1334,39 @@ def q_reference_segments(spark, d):
     model = clean.dedup(model, keys, ["month_idx"], keep="last")
     scores = clean.dedup(scores, keys, ["p_churn"], keep="last")
     model = joins.semi_join_periods(model, scores, "safra")
-    x = joins.join_one_to_one(model, scores, keys)
-    x = materialize(x, "segment_rows")
+    x = materialize(joins.join_one_to_one(model, scores, keys), "segment_rows")
     require_rows(x, "model table joined to the scores")
     thr = rank.exact_quantiles(x, "p_churn", [0.95])[0.95]
     x = segment.confusion_flags(x, thr)
     feats = segment.cluster_features(x.schema, segment.CLUSTER_PREFERRED)
     x = prep.median_impute(x, feats)
     x = prep.standardize(x, feats, suffix="__z")
-    v = segment.assemble(x, [f"{c}__z" for c in feats])
+    v = materialize(segment.assemble(x, [f"{c}__z" for c in feats]), "segment_vectors")
     best, _ = segment.choose_k(v, range(2, 11))
     pred = segment.kmeans_fit(v, best, restarts=segment.FINAL_RESTARTS).transform(v)
-    pred = segment.relabel_by_risk(pred.drop("features"), "cluster", "p_churn")
-    return r6(segment.segment_profile(pred, extra_means=["n_lines", "qty"]))
+    return materialize(segment.relabel_by_risk(pred, "cluster", "p_churn"), "segments"), feats
+
+
+@query("reference_segments")
+def q_reference_segments(spark, d):
+    """Profile of the segments of the chain, by descending mean score."""
+    pred, _ = _segments(spark, d)
+    return r6(segment.segment_profile(pred.drop("features"), extra_means=["n_lines", "qty"]))
+
+
+@query("reference_segment_reports")
+def q_reference_segment_reports(spark, d):
+    """Separation drivers, monthly drift and silhouette of the same segments,
+    as rows (report, key, value)."""
+    pred, feats = _segments(spark, d)
+    drivers = segment.segment_drivers(pred, feats).select(
+        F.lit("drivers").alias("report"), F.col("feature").alias("key"),
+        F.col("separation_score").alias("value"))
+    drift = segment.segment_drift(pred).select(
+        F.lit("drift"), F.concat_ws("|", "safra", "cluster"), F.col("share"))
+    whole = spark.createDataFrame([("silhouette", "all", segment.silhouette_sq(pred))],
+                                  "report string, key string, value double")
+    return r6(drivers.unionAll(drift).unionAll(whole))
 
 
 def queries() -> dict:

@@ -1,10 +1,11 @@
 """Physical-plan properties that matter at scale."""
 
 from pulsepanel.functions.periods import period_index
-from pulsepanel.operators import clean, labels, panel
+from pulsepanel.operators import clean, joins, labels, panel, rank
 from pulsepanel.plans import catalog, fixtures as fx
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 
 def plan(df):
@@ -51,3 +52,41 @@ def test_dedup_is_partial_aggregate(spark):
 def test_panel_aggregation_is_two_phase(spark):
     s = plan(panel.usage_monthly(fx.usage_logs(spark, SF_SMALL)))
     assert "partial_sum" in s and s.count("Exchange hashpartitioning") == 1
+
+
+def test_feature_join_adds_no_exchange(spark):
+    """Three tables aggregated by (key, period) are joined where they are."""
+    usage = panel.usage_monthly(fx.usage_logs(spark, SF_SMALL))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pay = panel.payments_monthly(fx.order_txn(spark, SF_SMALL))
+        alone = plan(usage).count("Exchange") + plan(pay).count("Exchange")
+        joined = plan(panel.feature_join(usage, [pay]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in joined and joined.count("Exchange") <= alone
+
+
+def test_ranking_never_gathers_rows_in_one_partition(spark):
+    scores = fx.score_frame(spark, SF_SMALL).select("msno", "safra", "p_churn", "churn_3m")
+    for df in (rank.topk_flags(scores, "p_churn", [0.05], ["msno", "safra"]),
+               rank.ordered_positions(scores, ["msno", "safra"]),
+               rank.value_prefix(scores, "p_churn", ("churn_3m",), True).df):
+        lines = plan(df).splitlines()
+        for i, line in enumerate(lines):  # only totals per bucket, never rows
+            assert "SinglePartition" not in line or "HashAggregate(keys=[_bucket" in lines[i + 1]
+
+
+def test_one_to_one_join_reads_each_side_once(spark):
+    a = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_custkey")
+    b = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_totalprice")
+    assert plan(joins.join_one_to_one(a, b, ["o_orderkey"])).count("FileScan") == 2
+
+
+def test_quantiles_sort_only_the_buckets_that_hold_them(spark):
+    df = spark.range(10_000).select((F.col("id") * 7919 % 10_007).cast("double").alias("v"))
+    pre = rank.value_prefix(df, "v", n_buckets=50, positions=rank.quantile_positions([0.5]))
+    assert 0 < pre.df.count() < 10_000 / 50 * 3
+    assert rank.quantiles_from_prefix(pre, [0.5]) == {
+        0.5: df.selectExpr("percentile(v, 0.5)").first()[0]}
