@@ -66,10 +66,14 @@ def churn_label(panel: DataFrame, key: str = "msno", period: str = "safra",
 
     Customers inactive now get 0 (not NULL); eligibility is a later filter.
     """
-    fut = f"{status}_fut"
-    df = forward_status(panel, key, period, status, horizon, idx)
-    return (df.where(F.col(fut).isNotNull())
-            .withColumn(label, ((F.col(status) == 1) & (F.col(fut) == 0)).cast("int")))
+    return label_rows(forward_status(panel, key, period, status, horizon, idx), status, label)
+
+
+def label_rows(status_panel: DataFrame, status: str = "is_ativo", label: str = "churn_3m") -> DataFrame:
+    """Label of the rows of :func:`forward_status` with an observed future."""
+    fut = F.col(f"{status}_fut")
+    return (status_panel.where(fut.isNotNull())
+            .withColumn(label, ((F.col(status) == 1) & (fut == 0)).cast("int")))
 
 
 def label_trust(status_panel: DataFrame, period: str = "safra", status: str = "is_ativo",
@@ -137,11 +141,7 @@ def model_table(panel: DataFrame, lag_cols, key: str = "msno", period: str = "sa
         from pulsepanel.sources.sinks import materialize
         x = materialize(x, "windowed_panel")
     diag = label_trust(x, period, status, horizon, idx=idx)
-    fut = f"{status}_fut"
-    rows = (x.where(F.col(fut).isNotNull())
-            .withColumn(label, ((F.col(status) == 1) & (F.col(fut) == 0)).cast("int"))
-            .drop(idx))
-    return attach_trust(rows, diag, period)
+    return attach_trust(label_rows(x, status, label).drop(idx), diag, period)
 
 
 def eligible_trusted(model: DataFrame, status: str = "is_ativo",

@@ -335,7 +335,7 @@ src as (select coalesce(max_tax, -1.0) as v, is_ativo as y from ft),
 {QBIN_SQL}
 """)
 def q_quantile_bins(spark, d):
-    ft = _features(spark, d)
+    ft = materialize(_features(spark, d).select("max_tax", "is_ativo"), "bin_rows")
     b = binning.quantile_bins(ft, "max_tax", q=5, fill=-1, out="bin")
     return r6(binning.rate_by_bin(b, "bin", "is_ativo"))
 
@@ -348,7 +348,7 @@ src as (select case when qty_lag1 is not null then greatest(qty_lag1, 0) + 1 els
 """)
 def q_rate_by_bin(spark, d):
     el = labels.eligible_trusted(_model(spark, d))
-    x = el.withColumn("eng", S.clip_shift("qty_lag1"))
+    x = materialize(el.select(S.clip_shift("qty_lag1").alias("eng"), "churn_3m"), "bin_rows")
     b = binning.quantile_bins(x, "eng", q=5, fill=0, out="bin")
     return r6(binning.rate_by_bin(b, "bin", "churn_3m"))
 
@@ -390,7 +390,7 @@ select msno, safra, cast(p_churn >= thr as integer) as pred_action,
 from sf, t
 """)
 def q_confusion_flags(spark, d):
-    sf = fx.score_frame(spark, d)
+    sf = metrics.reusable(fx.score_frame(spark, d), ["msno", "safra", "p_churn", "churn_3m"])
     thr = rank.exact_quantiles(sf, "p_churn", [0.95])[0.95]
     return segment.confusion_flags(sf, thr).select("msno", "safra", "pred_action", "fp", "fn")
 
@@ -473,8 +473,10 @@ select msno, safra, churn_3m, label_trust, round(fut_active_rate, 6) as fut_acti
        round(churn_rate_month, 6) as churn_rate_month from mt
 """)
 def q_attach_trust(spark, d):
-    rows = labels.churn_label(fx.censored_panel(spark, d), idx="month_idx")
-    out = labels.attach_trust(rows, _diag(spark, d))
+    # the panel with its forward status serves the rows and the diagnosis
+    x = materialize(labels.forward_status(fx.censored_panel(spark, d), idx="month_idx"), "status")
+    rows = labels.label_rows(x)
+    out = labels.attach_trust(rows, labels.label_trust(x, idx="month_idx"))
     return r6(out.select("msno", "safra", "churn_3m", "label_trust", "fut_active_rate",
                          "churn_rate_month"))
 
@@ -641,7 +643,7 @@ def _segment_features(spark, d):
     sg = fx.segment_frame(spark, d)
     sp = fx.supplier_panel(spark, d).select("msno", "safra", "n_lines", "qty", "price_cents",
                                              "n_returned")
-    x = sg.join(sp, ["msno", "safra"], "inner")
+    x = materialize(sg.join(sp, ["msno", "safra"], "inner"), "segment_rows")
     thr = rank.exact_quantiles(x, "p_churn", [0.95])[0.95]
     return segment.confusion_flags(x, thr)
 
@@ -824,7 +826,7 @@ select el.msno, el.safra,
 from el join r on r.safra = el.safra
 """)
 def q_temporal_split(spark, d):
-    el = labels.eligible_trusted(_model(spark, d)).select("msno", "safra")
+    el = materialize(labels.eligible_trusted(_model(spark, d)).select("msno", "safra"), "eligible")
     from pulsepanel.operators.train import temporal_split
     return temporal_split(el)
 
