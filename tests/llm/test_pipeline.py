@@ -84,3 +84,16 @@ def test_registered():
 def test_query_matches_its_sql(spark, name):
     problems, _ = compare(spark, name, QUERIES[name], ORACLES[name], SF_SMALL, duck(SF_SMALL))
     assert not problems, problems
+
+
+def test_near_stage_setting_matches_sql(spark):
+    from pulsepanel.llm.ngram_join import ngram_join
+    from pulsepanel.llm.queries import sql_ngram, table
+
+    def query(spark, d):
+        return ngram_join(table(spark, d, "documents"), size=cp.NEAR_WORDS, num=cp.NEAR_NUM,
+                          den=cp.NEAR_DEN).drop("_row", "first")
+
+    sql = f"with recursive {sql_ngram('documents', cp.NEAR_WORDS, cp.NEAR_NUM, cp.NEAR_DEN)} select * from joined"
+    problems, _ = compare(spark, "near", query, sql, SF_SMALL, duck(SF_SMALL))
+    assert not problems, problems
