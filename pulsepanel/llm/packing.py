@@ -34,37 +34,65 @@ END_ID = 2
 #: A combination has one length up to so many times and at most one filler.
 DEPTH = 12
 ITERATIONS = 400
-#: Words kept with their ids in a task; beyond it the cache starts anew.
+#: Words kept with their ids in a process, twice (those in use and older ones).
 CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
+#: Characters that may follow a word; none of them is part of a special token.
+PUNCTUATION = ".,;:!?*%$&#"
 
 
 class WordIds(dict):
     """Ids of a word as little-endian 32-bit bytes, made on first use.
 
-    The vocabulary's splitting rule never crosses a space or a line feed, so a
-    text's ids are those of its parts between them, one after the other.
+    The vocabulary's splitting rule never crosses a space or a line feed, nor
+    the border between a letter and the punctuation in ``PUNCTUATION``, and it
+    reads A-Z as a-z; so a text's ids are those of its lower-cased parts, one
+    after the other, and only new words without their punctuation are encoded.
+    Texts that hold the start of a special token keep their case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.limit, self.older = limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = np.asarray(ids, dtype="<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = self._encode(word)
         if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.limit:  # words in use come back from ``older``
+                self.older = self.copy()
                 self.clear()
             self[word] = packed
         return packed
 
+    def _encode(self, word: str) -> bytes:
+        core = word.rstrip(PUNCTUATION)
+        # A letter whose lower case ends in a mark (I with dot) joins what follows.
+        if core and len(core) < len(word) and core[-1].isalpha() and core[-1].lower()[-1].isalpha():
+            return self[core] + self[word[len(core):]]
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if "<|" not in text:
+            text = text.encode().lower().decode()  # A-Z only
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The cache of this worker process, which serves many tasks."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``window`` ids: id, start, length, ids_crc32, doc_tokens."""
@@ -72,7 +100,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             rows, starts, lengths, crcs, totals = [], [], [], [], []

@@ -8,11 +8,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_fixtures import make_docs, no_docs, odd_docs  # noqa: F401
-from pulsepanel.llm.packing import WordIds, pack_documents, plan_windows
+from pulsepanel.llm.packing import WordIds, pack_documents, plan_windows, word_ids
 from pulsepanel.llm.queries import tokenizer_path
 
 ODD = ["", " ", "a<|endoftext|>b", "<|startoftext|> x", "été ́a", "A B\x1cC\x85D E",
        "don't we'll I'd 's", "x" * 300, "\U0001f600\U0001f600 tab\there\r\nline\n\n end ", "Ünïcödé ΣΑΣ Σ",
+       "İ. İ.. É, éx; ßß!! a.b. a'. x*. q<. Ab%%% 1. 1,a. _. ́. aͅ.", "A<|ENDOFTEXT|>B C",
        "１２ ① ﬁ", "日本語のテキスト 中文", "a\ńb", "ﬁ Å Ω"]
 
 
@@ -30,14 +31,19 @@ def test_ids_of_odd_texts(words, text):
     assert np.frombuffer(words.encode(text), "<u4").tolist() == direct(words, text)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("aBİéßσΣΚ.,!*'<| \n1́ͅ", max_size=30)))
 def test_ids_of_any_text(text):
-    words = test_ids_of_any_text.words = getattr(test_ids_of_any_text, "words", None) or WordIds(
-        tokenizer_path())
+    words = word_ids(tokenizer_path())
     assert np.frombuffer(words.encode(text), "<u4").tolist() == direct(words, text)
 
 
+def test_a_full_cache_keeps_working(words):
+    small = WordIds(tokenizer_path(), limit=5)
+    text = " ".join(f"w{i % 23}. the," for i in range(200))
+    assert small.encode(text) == words.encode(text) and len(small) + len(small.older) <= 10
+
+
 def check(docs, words, window):
     rows = docs.collect()
     got = pack_documents(docs, tokenizer_path(), window).collect()
