@@ -50,8 +50,10 @@ CHECKS = {
     "choose_k": lambda rows, n: [r.k for r in sorted(rows)] == list(range(2, 11))
     and sum(r.chosen for r in rows) == 1
     and max(rows, key=lambda r: r.silhouette).chosen == 1,
+    # a set of one class has no AUC
     "reference_churn_model": lambda rows, n: [r["set"] for r in rows] == ["val", "test"]
-    and all(_unit(r.roc_auc) and _unit(r.recall_top5pct) for r in rows),
+    and all((r.roc_auc is None or _unit(r.roc_auc)) and _unit(r.recall_top5pct) and r.k5 >= 1
+            for r in rows),
     "reference_segments": lambda rows, n: abs(sum(r.share for r in rows) - 1) < 1e-5
     and [r.p_churn for r in rows] == sorted((r.p_churn for r in rows), reverse=True),
     "reference_segment_reports": lambda rows, n: {r.report for r in rows} == {
