@@ -36,7 +36,9 @@ CLASSES = 1 << 15
 RARE, END = 0, 1
 #: Words whose counts every task holds at most, and their longest length.
 HEAD, HEAD_BYTES = 1 << 18, 64
-PASSES = 4
+PASSES = 6
+#: States start out likely to stay: languages and styles run over many words.
+STAY = 10.0
 #: Tokens of a segment and tokens handled at once.
 SEGMENT = 128
 TOKENS_AT_ONCE = 400_000
@@ -55,9 +57,11 @@ def fold(id_col, folds: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def _words(column) -> list[list[bytes]]:
+def _words(column):
+    """Words of one text after the other, so a batch is never held as words."""
     # Bytes: lower() changes A-Z only, split() splits at ASCII white space only.
-    return [(t or b"").lower().split() for t in column.cast(pa.binary()).to_pylist()]
+    for text in column.cast(pa.binary()):
+        yield (text.as_py() or b"").lower().split()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ class Model:
 def first_model(unigram: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * rng.gamma(2.0, 0.5, (len(unigram), states))
-    move = rng.random((states, states)) + 0.2 + np.eye(states)
+    move = rng.random((states, states)) + 0.2 + STAY * np.eye(states)
     even = np.full(states, 1 / states)
     return Model(even, even, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
