@@ -2,22 +2,22 @@
 
 1. Every document becomes its sorted array of 64-bit shingle hashes.  Equal
    sets are one class; only one representative of each goes on.
-2. Size bands: a linked pair lies in one band of set sizes or in two
-   neighbouring ones.  A pair of a band differs in at most ``h`` shingles, so
-   when the hash range is cut into more than ``h`` parts some part holds the
-   same shingles in both.  Each part's content is a key; representatives that
-   share a key are joined into blocks (connected components of key sharing).
-   No linked pair is outside a block.
-3. Tiles: a block is cut by band and, where it is large, by a hash into parts
-   of bounded content.  A tile compares two parts.  The parity bitmap of a
+2. Keys: shingles are ordered by how many documents' sets fall into their
+   hash bucket; linked sets share one of their rarest members (prefixes).
+   Documents that share a key are joined into blocks (connected components
+   of key sharing).  No linked pair is outside a block.
+3. Tiles: a large block is cut into bands of set sizes, as a pair can only link
+   within a band or across two neighbouring ones, and a band by a hash into
+   parts of bounded content.  A tile compares two parts.  The parity bitmap of a
    set (each shingle flips one bit) gives a lower bound of the difference of
    two sets, that is an upper bound of their overlap; pairs that it cannot
    exclude are intersected exactly over the ranks of their sorted arrays.
 4. Links of all tiles are joined into components of representatives, and
    classes hand them to their documents.
 
-Scale: the text is read twice and never grouped; a key's rows are merged
-inside each batch before the shuffle, so a key that a third of all documents
+Scale: the text is read four times and never grouped, and neither sets nor
+keys of all documents are written; a key's rows are merged inside each batch
+before the shuffle, so a key that a third of all documents
 share sends one row a batch.  Tiles have bounded content, and pairs are never
 rows: a tile returns one row per document.
 """
@@ -25,6 +25,7 @@ rows: a tile returns one row per document.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ PART_SHINGLES = 1 << 19
 #: Rows of a side that is broadcast at most (40 bytes each).
 BROADCAST_ROWS = 200_000
 CACHE_WORDS = 1_000_000
+#: Buckets of the document counts that order the shingles (a power of two).
+BUCKETS = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -89,99 +92,96 @@ class Link:
     num: int
     den: int
 
-    def edges(self, top: int) -> list[int]:
-        """Lower bounds of the size bands up to size ``top``; a size's partners
-        lie in its own band or a neighbouring one."""
-        out = [1]
-        while out[-1] <= top:
-            out.append(max(out[-1] + 1, -(-out[-1] * self.den ** 2 // self.num ** 2)))
-        return out
+    def band(self, size: int) -> int:
+        """Band of a set size; a partner lies in the same band or the next."""
+        return math.floor(math.log(size) / (2 * math.log(self.den / self.num)) + 1e-9)
 
-    def difference(self, total: int) -> int:
-        """Most shingles in which a linked pair of ``total`` shingles differs."""
-        return total * (self.den - self.num) // (self.den + self.num)
 
+def prefix_keys(shingles: np.ndarray, counts: np.ndarray, link: Link) -> np.ndarray:
+    """The rarest shingles of a set, as many as a partner must not all miss.
 
-def band_keys(shingles: np.ndarray, edges: list[int], link: Link) -> np.ndarray:
-    """Keys of a set: contents of its parts, for its band and the next one if
-    a partner there is possible."""
+    A partner holds at least ``num / den`` of the set, so of two linked sets
+    the first ``n - ceil(n * num / den) + 1`` members in one common order have
+    a member in common.  The order is by bucket count, then by hash.  A key is
+    a shingle with a size band: the set's own, and the next one if a partner
+    can be there."""
     n = len(shingles)
-    band = int(np.searchsorted(edges, n, side="right")) - 1
-    out = []
-    for b in (band, band + 1):
-        if b > band and n * link.den < edges[b] * link.num:
-            break
-        h = link.difference(2 * (edges[b + 1] - 1))
-        if h == 0:
-            continue  # only equal sets link, and they are one class
-        spare = 2 + h // 12
-        m = h + 1 + spare
-        part = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        content = np.add.reduceat(_mix(shingles + np.uint64(b)), starts)
-        keys = _mix(content + (part[starts] + np.uint64(b << 40)) * np.uint64(0x9E3779B97F4A7C15))
-        out.append(keys)
-        # At least spare + 1 parts of a linked pair are equal, so empty parts
-        # may be left out of a set with no more than ``spare`` of them.
-        empty = m - len(starts)
-        if empty > spare:
-            holes = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts], assume_unique=True)
-            out.append(_mix((holes + np.uint64(b << 40)) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _texts(column) -> list:
-    return column.cast(pa.binary()).to_pylist()
-
-
-def _sets(rows: DataFrame, size: int, link: Link) -> DataFrame:
-    """(id, _row, n_shingles, digest, keys) of each document."""
+    keep = n - -(-n * link.num // link.den) + 1
+    rank = counts[shingles & np.uint64(len(counts) - 1)]
+    rare = shingles[np.argsort(rank, kind="stable")[:keep]]
+    band, far = link.band(n), link.band(n * link.den // link.num)
+    return np.concatenate([_mix(rare + np.uint64(b) * _M1) for b in range(band, far + 1)])
+
+
+def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How many documents' sets fall into each of ``BUCKETS`` hash buckets: the
+    order of the prefixes, of a fixed size.  Frequent shingles (lines and
+    passages that many documents share) come late in it."""
+    def count(batches):
+        words, total = WordHash(), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                s = shingle_set(text.as_py() or b"", size, words)
+                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "c"])
+
+    sums = (rows.select("text").mapInArrow(count, "bucket bigint, c bigint")
+            .groupBy("bucket").agg(F.sum("c").alias("c")).toArrow())
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
+    return counts
+
+
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """(id, _row, n_shingles, digest) of each document."""
     def make(batches):
-        words, edges = WordHash(), link.edges(1 << 20)
+        words = WordHash()
         for batch in batches:
-            counts, digests, keys = [], [], []
-            for text in _texts(batch.column(2)):
-                s = shingle_set(text or b"", size, words)
-                if (far := len(s) * link.den ** 6 // link.num ** 6) >= edges[-1]:
-                    edges = link.edges(2 * far)  # the next bands of the longest text
+            counts, digests = [], []
+            for text in batch.column(2).cast(pa.binary()):
+                s = shingle_set(text.as_py() or b"", size, words)
                 counts.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(band_keys(s, edges, link).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "_row", "n_shingles", "digest", "keys"])
+                 pa.array(digests, pa.binary())], names=["id", "_row", "n_shingles", "digest"])
 
-    return rows.mapInArrow(make, f"id {type_of(rows, 'id')}, _row bigint, n_shingles bigint, "
-                                 "digest binary, keys array<bigint>")
+    return rows.mapInArrow(
+        make, f"id {type_of(rows, 'id')}, _row bigint, n_shingles bigint, digest binary")
 
 
-def _key_edges(reps: DataFrame) -> DataFrame:
-    """Edges between representatives that share a key, as a forest per key."""
+def _key_edges(rows: DataFrame, size: int, link: Link, common) -> DataFrame:
+    """Edges (a, b) between rows (by ``_row``) that share a key, as a forest per
+    key.  ``common`` is the broadcast order of the shingles.  A key's rows of a
+    batch are joined there, and one of them goes on."""
     def merge(batches):
+        words, counts = WordHash(), common.value
         for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy()
-            rep = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(1).cast(pa.binary()):
+                s = shingle_set(text.as_py() or b"", size, words)
+                found.append(prefix_keys(s, counts, link) if len(s) else found[0])
+            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in found[1:]])
+            keys = np.concatenate(found).view(np.int64)
             order = np.argsort(keys, kind="stable")
-            keys, rep = keys[order], rep[order]
+            keys, node = keys[order], node[order]
             same = np.zeros(len(keys), bool)
             same[1:] = keys[1:] == keys[:-1]
-            pairs = np.stack([rep[same], rep[np.flatnonzero(same) - 1]], axis=1)
+            pairs = np.stack([node[same], node[np.flatnonzero(same) - 1]], axis=1)
             pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+            alone = int((~same).sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([keys[~same], pairs[:, 0]])),
-                 pa.array(np.concatenate([rep[~same], pairs[:, 0]])),
-                 pa.array(np.concatenate([np.zeros((~same).sum(), np.int64), pairs[:, 1]]),
-                          mask=np.concatenate([np.ones((~same).sum(), bool), np.zeros(len(pairs), bool)]))],
-                names=["key", "rep", "other"])
+                 pa.array(np.concatenate([node[~same], pairs[:, 0]])),
+                 pa.array(np.concatenate([np.zeros(alone, np.int64), pairs[:, 1]]),
+                          mask=np.arange(alone + len(pairs)) < alone)],
+                names=["key", "node", "other"])
 
-    rows = reps.select("rep", "keys").mapInArrow(merge, "key bigint, rep bigint, other bigint")
-    lead = F.min(F.when(F.col("other").isNull(), F.col("rep"))).over(Window.partitionBy("key"))
-    return (rows.withColumn("b", F.coalesce("other", lead)).where("rep <> b")
-            .select(F.col("rep").alias("a"), "b").distinct())
+    keyed = rows.select("_row", "text").mapInArrow(merge, "key bigint, node bigint, other bigint")
+    lead = F.min(F.when(F.col("other").isNull(), F.col("node"))).over(Window.partitionBy("key"))
+    return (keyed.withColumn("b", F.coalesce("other", lead)).where("node <> b")
+            .select(F.col("node").alias("a"), "b").distinct())
 
 
 def _tiles(members: DataFrame, link: Link) -> DataFrame:
@@ -193,8 +193,7 @@ def _tiles(members: DataFrame, link: Link) -> DataFrame:
     """
     total = members.groupBy("block").agg(F.sum("n").alias("_all"))
     big = materialize(total.where(F.col("_all") > PART_SHINGLES).select("block"), "large-blocks")
-    # Bands of about the same rule as the keys': the ratio of neighbouring
-    # sizes' logarithms, so partners are at most one band apart.
+    # Bands by the logarithm of the size, so partners are at most one apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit((link.den / link.num) ** 2)) + 1e-9)
     inside = members.join(big, "block", "left_semi").withColumn("band", band.cast("long"))
     whole = members.join(big, "block", "left_anti").select(
@@ -331,20 +330,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = with_row_key(docs.select(*named)).select("id", "_row", "text")
     else:
         rows = docs.select(named[0], F.col(row_col).alias("_row"), named[1])
-    sets = materialize(_sets(rows, size, link).withColumn("rid", F.monotonically_increasing_id()),
+    sets = materialize(_sets(rows, size).withColumn("rid", F.monotonically_increasing_id()),
                        "shingle-sets")
     classes = materialize(
         sets.where("digest is not null").groupBy("digest")
         .agg(F.min("rid").alias("rep"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size"),
-             F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
+             F.first("n_shingles").alias("n"),
              F.min_by(F.struct("id", "_row"), "rid").alias("at")), "shingle-classes")
 
-    edges = _key_edges(classes)
-    blocks = materialize(connected_components(edges), "blocks")
-    members = materialize(
-        classes.join(blocks, F.col("rep") == F.col("node"))
+    # Blocks are found between rows; only classes are compared in them.  A key
+    # of a physical row that two rows share would only widen a block.
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, size))
+    blocks = materialize(connected_components(_key_edges(rows, size, link, counts)), "blocks")
+    counts.unpersist()
+    inside = materialize(
+        classes.join(blocks, F.col("at._row") == F.col("node"))
         .select(F.col("root").alias("block"), "rep", "n", "size", F.col("at.id").alias("mid"),
-                F.col("at._row").alias("mrow")), "block-members")
+                F.col("at._row").alias("mrow")), "block-classes")
+    several = inside.groupBy("block").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    members = materialize(inside.join(materialize(several, "blocks-of-several"), "block", "left_semi"),
+                          "block-members")
     small = members.count() <= BROADCAST_ROWS
     keyed = F.broadcast(members) if small else members
     texts = rows.join(keyed, (F.col("_row") == F.col("mrow")) & F.col("id").eqNullSafe(F.col("mid")))
@@ -352,7 +357,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def attach(batches):
         words = WordHash()
         for batch in batches:
-            sets = [shingle_set(t, size, words).tobytes() for t in _texts(batch.column(4))]
+            sets = [shingle_set(t.as_py(), size, words).tobytes()
+                    for t in batch.column(4).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(sets, pa.binary())],
                 names=["block", "rep", "n", "size", "set"])
@@ -375,7 +381,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups.join(lowest, "root", "left")
         .select("digest", "root", "size", F.coalesce("reach", "low").alias("reach"),
                 (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "class-names")
-    out = sets.drop("keys").join(named, "digest", "left")
+    out = sets.join(named, "digest", "left")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"),
                      F.col("rid").alias("rid"))
     keepers = materialize(

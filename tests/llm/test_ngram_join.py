@@ -98,8 +98,25 @@ def test_linked_sets_share_a_key(n, out, new, rng):
         b = np.unique(np.array(base[min(out, n - 1):], np.uint64))
         common = len(np.intersect1d(a, b))
         if den * common >= num * (len(a) + len(b) - common) and not np.array_equal(a, b):
-            edges = link.edges(1 << 20)
-            assert len(np.intersect1d(nj.band_keys(a, edges, link), nj.band_keys(b, edges, link)))
+            counts = np.random.default_rng(n).integers(0, 9, 64)
+            assert len(np.intersect1d(nj.prefix_keys(a, counts, link), nj.prefix_keys(b, counts, link)))
+
+
+def test_prefixes_hold_the_rarest_members():
+    counts = np.arange(64)[::-1].copy()
+    s = np.arange(50, dtype=np.uint64)
+    link = nj.Link(90, 100)
+    bands = range(link.band(50), link.band(55) + 1)
+    want = {int(nj._mix(np.array([x], np.uint64) + np.uint64(b) * nj._M1)[0])
+            for x in range(44, 50) for b in bands}
+    assert set(nj.prefix_keys(s, counts, link).tolist()) == want
+
+
+def test_partners_are_at_most_one_band_apart():
+    for num, den in ((90, 100), (80, 100), (1, 2)):
+        link = nj.Link(num, den)
+        for n in [*range(1, 400), 10**6, 10**9]:
+            assert link.band(n) <= link.band(n * den // num) <= link.band(n) + 1
 
 
 def test_parity_bound_never_exceeds_the_difference():
