@@ -6,7 +6,9 @@ positions of the same k-gram in license templates.  A hit lies on a diagonal
 template puts all its hits on one diagonal, and an inserted or missing word
 moves the rest to a neighbouring one.  Hits are counted by diagonal,
 neighbouring diagonals are merged, and a span is verified by comparing the
-words themselves and by the share of template words that it covers.
+words themselves and by the share of template words that it covers.  Licenses
+that share most of a passage are told apart by the document's own words at the
+place where they differ (``TELLING``).
 
 Scale: DataFrame functions only.  The template table is a constant of this
 module, so its broadcast is bounded; document k-grams stream through the two
@@ -51,6 +53,22 @@ PASSAGES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("gnu lesser general public license as published by the free software foundation", "lgpl"),
 )
+#: Words that tell a label's passages from other licenses, as patterns over the
+#: words around a hit: a span without the first (null: none is needed) gets no
+#: label; one with the second and not the first is another license's.
+TELLING = {
+    "gpl": (r" (?!lesser |library |affero )\S+ general public | gnu gpl ",
+            r" (lesser|library|affero) general "),
+    "lgpl": (r" (lesser|library) general public | gnu lgpl ",
+             r" (?!lesser |library )\S+ general public "),
+    "cc-by": (r" attribution (?!non|noder|no |share|nc |nd |sa )\S+ ",
+              r" attribution (non|noder|no |share|nc |nd |sa )"),
+    "apache": (r" apache (software )?licen[cs]e ", None),
+    "mpl": (r" mozilla public ", None),
+    "mit": (None, r" to deal with "),
+}
+#: Stands for the word before the first and after the last; no word holds it.
+EDGE = "."
 #: k of the rolling k-grams; a phrase of fewer words uses SHORT.
 LONG, SHORT = 4, 2
 #: Diagonals at most so far apart are merged.
@@ -85,16 +103,29 @@ def _grouped(grams: DataFrame, k: int) -> DataFrame:
                  .alias(f"_at{k}")))
 
 
+def _telling(which: int) -> F.Column:
+    """Whether the words ``_around`` a passage's hit match its label's pattern."""
+    found = F.lit(False)
+    for label, patterns in TELLING.items():
+        if patterns[which] is not None:
+            found = F.when(F.col("t.label") == label, F.col("_around").rlike(patterns[which])
+                           ).otherwise(found)
+    return ~F.col("t.exact") & found
+
+
 def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified k-gram hits: _id, _text (hash of the text), template columns,
-    ``pos`` (word of the document) and ``diagonal``."""
+    ``pos`` (word of the document), ``diagonal``, and whether the words from
+    the one before to the one after it are the label's ``own`` or a ``rival``'s."""
     grams = template_grams(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"),
         F.regexp_extract_all(lower_ascii(text), F.lit(LICENSE_WORD), F.lit(1)).alias("w"))
     size = F.greatest(F.size("w"), F.lit(1))
-    grams_of = F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(LONG)])
+    before = F.slice(F.concat(F.array(F.lit(EDGE)), F.col("w")), F.lit(1), size)
+    grams_of = F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(LONG + 1)],
+                            before.alias("before"))
     rows = (words.select("_id", "_text", F.posexplode(grams_of).alias("pos", "g"))
             .select("_id", "_text", "pos", "g.*"))
     for k in (SHORT, LONG):
@@ -105,37 +136,47 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("t", F.explode(F.concat(F.coalesce("_at2", F.array()),
                                                      F.coalesce("_at4", F.array()))))
     same = F.slice(F.array(*[F.col(f"w{i}") for i in range(LONG)]), 1, F.col("t.k")) == F.col("t.gram")
-    return (found.where(same)
+    around = [F.coalesce(c, F.lit(EDGE)) for c in ("before", *[f"w{i}" for i in range(LONG + 1)])]
+    found = found.where(same).withColumn("_around", F.concat_ws(" ", F.lit(""), *around, F.lit("")))
+    return (found
             .select("_id", "_text", "pos", "t.template", "t.exact", "t.label", "t.n", "t.k", "t.at",
-                    (F.col("pos") - F.col("t.at")).alias("diagonal"))
+                    (F.col("pos") - F.col("t.at")).alias("diagonal"),
+                    _telling(0).alias("own"), _telling(1).alias("rival"))
             .dropDuplicates(["_id", "_text", "template", "pos", "at"]))
 
 
 def license_spans(hits: DataFrame) -> DataFrame:
     """Spans per (document, template): base phrases in full on one diagonal,
-    passages over merged diagonals, with ``first``, ``last`` word and ``cover``
-    (share of the template's words that were seen)."""
+    passages over merged diagonals, with ``first``, ``last`` word, ``cover``
+    (share of the template's words that were seen), ``own`` (the label's telling
+    words were seen, or it needs none) and ``rival`` (another license's were)."""
     doc = ["_id", "_text", "template"]
     exact = (hits.where("exact").groupBy(*doc, "label", "n", "diagonal", "k")
              .agg(F.count(F.lit(1)).alias("votes")).where("votes = n - k + 1")
              .select("_id", "_text", "template", F.lit(True).alias("exact"), "label",
                      F.col("diagonal").cast("long").alias("first"),
                      (F.col("diagonal") + F.col("n") - 1).cast("long").alias("last"),
-                     F.lit(1.0).alias("cover")))
+                     F.lit(1.0).alias("cover"), F.lit(True).alias("own"),
+                     F.lit(False).alias("rival")))
     by = Window.partitionBy(*doc).orderBy("diagonal")
     diagonals = (hits.where("not exact").groupBy(*doc, "label", "n", "k", "diagonal")
                  .agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"),
-                      F.max("pos").alias("hi"))
+                      F.max("pos").alias("hi"), F.max("own").alias("own"),
+                      F.max("rival").alias("rival"))
                  .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOUR))
                  .withColumn("band", F.sum(F.coalesce(F.col("new"), F.lit(True)).cast("int")).over(by)))
     merged = (diagonals.withColumn("ats", F.expr("flatten(transform(ats, a -> sequence(a, a + k - 1)))"))
               .groupBy(*doc, "label", "n", "band")
               .agg(F.collect_set("ats").alias("seen"), F.min("lo").alias("first"),
-                   (F.max(F.col("hi") + F.col("k")) - 1).alias("last"))
+                   (F.max(F.col("hi") + F.col("k")) - 1).alias("last"),
+                   F.max("own").alias("own"), F.max("rival").alias("rival"))
               .withColumn("cover", F.size(F.array_distinct(F.flatten("seen"))) / F.col("n")))
+    needed = [label for label, (own, _) in TELLING.items() if own is not None]
     passages = merged.select(
         "_id", "_text", "template", F.lit(False).alias("exact"), "label",
-        F.col("first").cast("long"), F.col("last").cast("long"), "cover")
+        F.col("first").cast("long"), F.col("last").cast("long"), "cover",
+        (F.col("own") | ~F.col("label").isin(needed)).alias("own"),
+        (F.col("rival") & ~F.col("own")).alias("rival"))
     return exact.unionByName(passages)
 
 
@@ -144,8 +185,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, ``n_words``, ``n_base``, ``first_word``,
     ``last_word``, ``base_labels``, ``labels``, ``score`` and ``spans``.
 
-    ``score`` is the best cover of any template (1 with a base phrase).  A
-    null text is empty; a text without words has counts of 0, null words,
+    ``score`` is the best cover of any template (1 with a base phrase), spans
+    of another license's words left out.  A null text is empty; a text without words has counts of 0, null words,
     empty labels and score 0.  Rows that repeat get the same result each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -153,7 +194,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col), F.xxhash64(text).alias("_text"),
         F.regexp_count(lower_ascii(text), F.lit(LICENSE_WORD)).cast("long").alias("n_words"))
     spans = license_spans(materialize(license_hits(docs, id_col, text_col), "license-hits"))
-    kept = F.col("exact") | (F.col("cover") >= cover)
+    spans = spans.where("not rival")
+    kept = F.col("exact") | ((F.col("cover") >= cover) & F.col("own"))
     found = spans.groupBy(F.col("_id").alias("_fid"), F.col("_text").alias("_ftext")).agg(
         F.count_if("exact").alias("_n"),
         F.min(F.when(F.col("exact"), F.col("first"))).alias("first_word"),

@@ -59,6 +59,31 @@ def test_passages(make_docs, edit, found):
         assert span["first"] == 2 and span["last"] == len(edit(PASSAGE.split())) + 1
 
 
+GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of "
+       "the GNU{} General Public License as published by the Free Software Foundation")
+CC = "This work is licensed under a Creative Commons {} International License."
+
+
+def test_licenses_that_share_a_passage(make_docs):
+    nc = CC.format("Attribution-NonCommercial-{}")
+    mit, apache, mpl = (ls.PASSAGES[i][0] for i in (0, 1, 5))
+    cases = [
+        (GNU.format(""), "gpl", 1), (GNU.format(" Lesser"), "lgpl", 1), (GNU.format(" Affero"), "", 4 / 17),  # "the terms of the", as in mpl
+        (GNU.format(" Library"), "lgpl", 10 / 12),
+        (GNU.format(" Affero") + ". " + GNU.format(" Lesser"), "lgpl", 1),
+        (CC.format("Attribution 4.0"), "cc-by", 1), (nc.format("NoDerivatives 4.0"), "", 0),
+        (nc.format("ShareAlike 3.0"), "", 0), (CC.format("Attribution-Share Alike 4.0"), "", 0),
+        (mit, "mit", 1), (mit.replace("deal in", "deal with"), "", 0),
+        (apache, "apache", 1), (apache.replace("apache", "educational community"), "", None),
+        (mpl, "mpl", 1), (mpl.replace("mozilla", "openldap"), "", None)]
+    got = {r.doc_id: r for r in scan(make_docs(*[(i, c[0]) for i, c in enumerate(cases)]))}
+    for i, (text, labels, score) in enumerate(cases):
+        r = got[i]
+        assert r.labels == labels, text
+        assert score is None or r.score == pytest.approx(score), text
+        assert sorted({s["label"] for s in r.spans or []}) == [x for x in labels.split(",") if x], text
+
+
 def test_passages_far_apart_are_separate_spans(make_docs):
     (r,) = scan(make_docs((1, " ".join([PASSAGE, "filler " * 50, PASSAGE]))))
     assert [s["label"] for s in r.spans] == [LABEL, LABEL]
