@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pulsepanel.llm.common import WORD
 from pulsepanel.sources.sinks import materialize
 
-#: Words of a k-mer and of its inner runs.
-K, S = 9, 3
+#: Words of a k-mer and of its inner runs: of two neighbouring k-mers one is an
+#: anchor, so five words that two texts share in a row always give one.
+K, S = 4, 2
 #: Rows of an id range, and quantiles of the ids that are cut into ranges.
 BUCKET_ROWS = 2000
 QUANTILES = 128

@@ -87,5 +87,10 @@ def test_anchors_do_not_depend_on_their_surroundings(spark):
     assert {(a["hash"], a["at"] + 3) for a in one} <= {(a["hash"], a["at"]) for a in two}
 
 
+def test_short_texts_keep_anchors_of_their_unchanged_half(make_docs):
+    docs = make_docs(*[(i, " ".join(f"{i:02d}{j:02d}" for j in range(10 + i % 8)), "a") for i in range(40)])
+    assert all(r.near_edited > 0 for r in fp.fingerprints(docs).collect())
+
+
 def test_empty(no_docs):
     assert fp.fingerprints(no_docs).count() == 0
