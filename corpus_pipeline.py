@@ -42,11 +42,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that the quality classifier rejects.
 
     The labels of the given folder train it; a null or empty text is scored as
-    an empty text.  Without any label nothing is rejected.
+    an empty text.  Few labels, or labels of one class, give one score for all
+    documents, held against the same threshold; only where training sees no
+    label at all is nothing rejected.
     """
     labels = table(spark, sf_dir, "labels")
     model = quality.train_quality(docs, labels)
-    if not model.layers:
+    if not model.seen:
         return docs
     scored = quality.score_quality(docs, model)
     return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")

@@ -170,6 +170,7 @@ class Model:
     layers: list
     temperature: float
     prior: float
+    seen: int = 0  #: labelled rows that it was fitted on
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -189,7 +190,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors, weights, seed: int = SEED
     """Two layers by Adam on the log loss, then the temperature by search on
     held-back rows.  With one class or without rows the score is constant."""
     prior = float(y.mean()) if len(y) else 0.5
-    model = Model(vectors, weights, np.zeros(1), np.ones(1), [], 1.0, prior)
+    model = Model(vectors, weights, np.zeros(1), np.ones(1), [], 1.0, prior, len(y))
     if prior in (0.0, 1.0) or len(y) < 10:
         return model
     rng = np.random.default_rng(seed)

@@ -34,6 +34,18 @@ def test_every_stage_takes_odd_and_empty_rows(spark, odd_docs, no_docs, folder):
             out.collect()
 
 
+def test_quality_stage_with_a_constant_score(spark, make_docs, tmp_path):
+    docs = make_docs(*[(i, f"word {i}", "a") for i in range(60)])
+    cases = [([], True), ([(i, 0) for i in range(60)], False), ([(i, 1) for i in range(60)], True),
+             ([(i, i % 2) for i in range(6)], False), ([(i, None) for i in range(60)], True)]
+    for n, (labels, keeps) in enumerate(cases):
+        spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        assert cp.quality_stage(spark, docs, f"{tmp_path}/{n}").count() == (60 if keeps else 0), labels
+        same = cp.quality.classify(docs, spark.read.parquet(f"{tmp_path}/{n}/labels.parquet"))
+        if any(y is not None for _, y in labels):
+            assert same.where("predicted = 1").count() == (60 if keeps else 0), labels
+
+
 def test_exact_stage(spark, odd_docs, folder):
     got = kept(cp.exact_stage(spark, odd_docs, folder))
     ids = [i for i, _ in got]
