@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepanel.llm import exact_dedup as dedup
-from pulsepanel.llm import (fingerprint, hmm, license_scan, mixing, ngram_join, packing, quality,
-                            sharding, warc)
+from pulsepanel.llm import (fingerprint, hmm, lexical_search, license_scan, mixing, ngram_join, packing,
+                            prefix_trie, quality, sharding, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -308,6 +308,98 @@ def op10_pack_nnls(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+# ------------------------------------------------------------ 11 prefix trie
+@query("op11_prefix_trie", r"""
+with recursive step as (
+  select i as n, i as x, 0 as k from range(256) r(i)
+  union all
+  select n, xor(x >> 1, 3988292384 * (x & 1)), k + 1 from step where k < 8),
+tab as (select list(x order by n) as t from step where k = 8),
+ts as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  where conv_id is not null),
+td as (select *, sha256(strlen(role) || ':' || role || ':' || text) as digest from ts),
+ow as (
+  select conv_id, digest, strlen(text) as bytes,
+         row_number() over (partition by conv_id order by turn nulls first, digest) as n from td),
+cv as (
+  select conv_id, xor(list_reduce(
+           list_prepend(4294967295::bigint, list_transform(range(1, len(conv_id::varchar) + 1),
+                                                           lambda i: ord(substr(conv_id::varchar, i, 1))::bigint)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::bigint % 9 as h
+  from (select distinct conv_id from ow), tab),
+rb as (
+  select cv.conv_id, ow.digest, ow.bytes, 0 as part, ow.n
+  from cv join ow on ow.conv_id = cv.conv_id - cv.conv_id % 5 and ow.n <= h
+  union all
+  select cv.conv_id, ow.digest, ow.bytes, 1, ow.n from cv join ow on ow.conv_id = cv.conv_id and ow.n > h),
+sq as (
+  select conv_id, digest, bytes, row_number() over (partition by conv_id order by part, n) as depth from rb),
+pa as (
+  select conv_id, depth, bytes, sha256(string_agg(digest, '') over (
+           partition by conv_id order by depth rows between unbounded preceding and current row)) as p
+  from sq
+  union all
+  select conv_id, 0, 0, '' from cv),
+me as (
+  select *, min(conv_id) over (partition by depth, p) as node,
+         max(depth) over (partition by conv_id) as len from pa),
+nd as (
+  select depth, node, any_value(bytes) as bytes, count(*) as n_convs, max(len) = depth as leaf,
+         sha256(coalesce(string_agg(case when len = depth then conv_id::varchar end, ',' order by conv_id), ''))
+           as ends_sha256
+  from me group by depth, node),
+up as (
+  select nd.*, me.node as parent from nd
+  left join me on me.conv_id = nd.node and me.depth = nd.depth - 1),
+sub as (
+  select me.node as a, me.depth as d, sum((n_convs - 1) * nd.bytes) as saved, count(*) filter (leaf) as leaves,
+         count(*) filter (nd.depth = me.depth + 1) as kids
+  from nd join me on me.conv_id = nd.node and me.depth <= nd.depth group by all)
+select node as conv_id, depth, parent as parent_conv_id, n_convs, kids as n_children, leaves as n_leaves,
+       saved::bigint as saved_tokens, ends_sha256
+from up join sub on sub.a = up.node and sub.d = up.depth
+""")
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    keys = prefix_trie.conversation_keys(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.graft_keys(keys))
+
+
+# --------------------------------------------------------- 13 lexical search
+@query("op13_lexical_search", r"""
+with it as (
+  select item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select *, row_number() over () as item from (select distinct item_id, text from benchmark))),
+qt as (select item, item_id, term, count(*) as times from it group by all),
+ds as (select row_number() over () as d, doc_id, text from documents),
+dt as (
+  select d, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from ds),
+dn as (select d, any_value(doc_id) as doc_id, count(*) as n from dt group by d),
+al as (select count(*) as nn, sum(n)::bigint as l from dn),
+tf as (select d, term, count(*) as tf from dt where term in (select term from qt) group by all),
+df as (select term, count(*) as df from tf group by term),
+wt as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint as w from df, al),
+gn as (
+  select tf.d, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))) as gain
+  from tf join dn using (d) join wt using (term), al),
+sc as (
+  select item, item_id, d, sum(times * gain)::bigint as score from qt join gn using (term) group by all),
+rk as (
+  select item_id, doc_id, score,
+         row_number() over (partition by item order by score desc, doc_id nulls first) as rank
+  from sc join dn using (d) where score > 0)
+select item_id, rank::integer as rank, doc_id, score from rk where rank <= 20
+""")
+def op13_lexical_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -1,0 +1,117 @@
+"""Ranks against plain scoring of every document; accumulators and blocks."""
+
+import random
+from collections import Counter
+from math import floor, log
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from llm_fixtures import make_docs, no_docs, odd_docs  # noqa: F401
+from pulsepanel.llm import lexical_search as ls
+
+ITEMS = "item_id long, text string, score string, rank string, term string"
+
+
+def make_items(spark, *rows):
+    return spark.createDataFrame([(*r, "s", "r", "t") for r in rows], ITEMS)
+
+
+def plain(docs, items, k=20):
+    """(item_id, rank, doc_id, score) by the definition."""
+    terms = [(d, ls.terms_of(t)) for d, t in docs]
+    held = [(d, Counter(ts), len(ts)) for d, ts in terms if ts]
+    n_docs, words = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = Counter()
+    for item_id, text in set(items):
+        scored = []
+        for d, c, n in held:
+            m = 75 + (25 * n * n_docs) // words
+            score = sum(floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                        * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t in ls.terms_of(text) if c[t])
+            if score > 0:
+                scored.append((-score, d is not None, d or 0))
+        for i, (s, real, d) in enumerate(sorted(scored)[:k]):
+            out[item_id, i + 1, d if real else None, -s] += 1
+    return out
+
+
+def check(docs, items, k=20):
+    got = ls.ranked_search(docs, items, k)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert got.schema["rank"].dataType.simpleString() == "int"
+    want = plain([(r.doc_id, r.text) for r in docs.collect()],
+                 [(r.item_id, r.text) for r in items.collect()], k)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    return want
+
+
+def test_terms():
+    assert ls.terms_of("A-b c_d É9 x y 中文") == ["a", "b", "c", "d", "É9", "x y", "中文"]
+    assert ls.terms_of(None) == ls.terms_of("") == ls.terms_of(" .,") == []
+
+
+def test_odd_rows(spark, odd_docs):
+    items = make_items(spark, (1, "alpha alpha GAMMA"), (1, "one"), (2, None), (3, ""), (4, "nowhere"),
+                       (None, "lost id word3"), (5, "alpha alpha GAMMA"), (5, "alpha alpha GAMMA"),
+                       (6, " ".join(f"word{i}" for i in range(977))))
+    assert check(odd_docs, items)
+    check(odd_docs, items, k=2)
+
+
+def test_empty_tables(spark, odd_docs, no_docs):
+    assert ls.ranked_search(no_docs, make_items(spark, (1, "a"))).count() == 0
+    assert ls.ranked_search(odd_docs, make_items(spark)).count() == 0
+
+
+def words(rng, n):
+    """Words of a steep frequency order: few very common, many rare."""
+    return " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(n))
+
+
+@pytest.mark.parametrize("at_once", [512, 3])
+def test_ties_hot_terms_and_item_blocks(spark, make_docs, monkeypatch, at_once):
+    monkeypatch.setattr(ls, "ITEMS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(1, 60))) for i in range(300)]
+    rows += [(1000 + i, "copy of one text w1 w2") for i in range(90)]  # a third of the rows tie
+    docs = make_docs(*rows).repartition(5)
+    items = make_items(spark, *[(i, words(rng, 12)) for i in range(8)], (50, "copy of one"))
+    want = check(docs, items)
+    assert [r[2] for r in sorted(want) if r[0] == 50] == list(range(1000, 1020))
+
+
+def block_of(rng, n):
+    texts = [words(rng, rng.randrange(1, 80)).split() for _ in range(n)]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    counts = [Counter(vocabulary[w] for w in t) for t in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+         pa.array([sorted(c) for c in counts], pa.list_(pa.int32())),
+         pa.array([[c[t] for t in sorted(c)] for c in counts], pa.list_(pa.int32()))],
+        names=["doc_id", "n", "terms", "counts"])
+    total = sum(len(t) for t in texts)
+    return ls.Block(batch, n, total, len(vocabulary)), Counter(t for c in counts for t in c)
+
+
+def test_survivors_hold_the_best_exactly():
+    """No document of the true best k is left without an accumulator, survivors
+    have their whole score, and not every document gets an accumulator."""
+    rng = random.Random(9)
+    block, df = block_of(rng, 2000)
+    opened = []
+    for _ in range(60):
+        terms = sorted(rng.sample(sorted(df), 6) + [0, 1], key=lambda t: (df[t], t))
+        item = [(t, ls.weight(2000, df[t])) for t in dict.fromkeys(terms)]
+        full = np.zeros(2000, np.int64)
+        for t, w in item:
+            full[block.rows[block.starts[t]:block.starts[t + 1]]] += w * block.gains[
+                block.starts[t]:block.starts[t + 1]]
+        rows, scores = block.search(item, 20, 0)
+        assert (full[rows] == scores).all()
+        ids, best = ls._best(rows, scores, 20)
+        want, top = ls._best(np.arange(2000), full, 20)
+        assert list(best) == list(top[top > 0]) and list(ids) == list(want[top > 0])
+        opened.append(len(rows) / max((full > 0).sum(), 1))
+    assert min(opened) < 0.9
