@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepanel.llm import exact_dedup as dedup
-from pulsepanel.llm import (fingerprint, hmm, lexical_search, license_scan, mixing, ngram_join, packing,
-                            prefix_trie, quality, sharding, warc)
+from pulsepanel.llm import (fingerprint, hmm, html_crf, lexical_search, license_scan, mixing, ngram_join,
+                            packing, prefix_trie, quality, sharding, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -366,6 +366,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(prefix_trie.graft_keys(keys))
 
 
+# ------------------------------------------------------------ 12 extraction
+@query("op12_html_crf")
+def op12_html_crf(spark, sf_dir):
+    """Main text of every page."""
+    return html_crf.extract_main(table(spark, sf_dir, "pages"))
+
+
 # --------------------------------------------------------- 13 lexical search
 @query("op13_lexical_search", r"""
 with it as (
