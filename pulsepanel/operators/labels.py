@@ -4,8 +4,7 @@
 same (key, period-index) window as :func:`lag_diff`, so lag features and the
 label come out of one Window operator with one sort.  The per-period
 diagnosis is a single ``groupBy(period)`` with conditional aggregates
-(partial aggregation, #periods output rows) and is attached back with a
-broadcast join whose size is bounded by the number of periods and checked.
+(partial aggregation, #periods output rows) and is joined back by period.
 """
 
 from __future__ import annotations
@@ -76,31 +75,32 @@ def label_rows(status_panel: DataFrame, status: str = "is_ativo", label: str = "
             .withColumn(label, ((F.col(status) == 1) & (fut == 0)).cast("int")))
 
 
-def label_trust(status_panel: DataFrame, period: str = "safra", status: str = "is_ativo",
-                horizon: int = 3, idx: str | None = None,
-                fut: str | None = None) -> DataFrame:
-    """Per-period diagnosis: rows, fut_active_rate, churn_rate, label_trust.
+def period_counts(status_panel: DataFrame, period: str = "safra", status: str = "is_ativo",
+                  idx: str | None = None, fut: str | None = None) -> DataFrame:
+    """Counts of each period that its verdict rests on: ``_idx``, rows with an
+    observed future, eligible ones, the sum of future status, and churners.
 
-    Input: output of :func:`forward_status`.  Periods whose period+h lies
-    beyond the last period are absent; periods inside the range with no
-    observed future give a zero row.  ``rows`` is 0 / #observed / #eligible
-    by branch; ``fut_active_rate`` is over all observed rows, ``churn_rate``
-    over eligible rows.
+    Input: output of :func:`forward_status`.  The counts of one period do not
+    depend on other periods, so a refresh replaces only those that changed.
     """
     fut = fut or f"{status}_fut"
     pidx = F.col(idx) if idx else period_index(period)
     observed = F.col(fut).isNotNull()
     eligible = observed & (F.col(status) == 1)
-    g = status_panel.groupBy(F.col(period).cast("int").alias(period)).agg(
+    return status_panel.groupBy(F.col(period).cast("int").alias(period)).agg(
         F.max(pidx).alias("_idx"),
         F.count(F.when(observed, 1)).alias("_obs"),
         F.count(F.when(eligible, 1)).alias("_elig"),
         F.sum(F.when(observed, F.col(fut))).alias("_fut_sum"),
         F.count(F.when(eligible & (F.col(fut) == 0), 1)).alias("_churn"),
     )
+
+
+def verdicts(counts: DataFrame, period: str = "safra", horizon: int = 3) -> DataFrame:
+    """Per-period diagnosis from :func:`period_counts` of all periods."""
     # #periods rows: a window over the whole (tiny) aggregate is bounded.
     last = F.max("_idx").over(Window.partitionBy())
-    g = g.withColumn("_last", last).where(F.col("_idx") + horizon <= F.col("_last"))
+    g = counts.withColumn("_last", last).where(F.col("_idx") + horizon <= F.col("_last"))
     far = F.when(F.col("_obs") > 0, F.col("_fut_sum").cast("double") / F.col("_obs")).otherwise(0.0)
     cr = F.when(F.col("_elig") > 0, F.col("_churn").cast("double") / F.col("_elig")).otherwise(0.0)
     rows = (F.when(F.col("_obs") == 0, F.lit(0))
@@ -110,6 +110,20 @@ def label_trust(status_panel: DataFrame, period: str = "safra", status: str = "i
                     cr.alias("churn_rate"), trust.cast("int").alias("label_trust"))
 
 
+def label_trust(status_panel: DataFrame, period: str = "safra", status: str = "is_ativo",
+                horizon: int = 3, idx: str | None = None,
+                fut: str | None = None) -> DataFrame:
+    """Per-period diagnosis: rows, fut_active_rate, churn_rate, label_trust.
+
+    Input: output of :func:`forward_status`.  Periods whose period+h lies
+    beyond the last period are absent; periods inside the range with no
+    observed future give a zero row.  ``rows`` is 0 / #observed / #eligible
+    by branch; ``fut_active_rate`` is over all observed rows, ``churn_rate``
+    over eligible rows.
+    """
+    return verdicts(period_counts(status_panel, period, status, idx, fut), period, horizon)
+
+
 def attach_trust(rows: DataFrame, diag: DataFrame, period: str = "safra") -> DataFrame:
     """Month verdict onto rows; a month without diagnosis gets trust 0, rates NULL."""
     d = diag.select(period, F.col("label_trust").alias("_lt"),
