@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pulsepanel.functions.periods import period_index
 from pulsepanel.operators.labels import attach_trust, forward_status, label_rows, period_counts, verdicts
 from pulsepanel.operators.panel import lag_diff
+from pulsepanel.sources.checked import no_nulls, total
 from pulsepanel.sources.sinks import materialize
 from pulsepanel.sources.snapshots import Manifest, commit, current, publish, read_snapshot, replace_periods
 
@@ -84,6 +85,14 @@ class PanelStore:
     def _counts(self, windowed: DataFrame) -> DataFrame:
         return period_counts(windowed, self.period, self.status, "_pidx")
 
+    def _keyed(self) -> dict:
+        return no_nulls([self.key, self.period], "panel")
+
+    def _all_labelled(self, counts: DataFrame) -> dict:
+        """The model rows are those that the counts of the periods say."""
+        rows = counts.agg(F.coalesce(F.sum("_obs"), F.lit(0))).first()[0]  # one row a period
+        return total("rows", F.lit(1), rows, "model table")
+
     def _commit(self, spark: SparkSession, number: int, versions: dict) -> Manifest:
         state = Manifest(number, None, None, versions)
         commit(spark, self.path, state)
@@ -93,12 +102,13 @@ class PanelStore:
         """Stores the features of all months, the model table and the counts."""
         spark = features.sparkSession
         old = self.state(spark)
-        versions = {"features": publish(features, f"{self.path}/features", self.period).number}
+        versions = {"features": publish(features, f"{self.path}/features", self.period, self._keyed()).number}
         stored = read_snapshot(spark, f"{self.path}/features", versions["features"])
         windowed = materialize(self._windowed(stored), "windowed_panel")
         versions["counts"] = publish(self._counts(windowed), f"{self.path}/counts").number
         counts = read_snapshot(spark, f"{self.path}/counts", versions["counts"])
-        versions["model"] = publish(self._rows(windowed, counts), f"{self.path}/model", self.period).number
+        versions["model"] = publish(self._rows(windowed, counts), f"{self.path}/model", self.period,
+                                    self._all_labelled(counts)).number
         return self._commit(spark, old.number + 1 if old else 1, versions)
 
     def touched(self, changed) -> list[int]:
@@ -120,7 +130,7 @@ class PanelStore:
             return state
         base = state.parts
         versions = {"features": replace_periods(features, f"{self.path}/features", changed,
-                                                base["features"]).number}
+                                                base["features"], self._keyed()).number}
         touched = self.touched(changed)
         needed = sorted({shift(p, by) for p in touched for by in (0, -self.lag, self.horizon)})
         part = read_snapshot(spark, f"{self.path}/features", versions["features"], needed)
@@ -131,5 +141,5 @@ class PanelStore:
         versions["counts"] = publish(materialize(counts, "period_counts"), f"{self.path}/counts").number
         counts = read_snapshot(spark, f"{self.path}/counts", versions["counts"])
         versions["model"] = replace_periods(self._rows(windowed, counts), f"{self.path}/model", touched,
-                                            base["model"]).number
+                                            base["model"], self._all_labelled(counts.where(mine))).number
         return self._commit(spark, state.number + 1, versions)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pulsepanel.operators.metrics import eval_sets
 from pulsepanel.operators.prep import fit_medians, fit_modes, one_hot_stages
 from pulsepanel.operators.train import DEFAULT_PARAMS, PARAM_GRID, ChurnModel, feature_columns
+from pulsepanel.sources.checked import has_rows, materialize_checked, two_classes
 from pulsepanel.sources.sinks import materialize
 from pulsepanel.sources.tables import require_columns
 
@@ -52,10 +53,13 @@ def fit_preparation(train: DataFrame, label: str, extra_drop=(), categorical=())
 
 
 def training_matrix(df: DataFrame, prep: ChurnModel, label: str, keys) -> DataFrame:
-    """Keys, split, label and feature vector of every row, written once."""
-    x = prep.pipeline.transform(prep.prepare(df))
-    return materialize(x.select(*keys, "split", label, F.col(label).cast("double").alias("_label"),
-                                (F.col("split") == "val").alias("_held"), "features"), "training_matrix")
+    """Keys, split, label and feature vector of every row, written once; the
+    write counts the rows and the classes of the training rows."""
+    x = prep.pipeline.transform(prep.prepare(df)).select(
+        *keys, "split", label, F.col(label).cast("double").alias("_label"),
+        (F.col("split") == "val").alias("_held"), "features")
+    rules = {**has_rows("model table"), **two_classes("_label", F.col("split") == "train")}
+    return materialize_checked(x, "training_matrix", rules)[0]
 
 
 def fit_settings(matrix: DataFrame, grid, early_tol: float | None = None, seed: int = 42,
@@ -65,8 +69,6 @@ def fit_settings(matrix: DataFrame, grid, early_tol: float | None = None, seed:
     With ``early_tol`` a fit sees the validation rows as well, and ends with
     the round after which their error falls by less than that share."""
     kept = matrix.where(F.col("split").isin("train", *(["val"] if early_tol is not None else [])))
-    if kept.where(F.col("split") == "train").select("_label").distinct().limit(3).count() < 2:
-        raise ValueError("training data has a single class")
 
     def fit(setting):
         p = dict(DEFAULT_PARAMS, **setting)

@@ -21,9 +21,10 @@ from pulsepanel.operators import binning, clean, joins, labels, metrics, panel,
 from pulsepanel.operators import rank, sample, scenario, segment
 from pulsepanel.plans import fixtures as fx
 from pulsepanel.session import checkpoint_dir
-from pulsepanel.sources import tables
+from pulsepanel.sources import mixed, tables
+from pulsepanel.sources.bucketed import by_bucket, write_bucketed
 from pulsepanel.sources.sinks import (
-    materialize, read_report_csv, write_parquet, write_report_csv,
+    materialize, read_report_csv, write_json_summary, write_parquet, write_report_csv,
 )
 from pulsepanel.sources.tables import require_rows
 
@@ -497,6 +498,25 @@ def q_model_table(spark, d):
     return r6(_model(spark, d))
 
 
+@query("refresh_model_table", ORACLES["model_table"])
+def q_refresh_model_table(spark, d):
+    """The model table of a store that was built without its last two months and
+    with a wrong month, and then refreshed with the three."""
+    from pulsepanel.operators.refresh import PanelStore
+
+    features = materialize(fx.censored_panel(spark, d), "features")
+    months = sorted(r.safra for r in tables.period_list(features, "safra").collect())
+    fixed, late = months[len(months) // 2], months[-2:]
+    store = PanelStore(_scratch(spark, "store"), LAG_COLS)
+    wrong = F.col("safra") == fixed
+    store.build(features.where(~F.col("safra").isin(late))
+                .withColumn("qty", F.when(wrong, F.col("qty") + 1).otherwise(F.col("qty")))
+                .withColumn("is_ativo", F.when(wrong, 1 - F.col("is_ativo")).otherwise(F.col("is_ativo"))))
+    for changed in ([fixed], late):
+        store.refresh(features.where(F.col("safra").isin(changed)), changed)
+    return r6(store.read(spark))
+
+
 @query("join_one_to_one", f"""
 with {SG}, {SP}
 select sg.msno, sg.safra, sg.p_churn, sg.churn_3m, sp.n_lines, sp.qty
@@ -1257,6 +1277,90 @@ def q_reference_churn_model(spark, d):
           r["recall_top10pct"], r["k5"]) for r in rows], schema))
 
 
+# ----------------------------------------------- search over settings (M9)
+def _split_model(spark, d):
+    """Eligible trusted rows with their split, written once."""
+    from pulsepanel.operators.train import temporal_split
+
+    mt = temporal_split(labels.eligible_trusted(_model(spark, d)))
+    return metrics.reusable(mt, mt.columns)
+
+
+def _search(spark, d):
+    """The reference's three settings on the model table; out-of-time validation
+    rows end the boosting."""
+    from pulsepanel.operators.search import model_search
+
+    return model_search(_split_model(spark, d), extra_drop=["month_idx"], early_tol=EARLY_TOL)
+
+
+#: A fit ends when a round lowers the validation error by less than this share.
+EARLY_TOL = 0.001
+
+
+@query("model_search")
+def q_model_search(spark, d):
+    """One row per setting: rounds, validation metrics and the choice."""
+    return r6(_search(spark, d).report)
+
+
+SPLIT = ELIG + """,
+sm as (select distinct safra from el),
+sr as (select safra, dense_rank() over (order by safra desc) as r from sm),
+sl as (select el.*, case when r <= 4 then 'test' when r <= 6 then 'val' else 'train' end as split
+       from el join sr on sr.safra = el.safra)"""
+
+
+@query("model_search_scores", f"""
+with {SPLIT}
+select msno, safra, split, churn_3m, true as scored from sl where split in ('val', 'test')
+""")
+def q_model_search_scores(spark, d):
+    """The written score table: every validation and test row, with a score."""
+    scores = _search(spark, d).scores
+    return scores.select("msno", "safra", "split", "churn_3m", F.col("p_churn").between(0, 1).alias("scored"))
+
+
+@query("model_features", f"""
+with {MODEL}
+select column_name as feature from (describe select * from mt)
+where column_name not in ('msno', 'safra', 'safra_fut', 'is_ativo_fut', 'churn_3m', 'fut_active_rate',
+                          'churn_rate_month', 'is_ativo', 'label_trust', 'month_idx')
+""")
+def q_model_features(spark, d):
+    """Columns of the model table that a model may see."""
+    from pulsepanel.operators.train import feature_columns
+
+    numeric, _ = feature_columns(_model(spark, d), extra_drop=["month_idx"])
+    return spark.createDataFrame([(c,) for c in numeric], "feature string")
+
+
+@query("model_summary", f"""
+with {SPLIT}
+select split, count(*) as rows, sum(churn_3m)::bigint as churners, count(distinct safra) as periods,
+       cast(min(safra) as bigint) as first_period, cast(max(safra) as bigint) as last_period
+from sl group by split
+""")
+def q_model_summary(spark, d):
+    """Summary of the training data, written as JSON beside the published model
+    and read back from there."""
+    from pulsepanel.operators.train import ChurnModel, fit_churn_model
+    from pulsepanel.sources.snapshots import publish_folder, published_folder
+
+    mt = _split_model(spark, d)
+    model = fit_churn_model(mt.where(F.col("split") == "train"), params={"max_depth": 3, "max_iter": 5},
+                            extra_drop=["month_idx", "split"])
+    path = _scratch(spark, "model")
+    model.save(f"{path}/model")
+    summary = mt.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("churn_3m").alias("churners"),
+        F.countDistinct("safra").alias("periods"), F.min("safra").cast("long").alias("first_period"),
+        F.max("safra").cast("long").alias("last_period"))
+    publish_folder(spark, f"{path}/summary", lambda at: write_json_summary(summary, at, single_file=True))
+    assert ChurnModel.load(f"{path}/model").numeric == model.numeric
+    return spark.read.schema(summary.schema).json(published_folder(spark, f"{path}/summary"))
+
+
 # ------------------------------------------------------------- sinks (2.1)
 def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
@@ -1307,6 +1411,47 @@ def q_partition_read(spark, d):
                                     ["msno", "safra", "n_lines"])
 
 
+@query("mixed_schema_scan", """
+select l_orderkey, l_linenumber, l_quantity::double as l_quantity,
+       case when l_linenumber % 3 <> 1 then l_tax end as l_tax,
+       case when l_linenumber % 3 = 2 then l_returnflag end as l_note
+from lineitem
+""")
+def q_mixed_schema_scan(spark, d):
+    """lineitem stored as files of three schemas - a column short, a number as
+    an integer, a number as text - and read as one table."""
+    li = fx.table(spark, d, "lineitem")
+    path, kind = _scratch(spark, "mixed"), F.col("l_linenumber") % 3
+    base = li.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag")
+    for i, part in enumerate((
+            base.drop("l_returnflag"),
+            base.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("l_quantity")),
+            base.withColumn("l_quantity", F.col("l_quantity").cast("string"))
+                .withColumnRenamed("l_returnflag", "l_note"))):
+        write_parquet(part.where(kind == i), f"{path}/kind={i}")
+    return mixed.read_mixed(spark, path, numeric=["l_quantity"],
+                            columns=["l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_note"])
+
+
+@query("snapshot_roundtrip", f"""
+with {SP},
+m as (select max(safra) as top from sp)
+select safra, count(*) as n, sum(case when safra = top then n_lines + 1 else n_lines end)::bigint as n_lines
+from sp, m group by safra
+""")
+def q_snapshot_roundtrip(spark, d):
+    """The panel published by period, then its last period as a new version."""
+    from pulsepanel.sources.snapshots import current, publish, read_snapshot, replace_periods
+
+    path = _scratch(spark, "snapshot")
+    publish(fx.supplier_panel(spark, d).select("msno", "safra", "n_lines"), path, "safra")
+    top = max(int(p) for p in current(spark, path).parts)
+    last = read_snapshot(spark, path, periods=[top])
+    replace_periods(last.withColumn("n_lines", F.col("n_lines") + 1), path, [top])
+    return read_snapshot(spark, path).groupBy("safra").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
+
+
 @query("report_roundtrip", f"""
 with {SP}
 select safra, count(*) as n, round(avg(qty), 6) as qty from sp group by safra
@@ -1455,3 +1600,21 @@ select safra, rows, round(fut_active_rate, 6) as fut_active_rate, round(churn_ra
 def q_reference_label_trust(spark, d):
     feat = reference_features(spark, d).select("msno", "safra", "is_ativo")
     return r6(labels.label_trust(labels.forward_status(feat)))
+
+
+@query("bucketed_model_table", ORACLES["reference_model_table"])
+def q_bucketed_model_table(spark, d):
+    """The model table from monthly tables stored by customer: the join, the
+    lags and the forward status cross no exchange on the customer."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monthly = (panel.usage_monthly(fx.line_logs(spark, d)), panel.payments_monthly(fx.order_txn(spark, d)),
+               panel.members_monthly(fx.member_rows(spark, d)))
+    names = [f"monthly_{uuid.uuid4().hex}" for _ in monthly]
+    stored = [write_bucketed(df, name, "msno", ["safra"], buckets, _scratch(spark, name))
+              for df, name in zip(monthly, names)]
+    with by_bucket(spark):
+        feat = panel.feature_join(stored[0], stored[1:]).select("msno", "safra", *BASE8, "is_ativo")
+        out = materialize(r6(labels.model_table(feat, BASE8)), "bucketed_model")
+    for name in names:  # the files stay with the scratch tables
+        spark.sql(f"drop table {name}")
+    return out

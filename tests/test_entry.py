@@ -54,6 +54,10 @@ CHECKS = {
     "reference_churn_model": lambda rows, n: [r["set"] for r in rows] == ["val", "test"]
     and all((r.roc_auc is None or _unit(r.roc_auc)) and _unit(r.recall_top5pct) and r.k5 >= 1
             for r in rows),
+    "model_search": lambda rows, n: [(r.max_depth, r.max_iter) for r in rows] == [(4, 200), (6, 300), (8, 400)]
+    and sum(r.chosen for r in rows) == 1 and all(1 <= r.rounds <= r.max_iter for r in rows)
+    and max(rows, key=lambda r: -1 if r.roc_auc is None else r.roc_auc).roc_auc == next(
+        r.roc_auc for r in rows if r.chosen),
     "reference_segments": lambda rows, n: abs(sum(r.share for r in rows) - 1) < 1e-5
     and [r.p_churn for r in rows] == sorted((r.p_churn for r in rows), reverse=True),
     "reference_segment_reports": lambda rows, n: {r.report for r in rows} == {

@@ -120,3 +120,12 @@ def test_new_rows_of_other_months_are_an_error(spark, tmp_path):
     st.build(panel(spark, MONTHS))
     with pytest.raises(ValueError):
         st.refresh(panel(spark, MONTHS[:2]), [MONTHS[0]])
+
+
+def test_rows_without_a_key_are_not_published(spark, tmp_path):
+    st, features = store(tmp_path), panel(spark, MONTHS)
+    st.build(features)
+    bad = panel(spark, [MONTHS[2]], seed=3).withColumn("msno", F.when(F.col("msno") > 3, F.col("msno")))
+    with pytest.raises(ValueError, match="null values in msno"):
+        st.refresh(bad, [MONTHS[2]])
+    check(spark, st, features)
