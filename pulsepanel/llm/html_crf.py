@@ -449,10 +449,13 @@ def train_field(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """Fits the field on at most ``train_pages`` pages of the table, by id
     hash, and the composed pages."""
     text = F.col(html_col)
-    sample = (pages.where((F.length(text) > 0) & (F.length(text) <= TRAIN_CHARS))
-              .select(F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"), F.xxhash64(text).alias("t"),
-                      text.alias("html"))
-              .orderBy("h", "t").limit(train_pages))
+    rows = pages.where((F.length(text) > 0) & (F.length(text) <= TRAIN_CHARS)).select(
+        F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"), text.alias("html"))
+    # the cut-off comes from hashes alone, so tasks send no pages that are not used
+    cut = rows.select("h").orderBy("h").limit(train_pages).agg(F.max("h")).first()[0]
+    if cut is None:
+        return fit_field(training_pages([]))
+    sample = rows.where(F.col("h") <= cut).orderBy("h", F.xxhash64("html")).limit(train_pages)
     return fit_field(training_pages([r.html for r in sample.collect()]))
 
 
