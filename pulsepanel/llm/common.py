@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsepanel.session import checkpoint_dir
 from pulsepanel.sources.sinks import materialize
 
 #: Words are runs of anything but ASCII white space.
@@ -70,6 +71,19 @@ def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
         return materialize(docs, "rows").select("*", key)
 
 
+def discard(*written: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more (frames returned by
+    ``materialize``); other frames are left alone."""
+    for df in written:
+        spark = df.sparkSession
+        home = f"{checkpoint_dir(spark).rstrip('/')}/tables/"
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if home.split(":", 1)[-1].lstrip("/") in folder:
+                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def source_key(col) -> F.Column:
     """A source as a non-null string that sorts by code point, null last."""
     return F.when(col.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col.cast("string")))

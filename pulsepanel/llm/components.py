@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsepanel.llm.common import discard
 from pulsepanel.sources.sinks import materialize
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """Every (u, v) with the smallest of u and its neighbours as ``m``."""
+def _stars(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every (u, v) with the smallest of u and its neighbours as ``m``, and the
+    table of the minima."""
     least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "star-minima")
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+    return pairs.join(least, "u").withColumn("m", F.least("u", "m")), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,14 +34,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while (state := _state(now)) != before:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(_stars(both).where("v > u").select(F.col("v").alias("u"),
-                                                               F.col("m").alias("v"))
+        stars, least = _stars(both)
+        large = materialize(stars.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .where("u <> v").distinct(), "star-edges")
-        small = _stars(large)
-        now = materialize(
+        small, lesser = _stars(large)
+        after = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct(), "star-edges")
+        discard(now, least, large, lesser)  # a round needs only the one before
+        now = after
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
 

@@ -1,25 +1,28 @@
 """N-gram Jaccard join by size-banded tiles with hashed bitmap signatures.
 
 1. Every document becomes its sorted array of 64-bit shingle hashes.  Equal
-   sets are one class; only one representative of each goes on.
+   sets are one class, which is compared once.
 2. Keys: shingles are ordered by how many documents' sets fall into their
-   hash bucket; linked sets share one of their rarest members (prefixes).
-   Documents that share a key are joined into blocks (connected components
-   of key sharing).  No linked pair is outside a block.
-3. Tiles: a large block is cut into bands of set sizes, as a pair can only link
-   within a band or across two neighbouring ones, and a band by a hash into
-   parts of bounded content.  A tile compares two parts.  The parity bitmap of a
-   set (each shingle flips one bit) gives a lower bound of the difference of
-   two sets, that is an upper bound of their overlap; pairs that it cannot
-   exclude are intersected exactly over the ranks of their sorted arrays.
-4. Links of all tiles are joined into components of representatives, and
-   classes hand them to their documents.
-
-Scale: the text is read four times and never grouped, and neither sets nor
-keys of all documents are written; a key's rows are merged inside each batch
-before the shuffle, so a key that a third of all documents
-share sends one row a batch.  Tiles have bounded content, and pairs are never
-rows: a tile returns one row per document.
+   hash bucket; linked sets share one of their rarest members (prefixes).  A
+   key holds the size band, as linked sets lie in one band or in two that are
+   next to each other.  Classes that share a key meet.
+3. Signatures: the parity bitmap of a set (each shingle flips one bit) gives a
+   lower bound of the difference of two sets, that is an upper bound of their
+   overlap.  Of the classes that meet, only those that it cannot exclude are
+   joined into blocks; no linked pair is outside a block, and sets that merely
+   share a passage do not widen one.
+4. Tiles: a block is cut into bands of set sizes and a band by a hash into
+   parts of bounded content; a tile compares two parts of one band or of two
+   neighbouring ones.  Pairs that the bitmaps do not exclude are intersected
+   exactly over the sorted arrays of their members.
+5. Links of all tiles are joined into components of classes, and classes hand
+   them to their documents.
+
+Scale: the text is read three times and never grouped; full sets are written
+for members of blocks alone.  Keys travel as packed arrays.  A key that more
+than ``MEETING`` documents can hold goes another way, where its classes are
+cut into parts and meet tile by tile.  Tiles and meetings have bounded content,
+and pairs are never rows: they return one row per class.
 """
 
 from __future__ import annotations
@@ -31,22 +34,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsepanel.llm.common import type_of, with_row_key
+from pulsepanel.llm.common import discard, type_of, with_row_key
 from pulsepanel.llm.components import connected_components
 from pulsepanel.sources.sinks import materialize
 
-#: Shingles in a part of a block; a tile holds two parts.
+#: Shingles in a part of a block (a set counts for 128 at least); a tile holds
+#: two parts.
 PART_SHINGLES = 1 << 19
+#: Classes that meet at one key at once; a key of more is cut into parts.
+MEETING = 4096
+#: Keys that are matched in one group, on average.
+KEYS_AT_ONCE = 1 << 20
 #: Rows of a side that is broadcast at most (40 bytes each).
 BROADCAST_ROWS = 200_000
-CACHE_WORDS = 1_000_000
-#: Buckets of the document counts that order the shingles (a power of two).
-BUCKETS = 1 << 20
+CACHE_WORDS = 150_000
+#: Buckets of the document counts that order the shingles (a power of two), and
+#: the blocks that they are sent in.
+BUCKETS, COUNT_BLOCKS = 1 << 20, 64
+#: Texts that a task turns into sets at once.
+TEXTS_AT_ONCE = 1000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ALL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,102 +117,249 @@ def prefix_keys(shingles: np.ndarray, counts: np.ndarray, link: Link) -> np.ndar
     a member in common.  The order is by bucket count, then by hash.  A key is
     a shingle with a size band: the set's own, and the next one if a partner
     can be there."""
+    return _prefix(shingles, counts, link)[0]
+
+
+def _prefix(shingles: np.ndarray, counts: np.ndarray, link: Link) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`prefix_keys` with the bucket count of each key's shingle."""
     n = len(shingles)
     keep = n - -(-n * link.num // link.den) + 1
     rank = counts[shingles & np.uint64(len(counts) - 1)]
-    rare = shingles[np.argsort(rank, kind="stable")[:keep]]
-    band, far = link.band(n), link.band(n * link.den // link.num)
-    return np.concatenate([_mix(rare + np.uint64(b) * _M1) for b in range(band, far + 1)])
+    order = np.argsort(rank, kind="stable")[:keep]
+    rare = shingles[order]
+    bands = range(link.band(n), link.band(n * link.den // link.num) + 1)
+    keys = [_mix(rare + np.uint64(b * int(_M1) & _ALL)) for b in bands]
+    return np.concatenate(keys), np.tile(rank[order], len(bands))
 
 
 def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
     """How many documents' sets fall into each of ``BUCKETS`` hash buckets: the
     order of the prefixes, of a fixed size.  Frequent shingles (lines and
     passages that many documents share) come late in it."""
+    width = BUCKETS // COUNT_BLOCKS
+
     def count(batches):
-        words, total = WordHash(), np.zeros(BUCKETS, np.int64)
+        words, total, held, waiting = WordHash(), np.zeros(BUCKETS, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                s = shingle_set(text.as_py() or b"", size, words)
-                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "c"])
-
-    sums = (rows.select("text").mapInArrow(count, "bucket bigint, c bigint")
-            .groupBy("bucket").agg(F.sum("c").alias("c")).toArrow())
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
-    return counts
+                held.append(shingle_set(text.as_py() or b"", size, words) & np.uint64(BUCKETS - 1))
+                waiting += len(held[-1])
+                if waiting >= BUCKETS:
+                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS)
+                    held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(COUNT_BLOCKS), pa.int64()),
+             pa.array([b.tobytes() for b in total.reshape(COUNT_BLOCKS, width)], pa.binary())],
+            names=["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for part in table.column("counts"):
+            total += np.frombuffer(part.as_py(), np.int64)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    sums = (rows.select("text").mapInArrow(count, "block bigint, counts binary")
+            .groupBy("block").applyInArrow(add, "block bigint, counts binary").collect())
+    counts = np.zeros((COUNT_BLOCKS, width), np.int64)
+    for r in sums:
+        counts[r.block] = np.frombuffer(r.counts, np.int64)
+    return counts.reshape(-1)
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """Parity bitmap of a set, of two bits a member at least (a power of two)."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    return parity_bitmaps([shingles], bits)[0].tobytes()
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(id, _row, n_shingles, digest) of each document."""
-    def make(batches):
-        words = WordHash()
-        for batch in batches:
-            counts, digests = [], []
-            for text in batch.column(2).cast(pa.binary()):
-                s = shingle_set(text.as_py() or b"", size, words)
-                counts.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
-                 pa.array(digests, pa.binary())], names=["id", "_row", "n_shingles", "digest"])
+def _fold(marks: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap as one of fewer bits."""
+    while len(marks) > words:
+        marks = marks[:len(marks) // 2] ^ marks[len(marks) // 2:]
+    return marks
 
-    return rows.mapInArrow(
-        make, f"id {type_of(rows, 'id')}, _row bigint, n_shingles bigint, digest binary")
 
+def _documents(rows: DataFrame, size: int, link: Link, common) -> DataFrame:
+    """(id, _row, n_shingles, digest, sign, keys, often) of each document.
+    ``common`` is the broadcast order of the shingles; ``often`` are the keys
+    that more than ``MEETING`` documents can hold."""
+    meeting = MEETING
 
-def _key_edges(rows: DataFrame, size: int, link: Link, common) -> DataFrame:
-    """Edges (a, b) between rows (by ``_row``) that share a key, as a forest per
-    key.  ``common`` is the broadcast order of the shingles.  A key's rows of a
-    batch are joined there, and one of them goes on."""
-    def merge(batches):
+    def make(batches):
         words, counts = WordHash(), common.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                out = [[], [], [], [], []]
+                for text in batch.column(2).cast(pa.binary()):
+                    s = shingle_set(text.as_py() or b"", size, words)
+                    row = [len(s), None, None, [], []]
+                    if len(s):
+                        keys, held = _prefix(s, counts, link)
+                        keys = keys.view(np.int64)
+                        row[1:] = (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s),
+                                   keys[held <= meeting], keys[held > meeting])
+                    for column, value in zip(out, row):
+                        column.append(value)
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types)]],
+                    names=["id", "_row", "n_shingles", "digest", "sign", "keys", "often"])
+
+    return rows.mapInArrow(make, f"id {type_of(rows, 'id')}, _row bigint, n_shingles bigint, digest binary, "
+                                 "sign binary, keys array<bigint>, often array<bigint>")
+
+
+# A class is named by 8 bytes of its digest in the meetings; two classes of one
+# name are looked up together there and told apart by their digests later.
+_NAME = "node"
+
+
+def _node() -> F.Column:
+    return F.xxhash64("digest").alias(_NAME)
+
+
+def _light_groups(docs: DataFrame) -> DataFrame:
+    """(meeting, node): classes that share a key of few documents.  Keys of one
+    set of classes make one meeting."""
+    total = docs.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    buckets = 16
+    while buckets * KEYS_AT_ONCE < total:
+        buckets *= 2
+
+    def pack(batches):
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for text in batch.column(1).cast(pa.binary()):
-                s = shingle_set(text.as_py() or b"", size, words)
-                found.append(prefix_keys(s, counts, link) if len(s) else found[0])
-            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in found[1:]])
-            keys = np.concatenate(found).view(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, node = keys[order], node[order]
-            same = np.zeros(len(keys), bool)
-            same[1:] = keys[1:] == keys[:-1]
-            pairs = np.stack([node[same], node[np.flatnonzero(same) - 1]], axis=1)
-            pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-            alone = int((~same).sum())
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy()
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            bucket = _mix(keys.view(np.uint64)) & np.uint64(buckets - 1)
+            order = np.argsort(bucket, kind="stable")
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(at))
+            cut = lambda x: [x[order[at[b]:at[b + 1]]].tobytes() for b in full]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[~same], pairs[:, 0]])),
-                 pa.array(np.concatenate([node[~same], pairs[:, 0]])),
-                 pa.array(np.concatenate([np.zeros(alone, np.int64), pairs[:, 1]]),
-                          mask=np.arange(alone + len(pairs)) < alone)],
-                names=["key", "node", "other"])
-
-    keyed = rows.select("_row", "text").mapInArrow(merge, "key bigint, node bigint, other bigint")
-    lead = F.min(F.when(F.col("other").isNull(), F.col("node"))).over(Window.partitionBy("key"))
-    return (keyed.withColumn("b", F.coalesce("other", lead)).where("node <> b")
-            .select(F.col("node").alias("a"), "b").distinct())
+                [pa.array(full.astype(np.int64)), pa.array(cut(keys), pa.binary()),
+                 pa.array(cut(nodes), pa.binary())], names=["bucket", "keys", "nodes"])
+
+    def match(table: pa.Table) -> pa.Table:
+        keys, nodes = (np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table.column(c)])
+                       for c in ("keys", "nodes"))
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])  # copies name one class
+        keys, nodes = keys[new], nodes[new]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        names = _mix(np.add.reduceat(_mix(nodes.view(np.uint64)), starts) + sizes.astype(np.uint64))
+        _, firsts = np.unique(names, return_index=True)
+        kept = np.zeros(len(starts), bool)
+        kept[firsts] = True
+        several = np.repeat(kept & (sizes > 1), sizes)
+        return pa.table({"meeting": np.repeat(names, sizes)[several].view(np.int64), "node": nodes[several]})
+
+    return (docs.where(F.size("keys") > 0).select(_node(), "keys")
+            .mapInArrow(pack, "bucket bigint, keys binary, nodes binary")
+            .groupBy("bucket").applyInArrow(match, "meeting bigint, node bigint").distinct()
+            .select("meeting", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"),
+                    F.lit(0).alias("side"), "node"))
+
+
+def _heavy_groups(docs: DataFrame) -> DataFrame:
+    """(meeting, i, j, side, node): the classes of each key that many documents
+    hold, in parts of about ``MEETING``; a tile compares parts i and j."""
+    held = materialize(docs.select(_node(), F.explode("often").alias("meeting")).distinct(), "heavy-keys")
+    parts = held.groupBy("meeting").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("k"), F.count(F.lit(1)).alias("m"))
+    cut = (held.join(materialize(parts.where("m > 1"), "heavy-parts"), "meeting")
+           .withColumn("p", F.pmod(F.xxhash64("node"), F.col("k"))))
+    p = F.col("p")
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda q: F.when(
+        q >= p, F.struct(p.alias("i"), q.alias("j"), F.lit(0).alias("side")))
+        .otherwise(F.struct(q.alias("i"), p.alias("j"), F.lit(1).alias("side"))))
+    return (cut.withColumn("t", F.explode(tiles))
+            .select("meeting", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"),
+                    F.col("t.side").alias("side"), "node"))
+
+
+def meeting_roots(n: np.ndarray, signs: list[bytes], link: Link) -> np.ndarray:
+    """For each set of a meeting the first one that it is joined with, over pairs
+    that size and bitmap do not exclude."""
+    words = min(map(len, signs)) // 8
+    marks = np.stack([_fold(np.frombuffer(s, np.uint64), words) for s in signs])
+    root = np.full(len(n), -1)
+    left = np.arange(len(n))
+    while len(left):
+        first, left = left[0], left[1:]
+        root[first] = first
+        front = [first]
+        while front and len(left):
+            x = front.pop()
+            small, big = np.minimum(n[x], n[left]), np.maximum(n[x], n[left])
+            most = (n[x] + n[left]) * (link.den - link.num) // (link.den + link.num)
+            hit = (link.den * small >= link.num * big) & (
+                np.bitwise_count(marks[left] ^ marks[x]).sum(axis=1, dtype=np.int64) <= most)
+            root[left[hit]] = first
+            front += left[hit].tolist()
+            left = left[~hit]
+    return root
+
+
+def _meet(groups: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
+    """Edges (a, b) between classes that meet and that their bitmaps do not
+    keep apart, as a forest per meeting."""
+    seated = groups.join(classes.select(_node(), "rep", "n", "sign"), "node")
+
+    def roots(rows):
+        """Edges of whole meetings, given as (rep, n, sign) columns and bounds."""
+        reps, n, signs, bounds = rows
+        a, b = [], []
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            if high - low > 1:
+                found = meeting_roots(n[low:high], signs[low:high], link)
+                other = np.flatnonzero(found != np.arange(high - low))
+                a.append(reps[low + other])
+                b.append(reps[low + found[other]])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(join(a)), pa.array(join(b))], names=["a", "b"])
+
+    def compare(batches):
+        held = None  # the last meeting of a batch may go on in the next
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            tile = np.stack([table.column(c).to_numpy() for c in ("meeting", "i", "j")])
+            starts = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(axis=0)))
+            last = int(starts[-1])
+            done = table.slice(0, last)
+            held = table.slice(last)
+            if last:
+                yield roots((done.column("rep").to_numpy(), done.column("n").to_numpy(),
+                             done.column("sign").to_pylist(), starts))
+        if held is not None:
+            yield roots((held.column("rep").to_numpy(), held.column("n").to_numpy(),
+                         held.column("sign").to_pylist(), np.array([0, held.num_rows])))
+
+    return (seated.select("meeting", "i", "j", "rep", "n", "sign").repartition("meeting", "i", "j")
+            .sortWithinPartitions("meeting", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
 def _tiles(members: DataFrame, link: Link) -> DataFrame:
     """Members (block, rep, n, size, set) once for each tile they take part in.
 
-    A block of bounded content is one tile.  In a larger one a band has
-    ``k = ceil(content / PART_SHINGLES)`` parts by hash; a tile is a pair of
-    parts of one band or of two neighbouring ones.
+    A band of a block has ``k = ceil(content / PART_SHINGLES)`` parts by hash;
+    a tile is a pair of parts of one band or of two neighbouring ones.
     """
-    total = members.groupBy("block").agg(F.sum("n").alias("_all"))
-    big = materialize(total.where(F.col("_all") > PART_SHINGLES).select("block"), "large-blocks")
     # Bands by the logarithm of the size, so partners are at most one apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit((link.den / link.num) ** 2)) + 1e-9)
-    inside = members.join(big, "block", "left_semi").withColumn("band", band.cast("long"))
-    whole = members.join(big, "block", "left_anti").select(
-        "*", *[F.lit(0).cast("long").alias(c) for c in ("band", "i", "j")], F.lit(0).alias("side"),
-        F.lit(False).alias("cross"))
+    inside = members.withColumn("band", band.cast("long"))
     parts = materialize(
-        inside.groupBy("block", "band").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("k")), "block-parts")
+        inside.groupBy("block", "band").agg(
+            F.ceil(F.sum(F.greatest("n", F.lit(128))) / PART_SHINGLES).alias("k")), "block-parts")
     near = lambda shift, name: parts.select(
         "block", (F.col("band") + shift).alias("band"), F.col("k").alias(name))
     inside = (inside.join(parts, ["block", "band"]).join(near(-1, "k_up"), ["block", "band"], "left")
@@ -222,9 +381,8 @@ def _tiles(members: DataFrame, link: Link) -> DataFrame:
                   F.transform(upto("k_down"), lambda q: place(b - 1, q, p, 1, True)))
     none = F.array().cast("array<struct<band:bigint,i:bigint,j:bigint,side:int,cross:boolean>>")
     tiles = F.concat(own, F.coalesce(up, none), F.coalesce(down, none))
-    cut = inside.withColumn("t", F.explode(tiles)).select(
+    return inside.withColumn("t", F.explode(tiles)).select(
         *members.columns, "t.band", "t.i", "t.j", "t.side", "t.cross")
-    return whole.unionByName(cut)
 
 
 def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -236,19 +394,28 @@ def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def rank_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Exact bitmaps over the ranks of the members that two sets or more hold."""
-    flat = np.concatenate(sets)
-    values, counts = np.unique(flat, return_counts=True)
-    shared = values[counts > 1]
-    out = np.zeros((len(sets), max(1, -(-len(shared) // 64))), np.uint64)
-    if not len(shared):
+class SortedSets:
+    """Sets of a tile as one array of the ranks of their members, for exact
+    intersections of one set with many; its size is that of the tile."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets)
+        values, self.ranks = np.unique(flat, return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        self.mine = np.zeros(len(values), bool)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Members that set ``i`` has in common with each of ``others``."""
+        at, ranks = self.at, self.ranks
+        own = ranks[at[i]:at[i + 1]]
+        self.mine[own] = True
+        low, high = at[others], at[others + 1]
+        size = high - low
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        spot = np.arange(size.sum()) + np.repeat(low - starts, size)
+        out = np.add.reduceat(self.mine[ranks[spot]], starts, dtype=np.int64)
+        self.mine[own] = False
         return out
-    for row, s in zip(out, sets):
-        at = np.searchsorted(shared, s)
-        at = at[shared[np.minimum(at, len(shared) - 1)] == s]
-        np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    return out
 
 
 def compare_tile(rep: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: list[np.ndarray],
@@ -263,7 +430,7 @@ def compare_tile(rep: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: li
     bits = 64
     while bits < 2 * int(n.max()):
         bits *= 2
-    marks, exact = parity_bitmaps(sets, bits), rank_bitmaps(sets)
+    marks, exact = parity_bitmaps(sets, bits), SortedSets(sets)
     label = np.arange(len(sets))
     links = np.zeros(len(sets), np.int64)
     for i in range(len(sets) - 1):
@@ -279,7 +446,7 @@ def compare_tile(rep: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: li
         j = j[differ <= most]
         if not len(j):
             continue
-        common = np.bitwise_count(exact[j] & exact[i]).sum(axis=1, dtype=np.int64)
+        common = exact.common(i, j)
         j = j[link.den * common >= link.num * (n[i] + n[j] - common)]
         if not len(j):
             continue
@@ -330,26 +497,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = with_row_key(docs.select(*named)).select("id", "_row", "text")
     else:
         rows = docs.select(named[0], F.col(row_col).alias("_row"), named[1])
-    sets = materialize(_sets(rows, size).withColumn("rid", F.monotonically_increasing_id()),
-                       "shingle-sets")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, size))
+    made = materialize(_documents(rows, size, link, counts).withColumn("rid", F.monotonically_increasing_id()),
+                       "shingle-keys")
+    counts.unpersist()
+    sets = materialize(made.drop("sign", "keys", "often"), "shingle-sets")
     classes = materialize(
-        sets.where("digest is not null").groupBy("digest")
+        made.where("digest is not null").groupBy("digest")
         .agg(F.min("rid").alias("rep"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size"),
-             F.first("n_shingles").alias("n"),
+             F.first("n_shingles").alias("n"), F.first("sign").alias("sign"),
              F.min_by(F.struct("id", "_row"), "rid").alias("at")), "shingle-classes")
 
-    # Blocks are found between rows; only classes are compared in them.  A key
-    # of a physical row that two rows share would only widen a block.
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, size))
-    blocks = materialize(connected_components(_key_edges(rows, size, link, counts)), "blocks")
-    counts.unpersist()
-    inside = materialize(
-        classes.join(blocks, F.col("at._row") == F.col("node"))
+    # Blocks hold every linked pair; only their members are read again.
+    groups = materialize(_light_groups(made).unionByName(_heavy_groups(made)), "meetings")
+    edges = materialize(_meet(groups, classes, link), "meeting-edges")
+    discard(made, groups)
+    blocks = materialize(connected_components(edges), "blocks")
+    members = materialize(
+        classes.join(blocks, F.col("rep") == F.col("node"))
         .select(F.col("root").alias("block"), "rep", "n", "size", F.col("at.id").alias("mid"),
-                F.col("at._row").alias("mrow")), "block-classes")
-    several = inside.groupBy("block").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    members = materialize(inside.join(materialize(several, "blocks-of-several"), "block", "left_semi"),
-                          "block-members")
+                F.col("at._row").alias("mrow")), "block-members")
     small = members.count() <= BROADCAST_ROWS
     keyed = F.broadcast(members) if small else members
     texts = rows.join(keyed, (F.col("_row") == F.col("mrow")) & F.col("id").eqNullSafe(F.col("mid")))
@@ -367,6 +534,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .mapInArrow(attach, "block bigint, rep bigint, n bigint, size bigint, set binary"))
     sets_of = materialize(sets_of, "member-sets")
     found = materialize(_linked(_tiles(sets_of, link), link), "tile-links")
+    discard(sets_of)
 
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

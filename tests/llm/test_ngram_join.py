@@ -76,6 +76,62 @@ def test_large_blocks_are_cut_into_tiles(make_docs, monkeypatch):
     check(make_docs(*near_texts(77, groups=5, members=14)))
 
 
+@pytest.mark.parametrize("meeting", [1, 3])
+def test_keys_of_many_documents_meet_in_parts(make_docs, monkeypatch, meeting):
+    monkeypatch.setattr(nj, "MEETING", meeting)
+    check(make_docs(*near_texts(5, groups=4, members=10)))
+
+
+def test_classes_of_one_name_are_told_apart(make_docs, monkeypatch):
+    """Meetings name a class by 8 bytes; all classes under one name still work."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(nj, "_node", lambda: (F.xxhash64("digest") % 3).alias("node"))
+    check(make_docs(*near_texts(6, groups=4, members=4)))
+
+
+def test_blocks_hold_what_links_and_little_else(make_docs, monkeypatch):
+    """Texts that share passages, but are no near copies, are not fetched again."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    texts = [" ".join([rng.choice(passages), *(f"w{rng.randrange(10**6)}" for _ in range(90)),
+                       rng.choice(passages)]) for _ in range(150)]
+    texts += [t + " tail" for t in texts[:10]]
+    seen = []
+    tiles = nj._tiles
+    monkeypatch.setattr(nj, "_tiles", lambda members, link: seen.append(members.count()) or tiles(members, link))
+    check(make_docs(*enumerate(texts)))
+    assert 20 <= seen[0] <= 30
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_meetings_join_all_that_link(seed):
+    rng = random.Random(seed)
+    m, link = rng.randint(2, 40), nj.Link(90, 100)
+    base = [rng.getrandbits(64) for _ in range(rng.randrange(3, 300))]
+    sets = []
+    for _ in range(m):
+        if rng.random() < 0.3:
+            base = [rng.getrandbits(64) for _ in range(rng.randrange(3, 300))]
+        own = [x for x in base if rng.random() > 0.03] + [rng.getrandbits(64) for _ in range(rng.randrange(4))]
+        sets.append(np.unique(np.array(own or base, np.uint64)))
+    n = np.array([len(s) for s in sets])
+    roots = nj.meeting_roots(n, [nj.signature(s) for s in sets], link)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            assert roots[i] == roots[j] or 100 * both < 90 * (len(a) + len(b) - both)
+
+
+def test_intersections_over_sorted_arrays():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, k).astype(np.uint64)) for k in rng.integers(1, 300, 30)]
+    held = nj.SortedSets(sets)
+    for i in range(30):
+        others = np.array([j for j in range(30) if j != i and rng.random() < 0.6])
+        if len(others):
+            assert held.common(i, others).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in others]
+
+
 def test_first_keeps_one_row_of_each_component(make_docs):
     same = "one two three four five six"
     found = nj.ngram_join(make_docs((4, same), (2, same), (2, same), (None, same), (9, "other words here"))
@@ -107,7 +163,7 @@ def test_prefixes_hold_the_rarest_members():
     s = np.arange(50, dtype=np.uint64)
     link = nj.Link(90, 100)
     bands = range(link.band(50), link.band(55) + 1)
-    want = {int(nj._mix(np.array([x], np.uint64) + np.uint64(b) * nj._M1)[0])
+    want = {int(nj._mix(np.array([x], np.uint64) + np.uint64(b * int(nj._M1) % 2**64))[0])
             for x in range(44, 50) for b in bands}
     assert set(nj.prefix_keys(s, counts, link).tolist()) == want
 
