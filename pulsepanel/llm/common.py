@@ -64,11 +64,14 @@ def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
     It is the same in every scan of the files.  A frame that is not a plain
     file scan is written to the shared folder first.
     """
-    key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    def keyed(df):
+        hidden = df.metadataColumn("_metadata")  # whatever a user column is named
+        return df.select("*", F.xxhash64(hidden["file_path"], hidden["row_index"]).alias(name))
+
     try:
-        return docs.select("*", key)
+        return keyed(docs)
     except AnalysisException:  # no file behind it
-        return materialize(docs, "rows").select("*", key)
+        return keyed(materialize(docs, "rows"))
 
 
 def discard(*written: DataFrame) -> None:

@@ -109,3 +109,12 @@ def test_near_stage_setting_matches_sql(spark):
     sql = f"with recursive {sql_ngram('documents', cp.NEAR_WORDS, cp.NEAR_NUM, cp.NEAR_DEN)} select * from joined"
     problems, _ = compare(spark, "near", query, sql, SF_SMALL, duck(SF_SMALL))
     assert not problems, problems
+
+
+def test_a_user_column_named_like_the_hidden_one(spark, odd_docs, folder, tmp_path):
+    docs = odd_docs.withColumn("_metadata", F.lit("m"))
+    docs.write.parquet(f"{tmp_path}/odd")
+    for frame in (docs, spark.read.parquet(f"{tmp_path}/odd")):
+        for stage in (cp.exact_stage, cp.near_stage, cp.mixing_stage):
+            out = stage(spark, frame, folder)
+            assert out.columns == docs.columns and out.count() > 0
