@@ -37,6 +37,19 @@ def test_without_the_training_data_folders(tmp_path):
     assert said.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
 
 
+def test_without_a_package_that_only_they_need():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    said = subprocess.run(
+        [sys.executable, "-W", "ignore", "-c", "import sys; sys.modules.update(xxhash=None, tokenizers=None, regex=None)\n"
+         "import __spark_entry__ as e; print(len(e.queries()) >= %d)" % len(catalog.queries())],
+        cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == ["True"]
+
+
 def _unit(v):
     return v is not None and 0 <= v <= 1
 
