@@ -1253,6 +1253,37 @@ def q_silhouette_sq(spark, d):
     return r6(spark.createDataFrame([(s,)], "silhouette double"))
 
 
+@query("silhouettes_of_clusterings", """
+with e0 as (select vec_id, label, cast(embedding as double[]) as x
+            from embeddings where label is not null),
+e as (select m, vec_id, label % m as c, x from e0, (select unnest([2, 3, 5]) as m) ms),
+u as (select m, vec_id, c, unnest(x) as v, unnest(generate_series(1, len(x))) as d from e),
+cs as (select m, c, d, sum(v) as s from u group by m, c, d),
+cn as (select m, c, count(*)::double as n, sum(list_dot_product(x, x)) as q from e group by m, c),
+dt as (select u.m, u.vec_id, cs.c as t, sum(u.v * cs.s) as xs
+       from u join cs on u.d = cs.d and u.m = cs.m group by u.m, u.vec_id, cs.c),
+dist as (select e.m, e.vec_id, e.c, dt.t, cn.n as nt,
+                list_dot_product(e.x, e.x) + cn.q / cn.n - 2 * dt.xs / cn.n as dd
+         from e join dt on e.vec_id = dt.vec_id and e.m = dt.m join cn on cn.c = dt.t and cn.m = e.m),
+own as (select m, vec_id, nt, dd * nt / (nt - 1) as a from dist where t = c),
+oth as (select m, vec_id, min(dd) as b from dist where t <> c group by m, vec_id),
+pt as (select m, case when own.nt = 1 then 0.0 when a < b then 1 - a / b
+                      when a > b then b / a - 1 else 0.0 end as si
+       from own join oth using (m, vec_id))
+select m as clusters, round(avg(si), 6) as silhouette from pt group by m
+""")
+def q_silhouettes_of_clusterings(spark, d):
+    """Silhouettes of three clusterings of all vectors, from two passes."""
+    from pyspark.ml.functions import array_to_vector
+
+    v = fx.vector_frame(spark, d).where(F.col("label").isNotNull())
+    v = v.withColumn("features", array_to_vector("embedding"))
+    ms = (2, 3, 5)
+    found = segment.silhouettes_sq(v.select("features", *[(F.col("label") % m).alias(f"c{m}") for m in ms]),
+                                   [f"c{m}" for m in ms])
+    return r6(spark.createDataFrame([(m, found[f"c{m}"]) for m in ms], "clusters int, silhouette double"))
+
+
 @query("reference_churn_model")
 def q_reference_churn_model(spark, d):
     """Modelling chain: model table -> metrics per evaluation set.
