@@ -7,8 +7,8 @@ template puts all its hits on one diagonal, and an inserted or missing word
 moves the rest to a neighbouring one.  Hits are counted by diagonal,
 neighbouring diagonals are merged, and a span is verified by comparing the
 words themselves and by the share of template words that it covers.  Licenses
-that share most of a passage are told apart by the document's own words at the
-place where they differ (``TELLING``).
+that share most of a passage each have a template; the gram where a template
+differs from its kin (``TELLING``) has to be among the span's hits.
 
 Scale: DataFrame functions only.  The template table is a constant of this
 module, so its broadcast is bounded; document k-grams stream through the two
@@ -52,23 +52,49 @@ PASSAGES = (
      "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("gnu library general public license as published by the free software foundation", "lgpl"),
+    ("gnu affero general public license as published by the free software foundation", "agpl"),
+    ("licensed under the apache software license version 2 0 the license you may not use this file "
+     "except in compliance with the license you may obtain a copy of the license at", "apache"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to "
+     "endorse or promote products derived from this software", "bsd"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse "
+     "public license", "epl"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of "
+     "the software and accompanying documentation covered by this license the software", "bsl"),
+    ("licensed under the creative commons attribution 4 0 international license", "cc-by"),
+    ("licensed under a creative commons attribution 3 0 unported license", "cc-by"),
+    ("licensed under the creative commons attribution 3 0 unported license", "cc-by"),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license",
+     "cc-by-nc"),
+    ("licensed under a creative commons attribution noncommercial 3 0 unported license", "cc-by-nc"),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("licensed under a creative commons attribution share alike 4 0 international license",
+     "cc-by-sa"),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license",
+     "cc-by-nd"),
+    ("licensed under a creative commons attribution noncommercial sharealike 4 0 international "
+     "license", "cc-by-nc-sa"),
+    ("licensed under a creative commons attribution noncommercial noderivatives 4 0 international "
+     "license", "cc-by-nc-nd"),
 )
-#: Words that tell a label's passages from other licenses, as patterns over the
-#: words around a hit: a span without the first (null: none is needed) gets no
-#: label; one with the second and not the first is another license's.
+#: The gram in which a label's passages differ from those of
+#: other licenses (the first that a passage holds).
 TELLING = {
-    "gpl": (r" (?!lesser |library |affero )\S+ general public | gnu gpl ",
-            r" (lesser|library|affero) general "),
-    "lgpl": (r" (lesser|library) general public | gnu lgpl ",
-             r" (?!lesser |library )\S+ general public "),
-    "cc-by": (r" attribution (?!non|noder|no |share|nc |nd |sa )\S+ ",
-              r" attribution (non|noder|no |share|nc |nd |sa )"),
-    "apache": (r" apache (software )?licen[cs]e ", None),
-    "mpl": (r" mozilla public ", None),
-    "mit": (None, r" to deal with "),
+    "gpl": ("gnu general public license",),
+    "lgpl": ("gnu lesser general public", "gnu library general public"),
+    "agpl": ("gnu affero general public",),
+    "apache": ("under the apache license", "under the apache software"),
+    "mpl": ("the mozilla public license",),
+    "epl": ("the eclipse public license",),
+    "mit": ("to deal in the",),
+    "cc-by": ("commons attribution 4 0", "commons attribution 3 0"),
+    "cc-by-nc": ("attribution noncommercial 4 0", "attribution noncommercial 3 0"),
+    "cc-by-sa": ("creative commons attribution sharealike", "commons attribution share alike"),
+    "cc-by-nd": ("creative commons attribution noderivatives",),
+    "cc-by-nc-sa": ("commons attribution noncommercial sharealike",),
+    "cc-by-nc-nd": ("commons attribution noncommercial noderivatives",),
 }
-#: Stands for the word before the first and after the last; no word holds it.
-EDGE = "."
 #: k of the rolling k-grams; a phrase of fewer words uses SHORT.
 LONG, SHORT = 4, 2
 #: Diagonals at most so far apart are merged.
@@ -77,55 +103,54 @@ NEIGHBOUR = 3
 COVER = 0.6
 
 
-def template_grams(spark: SparkSession, phrases=PHRASES, passages=PASSAGES) -> DataFrame:
-    """One row per k-gram of each template: template, exact, label, words of
-    the template, k, position ``at`` and the words of the gram."""
-    rows = []
+def templates(phrases=PHRASES, passages=PASSAGES) -> list[tuple]:
+    """(words, label, exact, k, tell) of each template; ``tell`` is the position
+    of its telling gram, None for a base phrase or a label without one."""
+    out = []
     for number, (text, label) in enumerate([*phrases, *passages]):
-        words = text.split()
+        words, exact = text.split(), number < len(phrases)
         k = LONG if len(words) >= LONG else SHORT
         if len(words) < k:
             raise ValueError(f"a template needs {SHORT} words or more: {text!r}")
-        for at in range(len(words) - k + 1):
-            rows.append(F.struct(
-                F.lit(number).alias("template"), F.lit(number < len(phrases)).alias("exact"),
-                F.lit(label).alias("label"), F.lit(len(words)).alias("n"), F.lit(k).alias("k"),
-                F.lit(at).alias("at"),
-                F.array(*[F.lit(w) for w in words[at:at + k]]).alias("gram")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+        grams = [" ".join(words[at:at + k]) for at in range(len(words) - k + 1)]
+        telling = [] if exact else [grams.index(g) for g in TELLING.get(label, ()) if g in grams]
+        if not exact and label in TELLING and not telling:
+            raise ValueError(f"no telling words of {label} in {text!r}")
+        out.append((words, label, exact, k, telling[0] if telling else None))
+    return out
+
+
+def template_grams(spark: SparkSession, phrases=PHRASES, passages=PASSAGES) -> DataFrame:
+    """One row per k-gram of each template: template, exact, label, words of
+    the template, k, ``tell``, position ``at`` and the words of the gram."""
+    rows = F.array(*[F.struct(
+        F.lit(number).alias("template"), F.lit(exact).alias("exact"), F.lit(label).alias("label"),
+        F.lit(len(words)).alias("n"), F.lit(k).alias("k"), F.lit(tell).cast("int").alias("tell"),
+        F.lit(" ".join(words)).alias("text"))
+        for number, (words, label, exact, k, tell) in enumerate(templates(phrases, passages))])
+    grams = F.expr("transform(sequence(0, n - k), i -> slice(split(text, ' '), i + 1, k))")
+    return spark.range(1).select(F.inline(rows)).select(
+        "template", "exact", "label", "n", "k", "tell", F.posexplode(grams).alias("at", "gram"))
 
 
 def _grouped(grams: DataFrame, k: int) -> DataFrame:
     """Positions of each k-gram hash: one row per hash."""
     words = [F.col("gram")[i] for i in range(k)]
     return (grams.where(F.col("k") == k).groupBy(F.xxhash64(*words).alias(f"_t{k}"))
-            .agg(F.collect_list(F.struct("template", "exact", "label", "n", "k", "at", "gram"))
+            .agg(F.collect_list(F.struct("template", "exact", "label", "n", "k", "tell", "at", "gram"))
                  .alias(f"_at{k}")))
 
 
-def _telling(which: int) -> F.Column:
-    """Whether the words ``_around`` a passage's hit match its label's pattern."""
-    found = F.lit(False)
-    for label, patterns in TELLING.items():
-        if patterns[which] is not None:
-            found = F.when(F.col("t.label") == label, F.col("_around").rlike(patterns[which])
-                           ).otherwise(found)
-    return ~F.col("t.exact") & found
-
-
 def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified k-gram hits: _id, _text (hash of the text), template columns,
-    ``pos`` (word of the document), ``diagonal``, and whether the words from
-    the one before to the one after it are the label's ``own`` or a ``rival``'s."""
+    ``pos`` (word of the document) and ``diagonal``."""
     grams = template_grams(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"),
         F.regexp_extract_all(lower_ascii(text), F.lit(LICENSE_WORD), F.lit(1)).alias("w"))
     size = F.greatest(F.size("w"), F.lit(1))
-    before = F.slice(F.concat(F.array(F.lit(EDGE)), F.col("w")), F.lit(1), size)
-    grams_of = F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(LONG + 1)],
-                            before.alias("before"))
+    grams_of = F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(LONG)])
     rows = (words.select("_id", "_text", F.posexplode(grams_of).alias("pos", "g"))
             .select("_id", "_text", "pos", "g.*"))
     for k in (SHORT, LONG):
@@ -136,20 +161,18 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("t", F.explode(F.concat(F.coalesce("_at2", F.array()),
                                                      F.coalesce("_at4", F.array()))))
     same = F.slice(F.array(*[F.col(f"w{i}") for i in range(LONG)]), 1, F.col("t.k")) == F.col("t.gram")
-    around = [F.coalesce(c, F.lit(EDGE)) for c in ("before", *[f"w{i}" for i in range(LONG + 1)])]
-    found = found.where(same).withColumn("_around", F.concat_ws(" ", F.lit(""), *around, F.lit("")))
-    return (found
-            .select("_id", "_text", "pos", "t.template", "t.exact", "t.label", "t.n", "t.k", "t.at",
-                    (F.col("pos") - F.col("t.at")).alias("diagonal"),
-                    _telling(0).alias("own"), _telling(1).alias("rival"))
+    return (found.where(same)
+            .select("_id", "_text", "pos", "t.template", "t.exact", "t.label", "t.n", "t.k", "t.tell",
+                    "t.at", (F.col("pos") - F.col("t.at")).alias("diagonal"))
             .dropDuplicates(["_id", "_text", "template", "pos", "at"]))
 
 
 def license_spans(hits: DataFrame) -> DataFrame:
     """Spans per (document, template): base phrases in full on one diagonal,
     passages over merged diagonals, with ``first``, ``last`` word, ``cover``
-    (share of the template's words that were seen), ``own`` (the label's telling
-    words were seen, or it needs none) and ``rival`` (another license's were)."""
+    (share of the template's words that were seen), ``own`` (the telling gram
+    was hit, or there is none) and ``rival`` (the span runs on across its place
+    with other words: another license's text)."""
     doc = ["_id", "_text", "template"]
     exact = (hits.where("exact").groupBy(*doc, "label", "n", "diagonal", "k")
              .agg(F.count(F.lit(1)).alias("votes")).where("votes = n - k + 1")
@@ -159,24 +182,23 @@ def license_spans(hits: DataFrame) -> DataFrame:
                      F.lit(1.0).alias("cover"), F.lit(True).alias("own"),
                      F.lit(False).alias("rival")))
     by = Window.partitionBy(*doc).orderBy("diagonal")
-    diagonals = (hits.where("not exact").groupBy(*doc, "label", "n", "k", "diagonal")
+    diagonals = (hits.where("not exact").groupBy(*doc, "label", "n", "k", "tell", "diagonal")
                  .agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"),
-                      F.max("pos").alias("hi"), F.max("own").alias("own"),
-                      F.max("rival").alias("rival"))
+                      F.max("pos").alias("hi"))
                  .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOUR))
                  .withColumn("band", F.sum(F.coalesce(F.col("new"), F.lit(True)).cast("int")).over(by)))
-    merged = (diagonals.withColumn("ats", F.expr("flatten(transform(ats, a -> sequence(a, a + k - 1)))"))
-              .groupBy(*doc, "label", "n", "band")
-              .agg(F.collect_set("ats").alias("seen"), F.min("lo").alias("first"),
+    merged = (diagonals.withColumn("words", F.expr("flatten(transform(ats, a -> sequence(a, a + k - 1)))"))
+              .groupBy(*doc, "label", "n", "tell", "band")
+              .agg(F.collect_set("words").alias("seen"), F.min("lo").alias("first"),
                    (F.max(F.col("hi") + F.col("k")) - 1).alias("last"),
-                   F.max("own").alias("own"), F.max("rival").alias("rival"))
+                   F.max(F.array_contains("ats", F.col("tell"))).alias("hit"),
+                   F.min(F.array_min("ats")).alias("low"), F.max(F.array_max("ats")).alias("high"))
               .withColumn("cover", F.size(F.array_distinct(F.flatten("seen"))) / F.col("n")))
-    needed = [label for label, (own, _) in TELLING.items() if own is not None]
+    own = F.col("tell").isNull() | F.coalesce("hit", F.lit(False))
     passages = merged.select(
         "_id", "_text", "template", F.lit(False).alias("exact"), "label",
-        F.col("first").cast("long"), F.col("last").cast("long"), "cover",
-        (F.col("own") | ~F.col("label").isin(needed)).alias("own"),
-        (F.col("rival") & ~F.col("own")).alias("rival"))
+        F.col("first").cast("long"), F.col("last").cast("long"), "cover", own.alias("own"),
+        (~own & (F.col("low") < F.col("tell")) & (F.col("high") > F.col("tell"))).alias("rival"))
     return exact.unionByName(passages)
 
 

@@ -115,8 +115,8 @@ def op2_hmm_score(spark, sf_dir):
 def sql_licenses() -> str:
     """The scan in SQL: the same k-grams joined as text."""
     rows = ", ".join(
-        f"({i}, {str(i < len(license_scan.PHRASES)).lower()}, '{label}', {text.split()})"
-        for i, (text, label) in enumerate([*license_scan.PHRASES, *license_scan.PASSAGES]))
+        f"({i}, {str(exact).lower()}, '{label}', {'null::int' if tell is None else tell}, {words})"
+        for i, (words, label, exact, _, tell) in enumerate(license_scan.templates()))
     k, short = license_scan.LONG, license_scan.SHORT
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
@@ -125,9 +125,9 @@ with w as (
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 t as (
   select *, len(tw) as n, case when len(tw) >= {k} then {k} else {short} end as k
-  from (values {rows}) v(template, exact, label, tw)),
+  from (values {rows}) v(template, exact, label, tell, tw)),
 ta as (select *, unnest(range(n - k + 1)) as spot from t),
-g as (select template, exact, label, n, k, spot, array_to_string(tw[spot + 1:spot + k], ' ') as gram from ta),
+g as (select template, exact, label, n, k, tell, spot, array_to_string(tw[spot + 1:spot + k], ' ') as gram from ta),
 p as (select doc_id, ws, unnest(range(len(ws))) as pos from w),
 d as (
   select doc_id, pos, {short} as k, array_to_string(ws[pos + 1:pos + {short}], ' ') as gram from p
@@ -135,7 +135,7 @@ d as (
   union all
   select doc_id, pos, {k}, array_to_string(ws[pos + 1:pos + {k}], ' ') from p where pos + {k} <= len(ws)),
 h as (
-  select distinct doc_id, template, exact, label, n, g.k, spot, pos, pos - spot as diag
+  select distinct doc_id, template, exact, label, n, g.k, tell, spot, pos, pos - spot as diag
   from d join g on g.k = d.k and g.gram = d.gram),
 e as (
   select doc_id, label, diag as first from h where exact
@@ -146,20 +146,21 @@ bd as (
   select *, sum(case when prev is null or diag - prev > {license_scan.NEIGHBOUR} then 1 else 0 end)
     over (partition by doc_id, template order by diag) as band from lg),
 cw as (
-  select h.doc_id, h.template, label, n, band, unnest(range(spot, spot + k)) as c
+  select h.doc_id, h.template, label, n, tell, band, spot, unnest(range(spot, spot + k)) as c
   from h join bd on bd.doc_id = h.doc_id and bd.template = h.template and bd.diag = h.diag
   where not exact),
 cv as (
-  select doc_id, label, count(distinct c)::double / n as cover
-  from cw group by doc_id, template, label, n, band),
+  select doc_id, label, count(distinct c)::double / n as cover,
+         tell is null or bool_or(spot = tell) as own, min(spot) < tell and max(spot) > tell as over
+  from cw group by doc_id, template, label, n, tell, band),
 ls as (
   select doc_id, string_agg(distinct label, ',' order by label) as labels
   from (select doc_id, label from e union all
-        select doc_id, label from cv where cover >= {license_scan.COVER}) group by doc_id),
+        select doc_id, label from cv where own and cover >= {license_scan.COVER}) group by doc_id),
 ba as (
   select doc_id, count(*) as n_base, min(first) as first_word, max(first) as last_word,
          string_agg(distinct label, ',' order by label) as base_labels from e group by doc_id),
-sc as (select doc_id, max(cover) as cover from cv group by doc_id)
+sc as (select doc_id, max(cover) as cover from cv where own or not over group by doc_id)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
        case when n_base > 0 then 1.0::double else coalesce(cover, 0.0::double) end as score
