@@ -1,11 +1,14 @@
 """Document fingerprints from closed syncmers.
 
-The words of a text form k-mers of ``K`` words.  Each holds ``K - S + 1``
-inner runs of ``S`` words; a k-mer is a closed syncmer when the smallest hash
-among its inner runs is the first or the last one.  The choice looks at
-nothing but the k-mer itself, so a passage has the same anchors wherever it
-stands.  The fingerprint is the text's anchors in order, each with its word
-position; likeness is the Dice share of distinct anchors.
+The units of a text are its words, cut after every eighth character; a
+character of a script that is written without spaces is a unit of its own.
+They form k-mers of ``K`` units.  Each holds ``K - S + 1`` inner runs of ``S``
+units; a k-mer is a closed syncmer when the smallest hash among its inner runs
+is the first or the last one.  The choice looks at nothing but the k-mer
+itself, so a passage has the same anchors wherever it stands.  The fingerprint
+is the text's anchors in order, each with its unit position.  Likeness matches
+anchors by position: of the anchors that two texts share, those on consistent
+offsets count.
 
 Scale: DataFrame functions only.  A document meets its successor in one
 shuffle of the texts: ids fall into ranges of about ``BUCKET_ROWS`` rows, and
@@ -20,12 +23,21 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsepanel.llm.common import WORD
 from pulsepanel.sources.sinks import materialize
 
-#: Words of a k-mer and of its inner runs: of two neighbouring k-mers one is an
-#: anchor, so five words that two texts share in a row always give one.
+#: Characters of scripts without spaces between words (Thai, Lao,
+#: Myanmar, Khmer; East Asian radicals, kana, ideographs).
+UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF"
+            r"\x{20000}-\x{3FFFF}")
+#: Characters of a unit at most.
+UNIT_CHARS = 8
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,{UNIT_CHARS}}}"
+#: Units of a k-mer and of its inner runs: of two neighbouring k-mers one is an
+#: anchor, so five units that two texts share in a row always give one.
 K, S = 4, 2
+#: Shared anchors count when their offset is near the median one: within this
+#: share of the longer text's units, SLACK_UNITS at least.
+SLACK, SLACK_UNITS = 0.25, 4
 #: Rows of an id range, and quantiles of the ids that are cut into ranges.
 BUCKET_ROWS = 2000
 QUANTILES = 128
@@ -40,12 +52,12 @@ def _shifts(name: str, count: int) -> F.Column:
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """Adds ``out``: array of (hash, position) of the closed syncmers of a text
-    column, in order.  A text with words but no syncmer has one anchor, the
-    hash of all its words; a text without words has none."""
+    column, in order.  A text with units but no syncmer has one anchor, the
+    hash of all its units; a text without any has none."""
     inner = k - s + 1
     names = [f"_{out}_{x}" for x in ("w", "z", "h", "y")]
     w, z, h, y = names
-    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)))
+    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(f"({UNIT})"), F.lit(1)))
     df = df.withColumn(z, _shifts(w, s))
     df = df.withColumn(h, F.transform(F.slice(F.col(z), 1, F.greatest(F.size(w) - s + 1, F.lit(0))),
                                       lambda x: F.xxhash64(*[x[f"v{i}"] for i in range(s)])))
@@ -66,17 +78,37 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
 
 def fingerprint_text(anchors) -> F.Column:
-    """Anchors as text: 16 hexadecimal digits and the word position each."""
+    """Anchors as text: 16 hexadecimal digits and the unit position each."""
     return F.array_join(F.transform(anchors, lambda a: F.concat(
         F.lpad(F.lower(F.hex(a["hash"])), 16, "0"), F.lit("@"), a["at"].cast("string"))), " ")
 
 
-def likeness(a, b) -> F.Column:
-    """Dice share of distinct anchors; 1 for two texts without any."""
-    one, two = (F.array_distinct(F.transform(x, lambda v: v["hash"])) for x in (a, b))
-    both = F.size(one) + F.size(two)
-    return F.when(both == 0, F.lit(1.0)).otherwise(
-        2.0 * F.size(F.array_intersect(one, two)) / F.greatest(both, F.lit(1)))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: the Dice share of the distinct anchors of two columns that
+    match by position; 1 for two texts without any.
+
+    An anchor stands where it occurs first.  Its offset is the difference of
+    its two positions; it matches when that is within ``SLACK`` of the median
+    offset.  So an insertion or a removal shifts what follows it without loss,
+    while passages that changed places match on one side only."""
+    e, n, o = (f"_{out}_{x}" for x in "eno")
+    # (hash, side, position): the first text's last, its positions negative, so
+    # that in sorted order its first occurrence stands next to the second's.
+    both = F.sort_array(F.concat(
+        F.transform(a, lambda v: F.struct(v["hash"].alias("h"), F.lit(0).alias("s"), (-v["at"]).alias("p"))),
+        F.transform(b, lambda v: F.struct(v["hash"].alias("h"), F.lit(1).alias("s"), v["at"].alias("p")))))
+    pair = F.transform(_shifts(e, 2), lambda x: F.when(
+        (x["v0"]["h"] == x["v1"]["h"]) & (x["v0"]["s"] < x["v1"]["s"]), x["v0"]["p"] + x["v1"]["p"]))
+    sizes = [F.size(F.array_distinct(F.transform(x, lambda v: v["hash"]))) for x in (a, b)]
+    df = df.withColumn(e, both).withColumn(n, sizes[0] + sizes[1])
+    df = df.withColumn(o, F.sort_array(F.filter(pair, lambda v: v.isNotNull())))
+    last = F.greatest(*[F.coalesce(F.element_at(x, -1)["at"], F.lit(0)) for x in (
+        F.when(F.size(c) > 0, F.col(c)) for c in (a, b))])
+    slack = F.greatest(F.lit(SLACK) * (last + K), F.lit(float(SLACK_UNITS)))
+    middle = F.get(F.col(o), F.floor(F.size(o) / 2).cast("int"))
+    near = F.size(F.filter(o, lambda v: F.abs(v - middle) <= slack))
+    share = F.when(F.col(n) == 0, F.lit(1.0)).otherwise(2.0 * near / F.greatest(F.col(n), F.lit(1)))
+    return df.withColumn(out, share).drop(e, n, o)
 
 
 def with_range(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -144,9 +176,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "_edited", F.concat(F.substring(F.col("_text"), F.lit(1), F.length("_text") - half),
                             F.substring(F.col("_next"), F.lit(1), half)))
     rows = with_anchors(rows, "_edited", "_ea", k, s)
+    rows = with_likeness(with_likeness(rows, "_a", "_ea", "near_edited"), "_a", "_na", "near_next")
     return rows.select(
         F.col("_id").alias(id_col), "n_chars", F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("_a")).alias("fingerprint"),
         fingerprint_text(F.col("_ea")).alias("edited_fingerprint"),
-        likeness(F.col("_a"), F.col("_ea")).alias("near_edited"),
-        likeness(F.col("_a"), F.col("_na")).alias("near_next"))
+        "near_edited", "near_next")

@@ -18,8 +18,16 @@ def xx(*parts):
     return h - (1 << 64) if h >> 63 else h
 
 
+UNSPACED = ("\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF"
+            "\U00020000-\U0003FFFF")
+
+
+def units(text):
+    return re.findall(f"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,8}}", text)
+
+
 def anchors(text, k=fp.K, s=fp.S):
-    words = re.findall("[^\x20\x09-\x0D]+", text)
+    words = units(text)
     inner = [xx(*words[i:i + s]) for i in range(len(words) - s + 1)]
     out = []
     for i in range(len(words) - k + 1):
@@ -34,8 +42,12 @@ def shown(found):
 
 
 def like(a, b):
-    a, b = ({h for h, _ in x} for x in (a, b))
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    last = max([i for _, i in a[-1:] + b[-1:]], default=0)
+    a, b = ({h: i for h, i in reversed(x)} for x in (a, b))
+    offsets = sorted(b[h] - a[h] for h in a.keys() & b.keys())
+    slack = max(0.25 * (last + fp.K), 4)
+    near = sum(abs(o - offsets[len(offsets) // 2]) <= slack for o in offsets)
+    return 2 * near / (len(a) + len(b)) if a or b else 1.0
 
 
 def expected(rows):
@@ -92,5 +104,28 @@ def test_short_texts_keep_anchors_of_their_unchanged_half(make_docs):
     assert all(r.near_edited > 0 for r in fp.fingerprints(docs).collect())
 
 
+def test_texts_without_white_space_keep_anchors(make_docs):
+    han = "".join(chr(0x4E00 + i * i % 997) for i in range(400))
+    run = "".join(chr(97 + i * i * i % 9973 % 23) for i in range(500))
+    docs = make_docs((1, han), (2, run), (3, "alpha beta gamma"), (4, "x" * 30 + han[:60]))
+    check(docs)
+    near = {r.doc_id: r.near_edited for r in fp.fingerprints(docs).collect()}
+    assert 0.3 < near[1] < 0.7 and 0.3 < near[2] < 0.7
+
+
+def test_positions_count(make_docs):
+    words = [f"v{i * i % 9973}" for i in range(200)]
+    moved, longer = words[100:] + words[:100], words[:90] + ["more"] * 20 + words[90:]
+    docs = make_docs(*[(i, " ".join(w)) for i, w in enumerate((words, moved, words, longer, words))])
+    check(docs)
+    near = {r.doc_id: r.near_next for r in fp.fingerprints(docs).collect()}
+    assert near[0] < 0.6 and near[1] < 0.6 and near[2] > 0.9 and near[4] == 1
+
+
+def test_likeness_of_repeated_passages(make_docs):
+    part = " ".join(f"p{i}" for i in range(12))
+    check(make_docs(*[(i, " ".join([part, f"q{i}"] * (i % 4 + 1))) for i in range(12)]))
+
+
 def test_empty(no_docs):
     assert fp.fingerprints(no_docs).count() == 0
