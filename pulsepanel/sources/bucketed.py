@@ -20,13 +20,17 @@ def write_bucketed(df: DataFrame, table: str, key: str, order=(), buckets: int =
                    path: str | None = None) -> DataFrame:
     """Stores ``df`` as catalog table ``table``: ``buckets`` buckets by ``key``,
     each one file sorted by key and ``order``.  Replaces an older table; its
-    files lie at ``path`` or in the warehouse."""
+    files lie at ``path`` or in the warehouse.
+
+    The frame asks for merge joins: sorted files are a small part of their rows
+    in memory, so Spark would take millions of rows for small enough to send
+    them through the driver to every executor."""
     rows = df.repartition(buckets, key).sortWithinPartitions(key, *order)
     writer = rows.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key, *order)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
-    return df.sparkSession.table(table)
+    return df.sparkSession.table(table).hint("merge")
 
 
 @contextmanager

@@ -49,6 +49,26 @@ def test_join_lag_and_status_without_an_exchange(spark, tmp_path):
             spark.sql(f"drop table if exists t_bucketed_{i}")
 
 
+def test_stored_tables_are_not_broadcast(spark, tmp_path):
+    """Small files at Spark's usual threshold: the join still stays where they lie."""
+    usage = spark.range(400).select((F.col("id") % 40).alias("msno"), (F.col("id") / 40).cast("int").alias("safra"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    try:
+        parts = [write_bucketed(usage.withColumn(f"v{i}", F.col("msno") + i), f"t_merged_{i}", "msno", ["safra"], 4,
+                                str(tmp_path / f"m{i}")) for i in range(3)]
+        with by_bucket(spark):
+            joined = panel.feature_join(parts[0], [parts[1], parts[2].select("msno", "safra", "v2")],
+                                        paid_col="v1", usage_col="v0")
+            assert joined.count() == 400
+            text = plan(joined)
+        assert text.count("SortMergeJoin") == 2 and "Broadcast" not in text and "Exchange" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for i in range(3):
+            spark.sql(f"drop table if exists t_merged_{i}")
+
+
 def test_by_bucket_puts_the_setting_back(spark):
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(name)
