@@ -1180,6 +1180,7 @@ def _doc_model(spark, d):
     docs = fx.doc_frame(spark, d).withColumn(
         "split", F.when(F.col("quality").isNull(), "unlabelled")
         .when(F.xxhash64(F.lit(7), "doc_id") % 5 == 0, "test").otherwise("train"))
+    docs = materialize(docs, "documents")  # every step of a fit reads it: words are counted once
     train = docs.where(F.col("split") == "train")
     # the reference's settings: depth 6, rate 0.08, 300 rounds, 255 bins, seed 42
     model = fit_churn_model(train, label="quality", extra_drop=["doc_id", "toxic"],

@@ -171,12 +171,13 @@ def vector_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left").select(
+    # words are counted before the join, so no text is shuffled
+    d = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
-        "lang", "source", "quality", "toxic")
+        F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"), "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id", "left").select(
+        "doc_id", "n_chars", "n_words", "lang", "source", "quality", "toxic")
 
 
 # -------------------------------------------------------------- DuckDB text

@@ -32,6 +32,18 @@ def test_projection_pruned_at_scan(spark):
             "l_quantity:double,l_returnflag:string>") in s
 
 
+def test_document_frame_shuffles_no_text(spark):
+    """Words are counted below the join's exchange."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(fx.doc_frame(spark, SF_SMALL)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchange = min(i for i, x in enumerate(lines) if "Exchange hashpartitioning(doc_id" in x)
+    assert all(i > exchange for i, x in enumerate(lines) if "split(" in x)
+
+
 def test_dedup_is_partial_aggregate(spark):
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     s = plan(clean.dedup(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"]))
