@@ -41,8 +41,9 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
 CALIBRATE = 0.2
 THRESHOLD = 0.7
 SEED = 4
-#: Tokens of which a task counts contexts at once.
-TOKENS_AT_ONCE = 1_000_000
+#: Tokens of which a task counts contexts at once, and whose classes it keeps:
+#: a worker lives as long as its executor, beside others.
+TOKENS_AT_ONCE, TOKENS_KEPT = 250_000, 50_000
 
 _TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
@@ -59,7 +60,7 @@ class TokenClass(dict):
             shape = 1 if token[0].isupper() else 0
         value = shape * BUCKETS + zlib.crc32(token.encode()) % BUCKETS
         if len(token) <= 32:
-            if len(self) >= 500_000:
+            if len(self) >= TOKENS_KEPT:
                 self.clear()
             self[token] = value
         return value
@@ -144,10 +145,11 @@ def word_vectors(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_inputs(texts, vectors: np.ndarray, weights: np.ndarray, classes: TokenClass):
-    """One row of network inputs per text."""
+    """One row of network inputs per text (a list, or Arrow strings, which are
+    taken out one by one)."""
     out = np.zeros((len(texts), INPUTS), np.float32)
     for row, text in zip(out, texts):
-        ids = token_classes(text or "", classes)
+        ids = token_classes((text.as_py() if isinstance(text, pa.Scalar) else text) or "", classes)
         if len(ids):
             kinds, n = np.unique(ids, return_counts=True)
             v, w = vectors[kinds], weights[kinds]
@@ -252,7 +254,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def inputs(batches):
         classes = TokenClass()
         for batch in batches:
-            x = document_inputs(batch.column(1).to_pylist(), vectors, weights, classes)
+            x = document_inputs(batch.column(1), vectors, weights, classes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
@@ -273,7 +275,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def score(batches):
         classes = TokenClass()
         for batch in batches:
-            x = document_inputs(batch.column(1).to_pylist(), model.vectors, model.weights, classes)
+            x = document_inputs(batch.column(1), model.vectors, model.weights, classes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(model.score(x), pa.float64())], names=["row", "score"])
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_MID
 from llm_fixtures import make_docs, no_docs, odd_docs  # noqa: F401
@@ -84,3 +85,20 @@ def test_temperature_calibrates():
     for low in (0.1, 0.3, 0.5, 0.7):
         part = (p >= low) & (p < low + 0.2)
         assert abs(p[part].mean() - y[part].mean()) < 0.1
+
+
+def test_a_worker_keeps_few_tokens():
+    """Rare words pass without piling up in the worker's memory."""
+    import sys
+
+    classes = quality.TokenClass()
+    quality.token_classes(" ".join("".join(chr(97 + int(c)) for c in str(i)) for i in range(200_000)), classes)
+    assert len(classes) <= 50_000 and sys.getsizeof(classes) < 4 << 20
+
+
+def test_inputs_of_arrow_texts_are_those_of_a_list():
+    texts = ["one Two THREE", None, "", "a a a b"]
+    vectors = np.random.default_rng(0).random((quality.CLASSES, quality.DIM))
+    weights = np.ones(quality.CLASSES)
+    of_list = quality.document_inputs(texts, vectors, weights, quality.TokenClass())
+    assert np.array_equal(of_list, quality.document_inputs(pa.array(texts), vectors, weights, quality.TokenClass()))
