@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsepanel.llm.common import bucket_count, group_rank, type_of
+from pulsepanel.llm.common import bucket_count, group_rank, type_of, worker_cache
 from pulsepanel.sources.sinks import materialize
 
 WINDOW = 4096
@@ -83,14 +83,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The cache of this worker process, which serves many tasks."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return worker_cache((WordIds, path), lambda: WordIds(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID,

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsepanel.llm.common import free_worker
+
 #: Hash buckets of each token shape, and shapes.
 BUCKETS, SHAPES = 2048, 4
 CLASSES = BUCKETS * SHAPES
@@ -87,6 +89,7 @@ def context_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     fields = ", ".join(f"c{i} bigint" for i in range(DIM))
 
     def count(batches):
+        free_worker()
         places, signs = index_vectors()
         classes = TokenClass()
         sums, seen = np.zeros(CLASSES * DIM), np.zeros(CLASSES, np.int64)
@@ -252,6 +255,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         F.broadcast(sample), F.col("_id") == F.col("_lid")).select("_y", "_text")
 
     def inputs(batches):
+        free_worker()
         classes = TokenClass()
         for batch in batches:
             x = document_inputs(batch.column(1), vectors, weights, classes)
@@ -271,16 +275,22 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     Null and empty texts get the score of an empty text."""
     schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)),
                            T.StructField("score", T.DoubleType())])
+    sent = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]
+    at = docs.columns.index(text_col) if text_col in docs.columns else None
+    if at is None:  # not a column as it stands; else the row's own text is read, not a copy
+        sent.append(F.col(text_col).alias("text"))
 
     def score(batches):
+        free_worker()
         classes = TokenClass()
         for batch in batches:
-            x = document_inputs(batch.column(1), model.vectors, model.weights, classes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(x), pa.float64())], names=["row", "score"])
+            rows = batch.column(0)
+            texts = batch.column(1) if at is None else rows.field(at)
+            scores = model.score(document_inputs(texts, model.vectors, model.weights, classes))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(scores, pa.float64())], names=["row", "score"])
+            del batch, rows, texts  # not beside the next batch
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(text_col).alias("text")).mapInArrow(score, schema)
+    return docs.select(*sent).mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

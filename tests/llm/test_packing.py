@@ -1,5 +1,6 @@
 """Pieces against the tokenizer itself, sequences against their law."""
 
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_fixtures import make_docs, no_docs, odd_docs  # noqa: F401
+from pulsepanel.llm.common import free_worker
 from pulsepanel.llm.packing import WordIds, pack_documents, plan_windows, word_ids
 from pulsepanel.llm.queries import tokenizer_path
 
@@ -109,3 +111,12 @@ def test_least_squares_uses_exact_fills():
     plan = plan_windows({40: 100, 24: 130, 8: 90}, 64)
     # 100 x (40 + 24), then 24 + 24 + 8 + 8 and 8 x 8
     assert plan.sequences <= 100 + 16 + 8
+
+
+def test_other_operators_free_the_words():
+    words = word_ids(tokenizer_path())
+    assert word_ids(tokenizer_path()) is words  # kept from task to task
+    gone = weakref.ref(words)
+    del words
+    free_worker()
+    assert gone() is None

@@ -102,3 +102,16 @@ def test_inputs_of_arrow_texts_are_those_of_a_list():
     weights = np.ones(quality.CLASSES)
     of_list = quality.document_inputs(texts, vectors, weights, quality.TokenClass())
     assert np.array_equal(of_list, quality.document_inputs(pa.array(texts), vectors, weights, quality.TokenClass()))
+
+
+def test_scoring_sends_a_text_once(make_docs):
+    model = quality.fit_network(np.zeros((0, quality.INPUTS)), np.zeros(0), np.zeros((quality.CLASSES, quality.DIM)),
+                                np.ones(quality.CLASSES))
+    docs = make_docs((1, "a b c"), (2, None))
+    scored = quality.score_quality(docs, model)
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert "AS text#" not in plan.split("MapInArrow")[1]
+    assert [(r.row.doc_id, r.row.text) for r in scored.orderBy("row.doc_id").collect()] == [(1, "a b c"), (2, None)]
+    other = quality.score_quality(docs, model, "TEXT")  # not the column's own name: sent beside the row
+    assert sorted((r.row.doc_id, r.score) for r in other.collect()) == \
+        sorted((r.row.doc_id, r.score) for r in scored.collect())
