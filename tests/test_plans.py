@@ -102,3 +102,29 @@ def test_quantiles_sort_only_the_buckets_that_hold_them(spark):
     assert 0 < pre.df.count() < 10_000 / 50 * 3
     assert rank.quantiles_from_prefix(pre, [0.5]) == {
         0.5: df.selectExpr("percentile(v, 0.5)").first()[0]}
+
+
+def test_group_buckets_use_no_lambda(spark):
+    """Every row is placed among its group's boundaries by compiled expressions."""
+    rows = [("f", v) for v in (1.0, 2.0, 2.0, 3.0, float("-inf"), float("inf"))] + [("g", 5.0)]
+    cuts = {"f": [1.0, 2.0, 3.0], "g": []}
+    x = spark.createDataFrame(rows, "k string, v double")
+    bounds = spark.createDataFrame(list(cuts.items()), "_bg string, _b array<double>")
+    for nb in (4, 200):
+        for descending in (False, True):
+            out = rank._group_bucket(x, bounds, "k", "v", nb, descending)
+            s = plan(out)
+            assert "lambda" not in s and "BatchEvalPython" not in s
+            for r in out.collect():
+                under = sum(b <= r.v if descending else b < r.v for b in cuts[r.k])
+                assert r._bucket == (len(cuts[r.k]) - under if descending else under)
+
+
+def test_group_buckets_of_any_number_of_bounds(spark):
+    for n in (1, 2, 3, 7, 8, 50):
+        bounds = spark.range(1).select(F.lit("f").alias("_bg"), F.array(*[F.lit(2.0 * i) for i in range(n)])
+                                       .alias("_b"))
+        x = spark.range(-1, 2 * n + 2).select(F.lit("f").alias("k"), F.col("id").alias("v"))
+        got = rank._group_bucket(x, bounds, "k", "v", n).collect()
+        assert [r._bucket for r in sorted(got, key=lambda r: r.v)] == [
+            sum(2 * i < v for i in range(n)) for v in range(-1, 2 * n + 2)], n
